@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def sql_name(name: str) -> str:
+    """A column name for use in SQL text, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """A column by its exact name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its exact name."""
+    return F.col(sql_name(name))
 
 
 def names_at(df: DataFrame, ordinals: Sequence[int]) -> list[str]:

@@ -1,15 +1,15 @@
 """Tests of functional dependencies.
 
-``X -> A`` holds when rows equal on X are equal on A. Two exact tests:
+``X -> A`` holds when rows equal on X are equal on A. Two tests:
 
 * the count test compares the number of different X with that of different X + A;
 * the group test looks whether A has one value in each group of X.
 
-The group test answers for every right side of X in one shuffle. Right sides of a
-fixed-width type compare their own minimum and maximum; texts compare those of a
-64-bit hash, which keeps the aggregation in hash tables. Unequal hashes prove unequal
-texts, so a refutation is final; equal hashes prove nothing, so what is left is
-confirmed by the count test on the texts themselves.
+The group test answers for many left sides and all their right sides in one scan and
+one shuffle. Right sides of a fixed-width type compare their own minimum and maximum;
+texts compare those of a 64-bit hash, which keeps the aggregation in hash tables.
+Unequal hashes prove unequal texts, so a refutation is final; equal hashes prove
+nothing, and such right sides are left to the count test.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from determina.functions import cells, masks
-from determina.operators.counts import BATCH, batches, set_count, set_counts, union_all
+from determina.operators.counts import local_table, set_counts, union_all
 
 _FIXED_WIDTH = (
     T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
@@ -48,23 +48,22 @@ def is_hashable_text(kind: T.DataType) -> bool:
     )
 
 
-def _spread(df: DataFrame, ordinal: int, nullable: bool) -> tuple[list[Column], Column]:
-    """Aggregates over a group and, from them, whether the group is *seen* to hold
-    two values. Types with neither a minimum nor a byte hash are never seen to."""
+def _spread(df: DataFrame, ordinal: int, nullable: bool) -> tuple[str, list[str], str]:
+    """What to carry of a right side, its aggregates over a group and, from them,
+    whether the group is *seen* to hold two values. Types with neither a minimum nor a
+    byte hash are never seen to."""
     field = df.schema[ordinal - 1]
-    value = cells.quoted(field.name)
-    lo, hi, gap = f"lo{ordinal}", f"hi{ordinal}", f"gap{ordinal}"
+    value = cells.sql_name(field.name)
+    carried, lo, hi, gap = (f"{w}{ordinal}" for w in ("r", "lo", "hi", "gap"))
+    spread = [f"min({carried}) AS {lo}", f"max({carried}) AS {hi}"]
     if is_fixed_width(field.dataType):
-        aggs = [F.min(value).alias(lo), F.max(value).alias(hi)]
-        split = F.col(lo) != F.col(hi)
-        if nullable:
-            aggs.append(F.max(value.isNull()).alias(gap))
-            split = split | (F.col(gap) & F.col(lo).isNotNull())
-        return aggs, F.coalesce(split, F.lit(False))
+        if not nullable:
+            return f"{value} AS {carried}", spread, f"{lo} <> {hi}"
+        spread.append(f"max({carried} IS NULL) AS {gap}")
+        return f"{value} AS {carried}", spread, f"{lo} <> {hi} OR ({gap} AND {lo} IS NOT NULL)"
     if is_hashable_text(field.dataType):
-        hashed = F.xxhash64(value)
-        return [F.min(hashed).alias(lo), F.max(hashed).alias(hi)], F.col(lo) != F.col(hi)
-    return [], F.lit(False)
+        return f"xxhash64({value}) AS {carried}", spread, f"{lo} <> {hi}"
+    return f"0 AS {carried}", [], "false"
 
 
 def group_test(
@@ -73,106 +72,63 @@ def group_test(
     not_null: Iterable[int] = (),
     slices: int = 1,
 ) -> DataFrame:
-    """``lhs BIGINT, n_lhs BIGINT, refuted BIGINT``, a row per test.
+    """``lhs BIGINT, n_lhs BIGINT, refuted BIGINT``, a row per test with rows to see.
 
+    Each row goes once to every test, with the columns outside the test's left side
+    blanked, and the copies are grouped together. ``n_lhs`` is the number of groups;
     ``refuted`` holds the right sides with two different values in some group.
-    ``not_null`` names columns known to hold no nulls. With ``slices`` above 1 only
-    the groups in one of that many hash slices are looked at: enough to refute, and
-    nothing else than refutations may be taken from it.
-    """
-    not_null = set(not_null)
-    parts = []
-    for test in tests:
-        keys = [cells.quoted(n) for n in cells.names_at(df, masks.ordinals_of(test.lhs))]
-        aggs, splits = [], []
-        for a in masks.ordinals_of(test.rhs):
-            more, split = _spread(df, a, a not in not_null)
-            aggs += more
-            if more:
-                splits.append((1 << (a - 1), split))
-        rows = df
-        if slices > 1 and keys:
-            rows = df.filter(F.pmod(F.xxhash64(*keys), F.lit(slices)) == 0)
-        groups = rows.groupBy(*keys).agg(F.lit(1).alias("one"), *aggs)
-        refuted = F.lit(0).cast("bigint")
-        for value, split in splits:
-            seen = F.when(F.coalesce(F.max(split), F.lit(False)), F.lit(value).cast("bigint"))
-            refuted = refuted.bitwiseOR(F.coalesce(seen, F.lit(0).cast("bigint")))
-        parts.append(
-            groups.agg(F.count(F.lit(1)).alias("n_lhs"), refuted.alias("refuted")).select(
-                F.lit(test.lhs).cast("bigint").alias("lhs"), "n_lhs", "refuted"
-            )
-        )
-    return union_all(parts)
-
-
-def needs_confirmation(df: DataFrame, rhs: int) -> int:
-    """The members of ``rhs`` for which the group test can only refute."""
-    return masks.mask_of(
-        a for a in masks.ordinals_of(rhs) if not is_fixed_width(df.schema[a - 1].dataType)
-    )
 
+    With ``slices`` above 1 a row goes only to the tests for which its left side falls
+    in one of that many hash slices. Groups stay whole, so what is refuted is refuted,
+    but ``n_lhs`` counts that slice only, and what is not refuted is not proved.
 
-def decide(
-    df: DataFrame, tests: Sequence[Test], not_null: Iterable[int] = (), slices: int = 1
-) -> list[tuple[int, int]]:
-    """``(lhs, proved right sides)`` for each test, exactly.
-
-    One action per ``BATCH`` tests and one more for texts. The driver gets a row per
-    test that it named. ``slices`` above 1 first refutes what it can on one slice.
+    Copies with equal left sides are combined before the shuffle, so a group that
+    holds a large part of the table is one row per map task. ``not_null`` names
+    columns known to hold no nulls.
     """
+    not_null = set(not_null)
+    left = masks.ordinals_of(_all_of(t.lhs for t in tests))
+    right = masks.ordinals_of(_all_of(t.rhs for t in tests))
+    name = {i: cells.sql_name(n) for i, n in enumerate(df.columns, 1)}
+    carried, aggs, refuted = [], [], ["0L"]
+    for a in right:
+        value, spread, split = _spread(df, a, a not in not_null)
+        carried.append(value)
+        aggs += spread
+        if spread:
+            refuted.append(f"if(coalesce(max({split}), false), {1 << (a - 1)}L, 0L)")
     if slices > 1:
-        tests = [
-            Test(r.lhs, left)
-            for part in batches(tests)
-            for r, rhs in _with_rhs(group_test(df, part, not_null, slices), part)
-            if (left := rhs & ~r.refuted)
+        chosen = [
+            f"if(pmod(xxhash64({', '.join(name[i] for i in masks.ordinals_of(t.lhs))}), {slices}L)"
+            f" = 0L, {t.lhs}L, NULL)" if t.lhs else f"{t.lhs}L"
+            for t in tests
         ]
-    proved: list[tuple[int, int]] = []
-    for part in batches(tests):
-        answers = list(_with_rhs(group_test(df, part, not_null), part))
-        left = [(r.lhs, r.n_lhs, rhs & ~r.refuted) for r, rhs in answers]
-        proved += _confirm(df, left)
-    return proved
-
-
-def _with_rhs(answers: DataFrame, tests: Sequence[Test]):
-    asked = {t.lhs: t.rhs for t in tests}
-    for row in answers.collect():
-        yield row, asked[row.lhs]
-
+        sent = f"explode(array_compact(array({', '.join(chosen)}))) AS lhs"
+    else:
+        sent = f"explode(array({', '.join(f'{t.lhs}L' for t in tests)})) AS lhs"
+    copies = df.selectExpr(*[f"{name[i]} AS k{i}" for i in left], *carried, sent)
+    keys = [f"if(lhs & {1 << (i - 1)}L = 0L, NULL, k{i}) AS k{i}" for i in left]
+    masked = copies.selectExpr("lhs", *keys, *[f"r{a}" for a in right])
+    groups = masked.groupBy("lhs", *[f"k{i}" for i in left]).agg(
+        *[F.expr(e) for e in aggs or ["1 AS one"]]
+    )
+    return groups.groupBy("lhs").agg(
+        F.expr("count(1) AS n_lhs"), F.expr(f"{' | '.join(refuted)} AS refuted")
+    )
 
-def _counts(df: DataFrame, wanted: Iterable[int]) -> dict[int, int]:
-    wanted = sorted(set(wanted))
-    return {
-        r.mask: r.n for part in batches(wanted) for r in set_counts(df, part).collect()
-    }
 
+def _all_of(some: Iterable[int]) -> int:
+    out = 0
+    for mask in some:
+        out |= mask
+    return out
 
-def _confirm(df: DataFrame, left: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Settle right sides the group test could only refute.
 
-    X determines all of several columns exactly when X with all of them has no more
-    different tuples than X, so one count settles them together. Only if that fails
-    is each counted by itself.
-    """
-    open_rhs = {lhs: needs_confirmation(df, rhs) for lhs, _, rhs in left}
-    together = _counts(df, [lhs | open_rhs[lhs] for lhs, _, _ in left if open_rhs[lhs]])
-    apart: list[tuple[int, int]] = []
-    result: dict[int, int] = {}
-    for lhs, n_lhs, rhs in left:
-        if open_rhs[lhs] and together[lhs | open_rhs[lhs]] != n_lhs:
-            result[lhs] = rhs & ~open_rhs[lhs]
-            apart += [(lhs, 1 << (a - 1)) for a in masks.ordinals_of(open_rhs[lhs])]
-        else:
-            result[lhs] = rhs
-    if apart:
-        sizes = {lhs: n for lhs, n, _ in left}
-        single = _counts(df, [lhs | a for lhs, a in apart])
-        for lhs, a in apart:
-            if single[lhs | a] == sizes[lhs]:
-                result[lhs] |= a
-    return [(lhs, rhs) for lhs, _, _ in left if (rhs := result[lhs])]
+def needs_confirmation(df: DataFrame, rhs: int) -> int:
+    """The members of ``rhs`` for which the group test can only refute."""
+    return masks.mask_of(
+        a for a in masks.ordinals_of(rhs) if not is_fixed_width(df.schema[a - 1].dataType)
+    )
 
 
 # --- candidate tables --------------------------------------------------------
@@ -311,17 +267,17 @@ def refute_by_groups(df: DataFrame, shared: int, candidates: DataFrame) -> DataF
 def check_fds(df: DataFrame, fds: Sequence[tuple[Sequence[str], str]]) -> DataFrame:
     """``lhs STRING, rhs STRING, holds BOOLEAN`` for FDs given by column names."""
     position = {n: i for i, n in enumerate(df.columns, 1)}
-    asked: dict[int, int] = {}
-    pairs = []
-    for lhs, rhs in fds:
-        x, a = masks.mask_of(position[n] for n in lhs), masks.mask_of([position[rhs]])
-        asked[x] = asked.get(x, 0) | a
-        pairs.append((",".join(lhs), rhs, x, a))
-    trivial = {x: r & x for x, r in asked.items()}
-    tests = [Test(x, r & ~x) for x, r in asked.items() if r & ~x]
-    proved = dict(decide(df, tests))
-    rows = [(l, r, bool((proved.get(x, 0) | trivial[x]) & a)) for l, r, x, a in pairs]
-    return df.sparkSession.createDataFrame(rows, "lhs string, rhs string, holds boolean")
+    pairs = [
+        (",".join(lhs), rhs, masks.mask_of(position[n] for n in lhs), masks.mask_of([position[rhs]]))
+        for lhs, rhs in fds
+    ]
+    wanted = {x for _, _, x, _ in pairs} | {x | a for _, _, x, a in pairs}
+    n = {r.mask: r.n for r in set_counts(df, wanted).collect()}
+    return local_table(
+        df.sparkSession,
+        [(lhs, rhs, n[x] == n[x | a]) for lhs, rhs, x, a in pairs],
+        "lhs string, rhs string, holds boolean",
+    )
 
 
 def violations(df: DataFrame, lhs: Sequence[str], rhs: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from determina.functions import masks
-from determina.operators.counts import column_counts, pair_counts, set_counts, varying_columns
+from determina.operators.counts import column_counts, local_table, pair_counts, set_counts, varying_columns
 
 
 def match_counts(singles: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def single_fds(df: DataFrame) -> DataFrame:
     """``lhs INT, rhs INT``: one-column FDs between columns that are not constant, by
     comparing the counts of single columns and of all pairs."""
     profile = [(r.ordinal, r.n) for r in varying_columns(column_counts(df)).collect()]
-    singles = df.sparkSession.createDataFrame(profile, "ordinal int, n long")
+    singles = local_table(df.sparkSession, profile, "ordinal int, n bigint")
     return match_counts(singles, pair_counts(df, [i for i, _ in profile]))
 
 
@@ -57,7 +57,7 @@ def single_fds_ordered(df: DataFrame) -> DataFrame:
     """The result of ``single_fds``, from the pairs of ``ordered_pairs`` only."""
     spark = df.sparkSession
     profile = [(r.ordinal, r.n) for r in varying_columns(column_counts(df)).collect()]
-    counts = spark.createDataFrame(profile, "ordinal int, n long")
+    counts = local_table(spark, profile, "ordinal int, n bigint")
     pairs = ordered_pairs(counts).withColumn(
         "mask", masks.bit(F.col("lhs")).bitwiseOR(masks.bit(F.col("rhs")))
     )

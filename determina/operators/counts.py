@@ -11,9 +11,11 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from determina.functions import cells, masks
@@ -21,9 +23,16 @@ from determina.functions import cells, masks
 # Sets counted by one action. Each is its own small plan over the columns it needs.
 BATCH = 32
 
-COUNT_SCHEMA = T.StructType(
-    [T.StructField("mask", T.LongType(), False), T.StructField("n", T.LongType(), False)]
-)
+def local_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """A small table of facts the driver holds. Spark knows its size, so a join with
+    it is a broadcast only while it is small."""
+    kind = T.StructType.fromDDL(schema)
+    rows = list(rows)
+    arrow = pa.table(
+        [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(kind)],
+        names=kind.names,
+    )
+    return spark.createDataFrame(arrow, kind)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -40,19 +49,16 @@ def set_count(df: DataFrame, ordinals: Iterable[int]) -> DataFrame:
 
     No columns make one empty tuple if the table has rows.
     """
-    names = cells.names_at(df, sorted(ordinals))
+    names = [cells.sql_name(n) for n in cells.names_at(df, sorted(ordinals))]
     if not names:
-        return df.agg(F.least(F.count(F.lit(1)), F.lit(1)).alias("n"))
-    return (
-        df.groupBy(*[cells.quoted(n) for n in names]).agg(F.lit(1).alias("one"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+        return df.agg(F.expr("least(count(1), 1L) AS n"))
+    return df.select(*names).distinct().agg(F.expr("count(1) AS n"))
 
 
 def _count_plan(df: DataFrame, wanted: Sequence[int]) -> DataFrame:
     return union_all(
         [
-            set_count(df, masks.ordinals_of(m)).select(F.lit(m).cast("bigint").alias("mask"), "n")
+            set_count(df, masks.ordinals_of(m)).selectExpr(f"{m}L AS mask", "n")
             for m in wanted
         ]
     )
@@ -67,11 +73,11 @@ def set_counts(df: DataFrame, wanted: Iterable[int]) -> DataFrame:
     wanted = sorted(set(wanted))
     spark = df.sparkSession
     if not wanted:
-        return spark.createDataFrame([], COUNT_SCHEMA)
+        return local_table(spark, [], "mask bigint, n bigint")
     if len(wanted) <= BATCH:
         return _count_plan(df, wanted)
     rows = [row for part in batches(wanted) for row in _count_plan(df, part).collect()]
-    return spark.createDataFrame([(r.mask, r.n) for r in rows], COUNT_SCHEMA)
+    return local_table(spark, rows, "mask bigint, n bigint")
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -79,19 +85,15 @@ def column_profile(df: DataFrame) -> DataFrame:
     (rows of the most frequent value) and ``has_null``. Reads each column once."""
     parts = []
     for i, name in enumerate(df.columns, 1):
-        value = cells.quoted(name)
+        groups = df.groupBy(cells.quoted(name).alias("value")).agg(F.expr("count(1) AS rows"))
         parts.append(
-            df.groupBy(value.alias("value"))
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"),
-                F.coalesce(F.max("rows"), F.lit(0)).alias("max_group"),
-                F.coalesce(F.max(F.col("value").isNull()), F.lit(False)).alias("has_null"),
-            )
-            .select(
-                F.lit(i).alias("ordinal"), F.lit(name).alias("name"),
-                "n", "n_rows", "max_group", "has_null",
+            groups.agg(
+                F.expr(f"{i} AS ordinal"),
+                F.lit(name).alias("name"),
+                F.expr("count(1) AS n"),
+                F.expr("coalesce(sum(rows), 0L) AS n_rows"),
+                F.expr("coalesce(max(rows), 0L) AS max_group"),
+                F.expr("coalesce(max(value IS NULL), false) AS has_null"),
             )
         )
     return union_all(parts)
@@ -100,7 +102,7 @@ def column_profile(df: DataFrame) -> DataFrame:
 def column_counts(df: DataFrame) -> DataFrame:
     """``ordinal INT, n BIGINT``: different values of each column."""
     return union_all(
-        [set_count(df, [i]).select(F.lit(i).alias("ordinal"), "n")
+        [set_count(df, [i]).selectExpr(f"{i} AS ordinal", "n")
          for i in range(1, len(df.columns) + 1)]
     )
 

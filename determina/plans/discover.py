@@ -23,33 +23,29 @@ from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from determina.functions import cells, masks
 from determina.operators import checks, classes, counts, lattice
 from determina.plans.evidence import ColumnProfile, failures_in_sample
+from determina.plans.prover import SLICE_ROWS, Prover
 from determina.sources.staging import stage
 
-FD_SCHEMA = "lhs bigint, rhs int"
-
 # Cells up to which the columns in use are kept in memory between tests. Larger tables
 # are read again, each test reading only its own columns.
 PERSIST_CELLS = 400_000_000
 
-# Rows from which a test first looks at one hash slice of its groups, and the rows
-# aimed at in a slice.
-SLICE_FROM = 50_000_000
-SLICE_ROWS = 1_000_000
-
 SAMPLE_ROWS = 5_000
 
+# Tables of fewer rows than this many samples are tested without a sample.
+EVIDENCE_FROM = 4
+
 
 class Settings(NamedTuple):
     check: str = "group"
     max_lhs: int | None = None
     sample_rows: int = SAMPLE_ROWS
-    slice_from: int = SLICE_FROM
     slice_rows: int = SLICE_ROWS
 
 
@@ -62,7 +58,6 @@ def discover_fds(
     check: str = "group",
     parts: Sequence[Sequence[str]] | None = None,
     sample_rows: int = SAMPLE_ROWS,
-    slice_from: int = SLICE_FROM,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """All minimal FDs of a table: ``lhs ARRAY<INT>, rhs INT`` in column numbers.
@@ -85,7 +80,7 @@ def discover_fds(
         df = cells.cast_all(df, "string")
     if not df.columns:
         raise ValueError("the table has no columns")
-    settings = Settings(check, max_lhs, sample_rows, slice_from, slice_rows)
+    settings = Settings(check, max_lhs, sample_rows, slice_rows)
     return _Discovery(df, settings).run(constants, parts)
 
 
@@ -112,70 +107,30 @@ class _Discovery:
         self.settings = settings
         self.width = len(df.columns)
 
-    # -- tests on all rows ----------------------------------------------------
-
-    def decide(self, tests: list[checks.Test]) -> list[tuple[int, int]]:
-        """``(lhs, proved right sides)`` as masks."""
-        if not tests:
-            return []
-        if self.settings.check == "count":
-            return self._decide_by_counts(tests)
-        slices = 1
-        if self.n_rows >= self.settings.slice_from:
-            slices = max(1, self.n_rows // self.settings.slice_rows)
-        return checks.decide(self.rows, tests, self.not_null, slices)
-
-    def _decide_by_counts(self, tests: list[checks.Test]) -> list[tuple[int, int]]:
-        wanted = set()
-        for t in tests:
-            wanted.add(t.lhs)
-            wanted.update(t.lhs | 1 << (a - 1) for a in masks.ordinals_of(t.rhs))
-        # A set tested as left side with right side is often a left side one level on.
-        missing = sorted(wanted - self.counted.keys())
-        for part in counts.batches(missing):
-            for r in counts.set_counts(self.rows, part).collect():
-                self.counted[r.mask] = r.n
-        out = []
-        for t in tests:
-            proved = masks.mask_of(
-                a for a in masks.ordinals_of(t.rhs)
-                if self.counted[t.lhs] == self.counted[t.lhs | 1 << (a - 1)]
-            )
-            if proved:
-                out.append((t.lhs, proved))
-        # Counts of smaller sets are of no more use.
-        level = min(t.lhs.bit_count() for t in tests)
-        self.counted = {m: n for m, n in self.counted.items() if m.bit_count() > level}
-        return out
-
     def _test_candidates(self, cands: DataFrame) -> list[tuple[int, int]]:
         """Test a table of candidates in driver-sized portions; FDs as pairs."""
         grouped = cands.groupBy("lhs").agg(F.bit_or(masks.bit(F.col("rhs"))).alias("rhs"))
         found, portion = [], []
         for row in grouped.toLocalIterator():
             portion.append(checks.Test(row.lhs, row.rhs))
-            if len(portion) == counts.BATCH:
-                found += self.decide(sorted(portion))
+            if len(portion) == self.prover.batch:
+                found += self.prover.decide(sorted(portion))
                 portion = []
-        found += self.decide(sorted(portion))
+        found += self.prover.decide(sorted(portion))
         return [(lhs, a) for lhs, rhs in found for a in masks.ordinals_of(rhs)]
 
     # -- small tables ---------------------------------------------------------
 
     def _pairs(self, pairs: Iterable[tuple[int, int]]) -> DataFrame:
-        return self.spark.createDataFrame(list(pairs), FD_SCHEMA)
+        return counts.local_table(self.spark, pairs, "lhs bigint, rhs int")
 
-    def _impossible(self, lhs: Column, rhs: Column) -> Column:
-        """Too few values on the left: the numbers of different values multiply to
+    def _possible(self) -> str:
+        """Enough values on the left: the numbers of different values multiply to no
         less than the right side has. In logarithms, with room for rounding."""
-        most = F.lit(0.0)
-        least = F.lit(0.0)
-        for c in self.profile:
-            size = F.lit(math.log(max(c.n, 1)))
-            zero = F.lit(0.0)
-            most = most + F.when(masks.has(lhs, F.lit(c.ordinal)), size).otherwise(zero)
-            least = least + F.when(rhs == c.ordinal, size).otherwise(zero)
-        return most < least - 1e-6
+        sizes = {c.ordinal: math.log(c.n) for c in self.profile}
+        most = " + ".join(f"if(lhs & {1 << (i - 1)}L = 0L, 0D, {v!r}D)" for i, v in sizes.items())
+        least = " ".join(f"WHEN {i} THEN {v!r}D" for i, v in sizes.items())
+        return f"{most} >= CASE rhs {least} END - 1e-6D"
 
     # -- stages ---------------------------------------------------------------
 
@@ -188,7 +143,7 @@ class _Discovery:
                 f"{len(varying)} columns are not constant; the search handles "
                 f"{masks.MAX_COLUMNS}. Name some with columns=[...]."
             )
-        constant_table = self.spark.createDataFrame([(c.ordinal,) for c in constant], "ordinal int")
+        constant_table = counts.local_table(self.spark, [(c.ordinal,) for c in constant], "ordinal int")
         if self.settings.max_lhs == 0 or not varying:
             return stage(classes.constant_fds(
                 constant_table, self.width, "strict" if self.settings.max_lhs == 0 else constants
@@ -198,14 +153,24 @@ class _Discovery:
         slots = {i: c.ordinal for i, c in enumerate(varying, 1)}
         self.profile = [c._replace(ordinal=i) for i, c in enumerate(varying, 1)]
         self.n_rows = self.profile[0].n_rows
-        self.not_null = {c.ordinal for c in self.profile if not c.has_null}
         self.rows = self.source.select([cells.quoted(c.name) for c in varying])
-        self.counted: dict[int, int] = {}
         keep = self.n_rows * len(varying) <= PERSIST_CELLS
         if keep:
-            self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
+            # A small table may come as one file; its tests are worth more tasks.
+            self.rows = self.rows.repartition(
+                self.spark.sparkContext.defaultParallelism
+            ).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.failures = failures_in_sample(self.rows, self.profile, self.settings.sample_rows)
+            self.prover = Prover(
+                self.rows, self.n_rows, {c.ordinal for c in self.profile if not c.has_null},
+                self.settings.check, self.settings.slice_rows,
+            )
+            self.prover.counted = {1 << (c.ordinal - 1): c.n for c in self.profile}
+            self.failures = None
+            if self.n_rows > self.settings.sample_rows * EVIDENCE_FROM:
+                self.failures = failures_in_sample(
+                    self.rows, self.profile, self.settings.sample_rows
+                )
             singles = self._single_fds()
             groups, kept = self._reduce(singles)
             fds = self._sweep(singles, kept, self._part_masks(parts, varying))
@@ -213,17 +178,18 @@ class _Discovery:
             if keep:
                 self.rows.unpersist()
 
-        mapping = self.spark.createDataFrame(
-            [(i, slots[i]) for i in kept], "new_ord int, old_ord int"
+        mapping = counts.local_table(
+            self.spark, [(i, slots[i]) for i in kept], "new_ord int, old_ord int"
         )
-        members = self.spark.createDataFrame(
+        members = counts.local_table(
+            self.spark,
             [(slots[r], slots[m]) for r, ms in groups.items() for m in ms],
             "rep int, member int",
         )
-        longest = fds.agg(F.max(masks.size(F.col("lhs")))).head()[0] or 0
         return stage(
             classes.recover(
-                fds, mapping, members, constant_table, self.width, longest, constants
+                self._pairs(fds), mapping, members, constant_table, self.width,
+                max((lhs.bit_count() for lhs, _ in fds), default=0), constants,
             ),
             "fds",
         )
@@ -249,7 +215,8 @@ class _Discovery:
             for x in by_ordinal for a in by_ordinal
             if x != a and x not in keys and by_ordinal[x].n >= by_ordinal[a].n
         ]
-        left = lattice.prune_refuted(self._pairs(pairs), self.failures)
+        left = self._not_refuted(self._pairs(pairs))
+        self.prover.learn((1 << (k - 1), a) for k in keys for a in by_ordinal if a != k)
         found = {
             (masks.ordinals_of(lhs)[0], a) for lhs, a in self._test_candidates(left)
         }
@@ -257,7 +224,7 @@ class _Discovery:
 
     def _reduce(self, singles: set[tuple[int, int]]) -> tuple[dict[int, set[int]], list[int]]:
         """Classes by representative, and the columns kept."""
-        pairs = self.spark.createDataFrame(sorted(singles), "lhs int, rhs int")
+        pairs = counts.local_table(self.spark, sorted(singles), "lhs int, rhs int")
         groups: dict[int, set[int]] = {}
         for r in classes.equivalence_classes(pairs).collect():
             groups.setdefault(r.rep, set()).add(r.member)
@@ -272,17 +239,18 @@ class _Discovery:
 
     def _sweep(
         self, singles: set[tuple[int, int]], kept: list[int], parts: list[int]
-    ) -> DataFrame:
-        """Minimal FDs among the kept columns: ``lhs BIGINT, rhs INT``."""
+    ) -> list[tuple[int, int]]:
+        """Minimal FDs among the kept columns, as pairs of a mask and a number."""
         inside = set(kept)
-        known = {(1 << (x - 1), a) for x, a in singles if x in inside and a in inside}
-        fds = stage(self._pairs(sorted(known)), "fds")
+        fds = sorted((1 << (x - 1), a) for x, a in singles if x in inside and a in inside)
         whole = masks.mask_of(kept)
         for part in parts:
             fds = self._levels(fds, part & whole, [])
         return self._levels(fds, whole, [p & whole for p in parts])
 
-    def _levels(self, fds: DataFrame, area: int, done: list[int]) -> DataFrame:
+    def _levels(
+        self, fds: list[tuple[int, int]], area: int, done: list[int]
+    ) -> list[tuple[int, int]]:
         """Add the minimal FDs within ``area`` of left sides of two columns and more.
         Candidates inside one of the areas ``done`` are FDs already found or fail."""
         columns = masks.ordinals_of(area)
@@ -291,37 +259,44 @@ class _Discovery:
             limit = min(limit, self.settings.max_lhs)
         if limit < 2:
             return fds
+        self.prover.learn(fds)
         targets = self._reachable(fds, area)
-        singles = lattice.candidates(
-            lattice.attribute_sets(self.spark, columns, 1), columns
-        ).filter(F.col("rhs").isin(targets))
-        failed = lattice.prune_implied(singles, fds)
+        known = set(fds)
+        failed = self._pairs(
+            (1 << (x - 1), a) for x in columns for a in targets
+            if x != a and (1 << (x - 1), a) not in known
+        )
         for level in range(2, limit + 1):
-            cands = lattice.prune_implied(lattice.next_level(failed, columns), fds)
-            cands = stage(lattice.prune_redundant(cands, fds), f"level{level}")
-            open_cands = cands.filter(~self._impossible(F.col("lhs"), F.col("rhs")))
+            table = self._pairs(fds)
+            cands = lattice.prune_implied(lattice.next_level(failed, columns), table)
+            cands = stage(lattice.prune_redundant(cands, table), f"level{level}")
+            open_cands = cands.filter(self._possible())
             for part in done:
-                open_cands = open_cands.exceptAll(
-                    lattice.inside(open_cands, masks.ordinals_of(part))
+                open_cands = open_cands.filter(
+                    f"(lhs | shiftleft(1L, rhs - 1)) & {part}L <> (lhs | shiftleft(1L, rhs - 1))"
                 )
-            open_cands = lattice.prune_refuted(open_cands, self.failures)
-            found = self._test_candidates(open_cands)
+            found = self._test_candidates(self._not_refuted(open_cands))
+            fds = fds + found
+            self.prover.learn(fds)
             failed = cands
             if found:
-                found_table = self._pairs(found)
-                fds = stage(fds.unionByName(found_table), "fds")
-                failed = cands.join(found_table, ["lhs", "rhs"], "left_anti")
+                failed = cands.join(self._pairs(found), ["lhs", "rhs"], "left_anti")
             if level < limit and failed.isEmpty():
                 break
         return fds
 
-    def _reachable(self, fds: DataFrame, area: int) -> list[int]:
-        """Right sides that some left side in ``area`` may determine."""
+    def _not_refuted(self, cands: DataFrame) -> DataFrame:
+        if self.failures is None:
+            return cands
+        return lattice.prune_refuted(cands, self.failures)
+
+    def _reachable(self, fds: list[tuple[int, int]], area: int) -> list[int]:
+        """Right sides that some left side in ``area`` may determine. One that its
+        widest left side does not determine, no other does either."""
         columns = masks.ordinals_of(area)
-        top = lattice.widest_candidates(self.spark, columns)
-        unknown = [r.rhs for r in lattice.prune_implied(top, fds).collect()]
-        settled = set(columns) - set(unknown)
-        left = lattice.prune_refuted(top.filter(F.col("rhs").isin(unknown)), self.failures)
+        settled = {a for lhs, a in fds if lhs & area == lhs and area >> (a - 1) & 1}
+        unknown = [a for a in columns if a not in settled]
         if unknown:
-            settled.update(a for _, a in self._test_candidates(left))
+            top = self._pairs((area ^ 1 << (a - 1), a) for a in unknown)
+            settled.update(a for _, a in self._test_candidates(self._not_refuted(top)))
         return sorted(settled)

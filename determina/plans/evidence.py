@@ -51,15 +51,9 @@ def sample_rows(df: DataFrame, profile: list[ColumnProfile], target: int) -> Dat
     return df.filter(keep)
 
 
-def _agreement(names: list[tuple[int, str]]):
+def _agreement(ordinals: list[int]) -> str:
     """The mask of columns in which a row equals its predecessor ``p``."""
-    mask = F.lit(0).cast("bigint")
-    for ordinal, name in names:
-        same = F.col(f"c{ordinal}").eqNullSafe(F.col(f"p.c{ordinal}"))
-        mask = mask + F.when(same, F.lit(1 << (ordinal - 1)).cast("bigint")).otherwise(
-            F.lit(0).cast("bigint")
-        )
-    return mask
+    return " | ".join(f"if(c{i} <=> p.c{i}, {1 << (i - 1)}L, 0L)" for i in ordinals)
 
 
 def agree_sets(sample: DataFrame, profile: list[ColumnProfile]) -> DataFrame:
@@ -68,21 +62,18 @@ def agree_sets(sample: DataFrame, profile: list[ColumnProfile]) -> DataFrame:
     The sample is ordered in each column's groups, once with coarse and once with fine
     columns leading, so that neighbours share long runs of values.
     """
-    named = [(c.ordinal, c.name) for c in profile]
-    rows = sample.select([cells.quoted(n).alias(f"c{i}") for i, n in named])
+    ordinals = [c.ordinal for c in profile]
     by_n = [f"c{c.ordinal}" for c in sorted(profile, key=lambda c: (c.n, c.ordinal))]
-    whole = F.struct(*[F.col(f"c{i}") for i, _ in named])
+    whole = f"struct({', '.join(f'c{i}' for i in ordinals)})"
     parts = []
-    for column in profile:
-        key = f"c{column.ordinal}"
-        rest = [c for c in by_n if c != key]
+    for i in ordinals:
+        rest = [c for c in by_n if c != f"c{i}"]
         for order in (rest, rest[::-1]):
-            window = Window.partitionBy(key).orderBy(*order)
+            before = f"lag({whole}) OVER (PARTITION BY c{i} ORDER BY {', '.join(order)}) AS p"
             parts.append(
-                rows.withColumn("p", F.lag(whole).over(window))
-                .filter(F.col("p").isNotNull())
-                .select(_agreement(named).alias("agree"))
-                .distinct()
+                sample.selectExpr("*", before)
+                .filter("p IS NOT NULL")
+                .selectExpr(f"{_agreement(ordinals)} AS agree")
             )
     return union_all(parts).distinct()
 
@@ -90,25 +81,20 @@ def agree_sets(sample: DataFrame, profile: list[ColumnProfile]) -> DataFrame:
 def failures_in_sample(df: DataFrame, profile: list[ColumnProfile], target: int) -> DataFrame:
     """``lhs BIGINT, rhs INT``, staged: maximal left sides seen not to determine a
     right side. ``profile`` names the columns to use."""
-    sample = sample_rows(df, profile, target).select(
-        [cells.quoted(c.name).alias(f"c{c.ordinal}") for c in profile]
-    )
-    renamed = [c._replace(name=f"c{c.ordinal}") for c in profile]
+    numbered = [cells.quoted(c.name).alias(f"c{c.ordinal}") for c in profile]
+    sample = sample_rows(df, profile, target).select(numbered)
     sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # A slice may be unlucky; windows over the sample are for bounded samples only.
         if sample.count() > target * (len(profile) + 1) * 2:
-            even = df.sample(target / profile[0].n_rows, seed=17).select(
-                [cells.quoted(c.name).alias(f"c{c.ordinal}") for c in profile]
-            )
             sample.unpersist()
+            even = df.sample(target / profile[0].n_rows, seed=17).select(numbered)
             sample = even.persist(StorageLevel.MEMORY_AND_DISK)
-        columns = F.array(*[F.lit(c.ordinal) for c in profile])
+        columns = ", ".join(str(c.ordinal) for c in profile)
         failures = (
-            agree_sets(sample, renamed)
-            .withColumnRenamed("agree", "lhs")
-            .withColumn("rhs", F.explode(columns))
-            .filter(F.expr("(lhs & shiftleft(1L, rhs - 1)) = 0"))
+            agree_sets(sample, profile)
+            .selectExpr("agree AS lhs", f"explode(array({columns})) AS rhs")
+            .filter("lhs & shiftleft(1L, rhs - 1) = 0L")
         )
         return stage(maximal_only(stage(failures, "agreements")), "failures")
     finally:
