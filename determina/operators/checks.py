@@ -60,27 +60,31 @@ def _spread(df: DataFrame, ordinal: int, nullable: bool) -> tuple[str, list[str]
         if not nullable:
             return f"{value} AS {carried}", spread, f"{lo} <> {hi}"
         spread.append(f"max({carried} IS NULL) AS {gap}")
-        return f"{value} AS {carried}", spread, f"{lo} <> {hi} OR ({gap} AND {lo} IS NOT NULL)"
+        split = f"coalesce({lo} <> {hi}, false) OR ({gap} AND {lo} IS NOT NULL)"
+        return f"{value} AS {carried}", spread, split
     if is_hashable_text(field.dataType):
         return f"xxhash64({value}) AS {carried}", spread, f"{lo} <> {hi}"
     return f"0 AS {carried}", [], "false"
 
 
-def group_test(
+def group_shapes(
     df: DataFrame,
     tests: Sequence[Test],
     not_null: Iterable[int] = (),
     slices: int = 1,
+    watched: int = 0,
 ) -> DataFrame:
-    """``lhs BIGINT, n_lhs BIGINT, refuted BIGINT``, a row per test with rows to see.
+    """``lhs BIGINT, agree BIGINT, differ BIGINT, n BIGINT``: for each test, how many
+    groups of rows equal on its left side are of which shape.
 
     Each row goes once to every test, with the columns outside the test's left side
-    blanked, and the copies are grouped together. ``n_lhs`` is the number of groups;
-    ``refuted`` holds the right sides with two different values in some group.
+    blanked, and the copies are grouped together. ``differ`` are right sides of the
+    tests, and columns of ``watched``, with two different values in the group;
+    ``agree`` are the left side and those surely with one.
 
     With ``slices`` above 1 a row goes only to the tests for which its left side falls
-    in one of that many hash slices. Groups stay whole, so what is refuted is refuted,
-    but ``n_lhs`` counts that slice only, and what is not refuted is not proved.
+    in one of that many hash slices. Groups stay whole, so what differs does differ,
+    but nothing is known of the other groups.
 
     Copies with equal left sides are combined before the shuffle, so a group that
     holds a large part of the table is one row per map task. ``not_null`` names
@@ -88,15 +92,17 @@ def group_test(
     """
     not_null = set(not_null)
     left = masks.ordinals_of(_all_of(t.lhs for t in tests))
-    right = masks.ordinals_of(_all_of(t.rhs for t in tests))
+    right = masks.ordinals_of(_all_of(t.rhs for t in tests) | watched)
     name = {i: cells.sql_name(n) for i, n in enumerate(df.columns, 1)}
-    carried, aggs, refuted = [], [], ["0L"]
+    carried, aggs, differ, agree = [], [], ["0L"], ["lhs"]
     for a in right:
         value, spread, split = _spread(df, a, a not in not_null)
         carried.append(value)
         aggs += spread
         if spread:
-            refuted.append(f"if(coalesce(max({split}), false), {1 << (a - 1)}L, 0L)")
+            differ.append(f"if({split}, {1 << (a - 1)}L, 0L)")
+            if is_fixed_width(df.schema[a - 1].dataType):
+                agree.append(f"if({split}, 0L, {1 << (a - 1)}L)")
     if slices > 1:
         chosen = [
             f"if(pmod(xxhash64({', '.join(name[i] for i in masks.ordinals_of(t.lhs))}), {slices}L)"
@@ -112,8 +118,57 @@ def group_test(
     groups = masked.groupBy("lhs", *[f"k{i}" for i in left]).agg(
         *[F.expr(e) for e in aggs or ["1 AS one"]]
     )
-    return groups.groupBy("lhs").agg(
-        F.expr("count(1) AS n_lhs"), F.expr(f"{' | '.join(refuted)} AS refuted")
+    shapes = groups.selectExpr(
+        "lhs", f"{' | '.join(agree)} AS agree", f"{' | '.join(differ)} AS differ"
+    )
+    return shapes.groupBy("lhs", "agree", "differ").agg(F.expr("count(1) AS n"))
+
+
+def group_test(
+    df: DataFrame, tests: Sequence[Test], not_null: Iterable[int] = ()
+) -> DataFrame:
+    """``lhs BIGINT, n_lhs BIGINT, refuted BIGINT``, a row per test if there are rows.
+
+    ``n_lhs`` is the number of groups; ``refuted`` holds the right sides with two
+    different values in some group, and maybe others that nobody asked for.
+    """
+    return summed_shapes(group_shapes(df, tests, not_null))
+
+
+def summed_shapes(shapes: DataFrame) -> DataFrame:
+    return shapes.groupBy("lhs").agg(
+        F.expr("sum(n) AS n_lhs"), F.expr("bit_or(differ) AS refuted")
+    )
+
+
+def seen_failures(shapes: DataFrame) -> DataFrame:
+    """``lhs BIGINT, rhs INT``: a group whose rows agree on some columns and differ in
+    another shows that those columns, and fewer, do not determine it."""
+    return (
+        shapes.filter("differ <> 0L")
+        .select(F.col("agree").alias("lhs"), F.explode(masks.members(F.col("differ"))).alias("rhs"))
+        .distinct()
+    )
+
+
+def one_left_side(df: DataFrame, test: Test, not_null: Iterable[int] = ()) -> DataFrame:
+    """The row of ``group_test`` for one test, reading only its own columns."""
+    not_null = set(not_null)
+    keys = [cells.sql_name(n) for n in cells.names_at(df, masks.ordinals_of(test.lhs))]
+    carried, aggs, refuted = [], [], ["0L"]
+    for a in masks.ordinals_of(test.rhs):
+        value, spread, split = _spread(df, a, a not in not_null)
+        carried.append(value)
+        aggs += spread
+        if spread:
+            refuted.append(f"if(coalesce(max({split}), false), {1 << (a - 1)}L, 0L)")
+    groups = df.selectExpr(*keys, *carried).groupBy(*keys).agg(
+        *[F.expr(e) for e in aggs or ["1 AS one"]]
+    )
+    return groups.agg(
+        F.expr(f"{test.lhs}L AS lhs"),
+        F.expr("count(1) AS n_lhs"),
+        F.expr(f"{' | '.join(refuted)} AS refuted"),
     )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from determina.functions import cells
+from determina.operators.checks import is_fixed_width
 from determina.operators.tables import vocabulary
 from determina.sources.staging import stage
 
@@ -90,3 +93,31 @@ def encode(df: DataFrame, dictionary: DataFrame) -> DataFrame:
                   "cold_word", "cold_salt", "cold_id")
         )
     return out.select([F.col(f"id{i}").alias(n) for i, n in enumerate(names)])
+
+
+def encode_short_columns(df: DataFrame, sizes: dict[str, int], limit: int) -> DataFrame:
+    """Texts of columns with at most ``limit`` different values replaced by numbers,
+    column by column; the other columns as they are.
+
+    ``sizes`` has the number of different values of the columns to look at. The values
+    of one column are what is broadcast, so no broadcast holds more than ``limit`` rows.
+    """
+    out = df
+    for name, n in sizes.items():
+        if n > limit or is_fixed_width(df.schema[name].dataType):
+            continue
+        value = cells.quoted(name)
+        words = df.select(value.alias("_word")).distinct().orderBy("_word").toArrow().column(0)
+        if len(words) > limit:
+            raise ValueError(f"{name} has {len(words)} values, {n} were announced")
+        ids = pa.table([words, pa.array(range(len(words)), pa.int64())], names=["_word", "_id"])
+        table = df.sparkSession.createDataFrame(
+            ids, T.StructType([T.StructField("_word", df.schema[name].dataType),
+                               T.StructField("_id", T.LongType())])
+        )
+        out = (
+            out.join(F.broadcast(table), value.eqNullSafe(F.col("_word")), "left")
+            .withColumn(name, F.col("_id"))
+            .select([cells.quoted(c) for c in df.columns])
+        )
+    return out

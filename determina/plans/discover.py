@@ -28,16 +28,23 @@ from pyspark.sql import functions as F
 
 from determina.functions import cells, masks
 from determina.operators import checks, classes, counts, lattice
+from determina.operators.dictionary import encode_short_columns
 from determina.plans.evidence import ColumnProfile, failures_in_sample
-from determina.plans.prover import SLICE_ROWS, Prover
+from determina.plans.prover import SLICE_ROWS, Prover, SharedRows
 from determina.sources.staging import stage
 
 # Cells up to which the columns in use are kept in memory between tests. Larger tables
-# are read again, each test reading only its own columns.
+# are written once with short columns encoded, and each test reads only its columns.
 PERSIST_CELLS = 400_000_000
 
 SAMPLE_ROWS = 5_000
 
+# Texts of columns with no more different values than this are searched as numbers.
+SHORT_COLUMN = 10_000
+
+# Left sides to test from which looking for the rows that matter to them is worth it.
+SHARE_FROM = 8
+
 # Tables of fewer rows than this many samples are tested without a sample.
 EVIDENCE_FROM = 4
 
@@ -110,15 +117,28 @@ class _Discovery:
     def _test_candidates(self, cands: DataFrame) -> list[tuple[int, int]]:
         """Test a table of candidates in driver-sized portions; FDs as pairs."""
         grouped = cands.groupBy("lhs").agg(F.bit_or(masks.bit(F.col("rhs"))).alias("rhs"))
-        found, portion = [], []
-        for row in grouped.toLocalIterator():
-            portion.append(checks.Test(row.lhs, row.rhs))
-            if len(portion) == self.prover.batch:
-                found += self.prover.decide(sorted(portion))
-                portion = []
-        found += self.prover.decide(sorted(portion))
+        tests = sorted(checks.Test(r.lhs, r.rhs) for r in grouped.toLocalIterator())
+        self._share([t.lhs for t in tests])
+        found, lessons = [], []
+        for shared in (False, True):
+            prover = self.shared.prover if shared else self.prover
+            mine = [t for t in tests if self.shared.covers(t.lhs) == shared]
+            for portion in counts.batches(mine, prover.batch if prover else 1):
+                found += prover.decide(portion)
+            lesson = prover.new_failures() if prover else None
+            if lesson is not None:
+                lessons.append(lesson)
+        if lessons:
+            seen = counts.union_all([self.failures, *lessons]).distinct()
+            self.failures = stage(lattice.maximal_only(seen), "failures")
         return [(lhs, a) for lhs, rhs in found for a in masks.ordinals_of(rhs)]
 
+    def _share(self, open_lhs: list[int]) -> None:
+        """Before many tests on many rows, look for rows that do for them."""
+        left = [lhs for lhs in open_lhs if lhs.bit_count() > 1 and not self.shared.covers(lhs)]
+        if self.prover.slices > 1 and len(left) >= SHARE_FROM:
+            self.shared.add_for(left, {c.ordinal: c.n for c in self.profile})
+
     # -- small tables ---------------------------------------------------------
 
     def _pairs(self, pairs: Iterable[tuple[int, int]]) -> DataFrame:
@@ -153,21 +173,28 @@ class _Discovery:
         slots = {i: c.ordinal for i, c in enumerate(varying, 1)}
         self.profile = [c._replace(ordinal=i) for i, c in enumerate(varying, 1)]
         self.n_rows = self.profile[0].n_rows
-        self.rows = self.source.select([cells.quoted(c.name) for c in varying])
+        self.rows = encode_short_columns(
+            self.source.select([cells.quoted(c.name) for c in varying]),
+            {c.name: c.n for c in varying}, SHORT_COLUMN,
+        )
         keep = self.n_rows * len(varying) <= PERSIST_CELLS
         if keep:
             # A small table may come as one file; its tests are worth more tasks.
             self.rows = self.rows.repartition(
                 self.spark.sparkContext.defaultParallelism
             ).persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            self.rows = stage(self.rows, "encoded")
         try:
+            sampled = self.n_rows > self.settings.sample_rows * EVIDENCE_FROM
             self.prover = Prover(
                 self.rows, self.n_rows, {c.ordinal for c in self.profile if not c.has_null},
-                self.settings.check, self.settings.slice_rows,
+                self.settings.check, self.settings.slice_rows, learning=sampled,
             )
+            self.shared = SharedRows(self.prover, self.n_rows)
             self.prover.counted = {1 << (c.ordinal - 1): c.n for c in self.profile}
             self.failures = None
-            if self.n_rows > self.settings.sample_rows * EVIDENCE_FROM:
+            if sampled:
                 self.failures = failures_in_sample(
                     self.rows, self.profile, self.settings.sample_rows
                 )
@@ -278,6 +305,8 @@ class _Discovery:
             found = self._test_candidates(self._not_refuted(open_cands))
             fds = fds + found
             self.prover.learn(fds)
+            if self.shared.prover:
+                self.shared.prover.recount()
             failed = cands
             if found:
                 failed = cands.join(self._pairs(found), ["lhs", "rhs"], "left_anti")

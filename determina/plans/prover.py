@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from determina.functions import masks
+from determina.functions import cells, masks
 from determina.operators import checks, counts
+from determina.sources.staging import stage
 
 # Rows times tests of one scan of a small table.
 COPIES = 4_000_000
@@ -59,13 +63,18 @@ class Prover:
 
     def __init__(
         self, rows: DataFrame, n_rows: int, not_null: Iterable[int],
-        check: str = "group", slice_rows: int = SLICE_ROWS,
+        check: str = "group", slice_rows: int = SLICE_ROWS, learning: bool = False,
     ):
         self.rows = rows
         self.not_null = set(not_null)
         self.check = check
         self.closures = Closures()
         self.counted: dict[int, int] = {}
+        self.learning = learning
+        self.lessons: list[DataFrame] = []
+        self.watched = masks.mask_of(
+            i for i, f in enumerate(rows.schema, 1) if checks.is_fixed_width(f.dataType)
+        )
         per_slice = max(slice_rows, min(n_rows // 256, SLICE_ROWS_MAX))
         self.slices = 1 if n_rows < 2 * per_slice else n_rows // per_slice
         self.batch = WIDE_BATCH
@@ -80,6 +89,10 @@ class Prover:
 
     def learn(self, fds: Iterable[tuple[int, int]]) -> None:
         self.closures.learn(fds)
+        self.recount()
+
+    def recount(self) -> None:
+        """File the counts under what their sets now determine."""
         self.counted = {self.closures.of(m): n for m, n in self.counted.items()}
 
     def decide(self, tests: list[checks.Test]) -> list[tuple[int, int]]:
@@ -96,8 +109,13 @@ class Prover:
     def _group_test(self, tests, proved: dict[int, int]) -> list[tuple[int, int]]:
         """Refute in one scan; returns what is still open."""
         asked = {t.lhs: t.rhs for t in tests}
-        answers = checks.group_test(self.rows, tests, self.not_null, self.slices).collect()
-        for r in answers:
+        shapes = checks.group_shapes(
+            self.rows, tests, self.not_null, self.slices, self.watched if self.learning else 0
+        )
+        if self.learning:
+            shapes = stage(shapes, "shapes")
+            self.lessons.append(shapes)
+        for r in checks.summed_shapes(shapes).collect():
             asked[r.lhs] &= ~r.refuted
             if self.slices == 1:
                 self.counted[self.closures.of(r.lhs)] = r.n_lhs
@@ -106,17 +124,34 @@ class Prover:
                 asked[r.lhs] = open_rhs
         return [(lhs, rhs) for lhs, rhs in asked.items() if rhs]
 
+    def new_failures(self) -> DataFrame | None:
+        """``lhs, rhs`` seen in the groups since the last call."""
+        if not self.lessons:
+            return None
+        seen, self.lessons = counts.union_all(self.lessons), []
+        return checks.seen_failures(seen)
+
     def _count_test(self, left: list[tuple[int, int]], proved: dict[int, int]) -> None:
         """X determines all of several columns exactly when X with all of them has no
-        more different tuples than X, so one count settles them together. Only if that
-        fails is each counted by itself."""
+        more different tuples than X, so one count settles them together. Where it
+        fails, the groups of X tell the right sides apart; those they cannot tell, for
+        being texts, are counted one by one."""
         self._count(m for lhs, rhs in left for m in (lhs, lhs | rhs))
-        apart = []
+        mixed = []
         for lhs, rhs in left:
             if self._n(lhs) == self._n(lhs | rhs):
                 proved[lhs] = proved.get(lhs, 0) | rhs
             elif rhs.bit_count() > 1:
-                apart += [(lhs, 1 << (a - 1)) for a in masks.ordinals_of(rhs)]
+                mixed.append(checks.Test(lhs, rhs))
+        asked = {t.lhs: t.rhs for t in mixed}
+        if self.check == "group":
+            for part in counts.batches(mixed):
+                plan = [checks.one_left_side(self.rows, t, self.not_null) for t in part]
+                for r in counts.union_all(plan).collect():
+                    open_rhs = checks.needs_confirmation(self.rows, asked[r.lhs])
+                    proved[r.lhs] = proved.get(r.lhs, 0) | asked[r.lhs] & ~r.refuted & ~open_rhs
+                    asked[r.lhs] &= open_rhs & ~r.refuted
+        apart = [(lhs, 1 << (a - 1)) for lhs, rhs in asked.items() for a in masks.ordinals_of(rhs)]
         self._count(lhs | a for lhs, a in apart)
         for lhs, a in apart:
             if self._n(lhs) == self._n(lhs | a):
@@ -132,6 +167,112 @@ class Prover:
             if closed not in self.counted and closed not in missing:
                 missing[closed] = self.closures.narrowed(mask, self.wide_first)
         closed_of = {narrow: closed for closed, narrow in missing.items()}
-        for part in counts.batches(sorted(closed_of)):
-            for r in counts.set_counts(self.rows, part).collect():
+        # A small table is counted in as few scans as the tests are made in.
+        small = self.slices == 1
+        count = counts.set_counts_in_one_scan if small else counts.set_counts
+        self.counted.update(dict.fromkeys(closed_of.values(), 0))
+        for part in counts.batches(sorted(closed_of), self.batch if small else counts.BATCH):
+            for r in count(self.rows, part).collect():
                 self.counted[closed_of[r.mask]] = r.n
+
+
+# A set of columns is nearly a key when at most this part of the rows can share its
+# values with another row.
+SHARED_PART = 0.25
+
+# Nearly-key sets looked for and used at a time.
+SETS_SIZED = 64
+SETS_USED = 16
+
+
+def rows_with_company(rows: DataFrame, mask: int) -> DataFrame:
+    """Rows that some other row equals on a set of columns.
+
+    The repeated values are found by a grouping and looked up by a semi join, so a
+    value held by very many rows never comes together in one task.
+    """
+    names = cells.names_at(rows, masks.ordinals_of(mask))
+    quoted = [cells.sql_name(n) for n in names]
+    repeated = (
+        rows.groupBy(*quoted).agg(F.expr("count(1) AS _rows")).filter("_rows > 1")
+        .selectExpr(*[f"{q} AS _k{i}" for i, q in enumerate(quoted)])
+    )
+    same = F.expr(" AND ".join(f"{q} <=> _k{i}" for i, q in enumerate(quoted)))
+    return rows.join(repeated, same, "left_semi")
+
+
+class SharedRows:
+    """The rows that matter for left sides around nearly-key sets of columns.
+
+    Only rows equal on X can refute ``X -> A``. If X covers a set P, such rows are
+    equal on P too. For a set P that is nearly a key, the rows that share their values
+    on P are few, and every test with a left side around P gives the same answer on
+    them as on the whole table.
+    """
+
+    def __init__(self, whole: Prover, n_rows: int):
+        self.whole = whole
+        self.n_rows = n_rows
+        self.sets: list[int] = []
+        self.refused: set[int] = set()
+        self.rows: DataFrame | None = None
+        self.prover: Prover | None = None
+
+    def covers(self, lhs: int) -> bool:
+        return any(lhs & p == p for p in self.sets)
+
+    def add_for(self, open_lhs: list[int], sizes: dict[int, int]) -> None:
+        """Look for nearly-key sets inside some left sides, one column smaller.
+
+        ``sizes`` are the numbers of values of the columns. The sets are sized by
+        estimates from one scan without a shuffle, and used from the one most left
+        sides cover. The choice affects only where tests are run.
+        """
+        wanted = Counter(
+            lhs & ~(1 << (i - 1)) for lhs in open_lhs for i in masks.ordinals_of(lhs)
+        )
+        least = (1 - SHARED_PART / 2) * self.n_rows
+        sets = [
+            p for p, _ in sorted(wanted.items(), key=lambda item: (-item[1], item[0]))
+            if p not in self.refused
+            and math.prod(sizes[i] for i in masks.ordinals_of(p)) >= least
+        ][:SETS_SIZED]
+        if not sets:
+            return
+        rows = self.whole.rows
+        estimates = rows.agg(*[
+            F.expr(f"approx_count_distinct(xxhash64({self._names(p)})) AS n{p}") for p in sets
+        ]).head()
+        self.refused.update(sets)
+        near = [p for p in sets if estimates[f"n{p}"] >= least * 0.95]
+        chosen, left = [], set(open_lhs)
+        while near and left and len(chosen) < SETS_USED:
+            best = max(near, key=lambda p: sum(lhs & p == p for lhs in left))
+            near.remove(best)
+            covered = {lhs for lhs in left if lhs & best == best}
+            if len(covered) < 2:
+                break
+            chosen.append(best)
+            left -= covered
+        if not chosen:
+            return
+        parts = [rows_with_company(rows, p) for p in chosen]
+        if self.rows is not None:
+            parts.append(self.rows)
+        shared = stage(counts.union_all(parts), "shared-rows")
+        n_shared = shared.count()
+        if n_shared > self.n_rows // 2:
+            return
+        self.sets += chosen
+        self.rows = shared
+        prover = Prover(
+            shared, n_shared, self.whole.not_null, self.whole.check, learning=self.whole.learning
+        )
+        prover.lessons = self.prover.lessons if self.prover else []
+        prover.closures = self.whole.closures
+        self.prover = prover
+
+    def _names(self, mask: int) -> str:
+        return ", ".join(
+            cells.sql_name(n) for n in cells.names_at(self.whole.rows, masks.ordinals_of(mask))
+        )
