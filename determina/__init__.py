@@ -3,7 +3,13 @@
 from determina.operators.checks import check_fds, violations
 from determina.operators.classes import as_text
 from determina.plans.discover import discover_fds, discover_fds_by_count, discover_fds_in_parts
-from determina.sources.delimited import fd_lines, read_delimited, read_split_lines, write_fds
+from determina.sources.delimited import (
+    fd_lines,
+    line_widths,
+    read_delimited,
+    read_split_lines,
+    write_fds,
+)
 
 __all__ = [
     "as_text",
@@ -12,6 +18,7 @@ __all__ = [
     "discover_fds_by_count",
     "discover_fds_in_parts",
     "fd_lines",
+    "line_widths",
     "read_delimited",
     "read_split_lines",
     "violations",

@@ -79,3 +79,13 @@ def fd_lines(fds: DataFrame) -> DataFrame:
 def write_fds(fds: DataFrame, path: str) -> None:
     """Write FDs as text lines to a new folder."""
     fd_lines(fds).write.text(path)
+
+
+def line_widths(lines: DataFrame, separator: str = ",") -> DataFrame:
+    """``width INT, n_rows BIGINT``: how many lines have how many cells. A table has
+    one width; more than one means ragged lines. Takes ``value STRING``."""
+    return (
+        lines.select(F.size(cells.split_cells(F.col("value"), separator)).alias("width"))
+        .groupBy("width")
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+    )
