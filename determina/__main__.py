@@ -30,7 +30,9 @@ def main() -> None:
         df = d.read_delimited(
             spark, args.input, width=args.width, separator=args.separator, distinct=False
         )
-        fds = d.discover_fds(df, max_lhs=args.max_lhs, constants=args.constants)
+        fds = d.discover_fds(
+            df, max_lhs=args.max_lhs, constants=args.constants, stage_input=True
+        )
         d.write_fds(fds, args.output)
     finally:
         spark.stop()

@@ -281,16 +281,23 @@ def group_constancy(df: DataFrame, shared: int, lhs: Sequence[int], rhs: Sequenc
     side determines each right side among its rows. One scan answers for all."""
     (name,) = cells.names_at(df, [shared])
     keys = [cells.quoted(n) for n in cells.names_at(df, sorted(set(lhs) | {shared}))]
-    # A struct of one cell has a minimum and a maximum that do not skip nulls.
-    boxed = [(a, F.struct(cells.quoted(n))) for a, n in zip(rhs, cells.names_at(df, rhs))]
-    inner = df.groupBy(*keys).agg(
-        *[F.min(b).eqNullSafe(F.max(b)).alias(f"ok{a}") for a, b in boxed]
-    )
+    inner = df.groupBy(*keys).agg(*[F.expr(f"{_one_value(df, a)} AS ok{a}") for a in rhs])
     return inner.groupBy(cells.quoted(name).alias("value")).agg(
         *[F.bool_and(f"ok{a}").alias(f"ok{a}") for a in rhs]
     )
 
 
+def _one_value(df: DataFrame, ordinal: int) -> str:
+    """Whether a group has one value of a column, a missing one counted as a value."""
+    field = df.schema[ordinal - 1]
+    value = cells.sql_name(field.name)
+    if is_fixed_width(field.dataType):
+        gap = f"(max({value} IS NULL) AND min({value}) IS NOT NULL)"
+        return f"min({value}) <=> max({value}) AND NOT {gap}"
+    # A struct of one cell has a minimum and a maximum that do not skip nulls.
+    return f"min(struct({value})) <=> max(struct({value}))"
+
+
 def group_votes(verdicts: DataFrame) -> DataFrame:
     """``lhs, rhs, n_holding, n_groups`` from ``group_verdicts``: in how many groups a
     candidate holds."""

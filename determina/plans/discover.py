@@ -64,6 +64,7 @@ def discover_fds(
     as_text: bool = False,
     check: str = "group",
     parts: Sequence[Sequence[str]] | None = None,
+    stage_input: bool = False,
     sample_rows: int = SAMPLE_ROWS,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
@@ -73,9 +74,11 @@ def discover_fds(
     order given. ``max_lhs`` limits the size of left sides. ``constants="expand"``
     also reports every other column for a constant one. ``as_text`` compares texts
     instead of typed values. ``check`` is ``"group"`` or ``"count"``. ``parts`` are
-    disjoint groups of columns to search within before searching across them. Missing
-    values are equal to each other. The result does not depend on any of the other
-    settings.
+    disjoint groups of columns to search within before searching across them.
+    ``stage_input`` first writes the table to the shared folder: for text files, joins
+    and other inputs that cost more to make than to read, since the profile reads them
+    once per column. Missing values are equal to each other. The result does not
+    depend on ``check``, ``parts`` and the settings after it.
     """
     if check not in ("group", "count"):
         raise ValueError("check is 'group' or 'count'")
@@ -83,10 +86,17 @@ def discover_fds(
         raise ValueError("constants is 'strict' or 'expand'")
     if columns is not None:
         df = df.select([cells.quoted(c) for c in columns])
-    if as_text:
-        df = cells.cast_all(df, "string")
     if not df.columns:
         raise ValueError("the table has no columns")
+    # Numbers for names: they may repeat, as after a join.
+    numbered = {name: f"c{i}" for i, name in enumerate(df.columns, 1)}
+    df = df.toDF(*[f"c{i}" for i in range(1, len(df.columns) + 1)])
+    if parts is not None:
+        parts = [[numbered[n] for n in part] for part in parts]
+    if as_text:
+        df = cells.cast_all(df, "string")
+    if stage_input:
+        df = stage(df, "input")
     settings = Settings(check, max_lhs, sample_rows, slice_rows)
     return _Discovery(df, settings).run(constants, parts)
 

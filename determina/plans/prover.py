@@ -245,6 +245,8 @@ class SharedRows:
         ]).head()
         self.refused.update(sets)
         near = [p for p in sets if estimates[f"n{p}"] >= least * 0.95]
+        # Of n rows with d different values at most 2 (n - d) share theirs.
+        room = self.n_rows // 2
         chosen, left = [], set(open_lhs)
         while near and left and len(chosen) < SETS_USED:
             best = max(near, key=lambda p: sum(lhs & p == p for lhs in left))
@@ -252,6 +254,9 @@ class SharedRows:
             covered = {lhs for lhs in left if lhs & best == best}
             if len(covered) < 2:
                 break
+            room -= max(0, 2 * (self.n_rows - estimates[f"n{best}"]))
+            if room < 0:
+                break
             chosen.append(best)
             left -= covered
         if not chosen:

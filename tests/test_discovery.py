@@ -92,6 +92,11 @@ def test_names_with_dots_and_ticks(spark):
     assert d.violations(df, ["a.b"], "c`d").count() == 2
 
 
+def test_repeated_names_and_staged_input(spark):
+    df = table(spark, XOR).toDF("a", "b", "a")
+    assert as_set(d.discover_fds(df, stage_input=True)) == parse("1,2>3 1,3>2 2,3>1")
+
+
 def test_wrong_options(spark):
     df = table(spark, XOR)
     for options in ({"check": "no"}, {"constants": "no"}):
