@@ -27,14 +27,18 @@ def read_delimited(
     csv file; a first line shorter than others would lose cells, so such a file
     needs ``width``. Repeated rows are dropped unless ``distinct=False``.
     """
-    options = dict(
-        header=False, sep=separator, quote=quote, escape=quote, mode="PERMISSIVE",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    options = {
+        "sep": separator, "quote": quote, "escape": quote, "mode": "PERMISSIVE",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
     if width is None:
-        width = len(spark.read.csv(path, inferSchema=False, **options).columns)
+        width = len(spark.read.options(**options).csv(path).columns)
+        if width == 0:
+            raise ValueError("the file has no lines to count columns in; give a width")
+    # Parsed line by line, since the csv reader leaves out blank lines.
     schema = cells.numbered_schema(width, T.StringType())
-    df = spark.read.csv(path, schema=schema, **options).fillna("")
+    row = F.from_csv("value", schema.toDDL(), options).alias("row")
+    df = spark.read.text(path).select(row).select("row.*").fillna("")
     return df.dropDuplicates() if distinct else df
 
 

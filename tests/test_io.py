@@ -31,6 +31,11 @@ def test_short_rows_and_duplicates(spark, tmp_path):
     assert sorted(map(tuple, d.read_delimited(spark, path).collect())) == [("1", "2", "3"), ("4", "", "")]
 
 
+def test_blank_line_is_a_row(spark, tmp_path):
+    df = d.read_delimited(spark, write_lines(tmp_path, ["a", "", "b"]))
+    assert sorted(map(tuple, df.collect())) == [("",), ("a",), ("b",)]
+
+
 def test_split_lines(spark, tmp_path):
     df = d.read_split_lines(spark, write_lines(tmp_path, ['"x,y",2', "a,b,"]), drop=[2])
     assert sorted(map(tuple, df.collect())) == [('"x', "2"), ("a", "")]
