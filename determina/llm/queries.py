@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from determina.llm import decontaminate, minhash, sharding, urls
+from determina.llm import bwt, decontaminate, hnsw, langid, lbl, minhash, pieces, sharding, urls
+from determina.llm.shared import crc_mod
 
 SHARDS = [f"shard-{i:04d}" for i in range(1000)]
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,10 +20,25 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.identify(docs, model).select("row.doc_id", "lang_pred", "score").select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lbl.score_texts(_table(spark, sf_dir, "documents"))
+    return scored.withColumn("held_out", crc_mod("doc_id", 7) == 2)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -35,7 +51,18 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).select("row.page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op3_sharding, op7_decontaminate, op8_urls)}
+def op9_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.digests(_table(spark, sf_dir, "documents"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, and whether they decode to it."""
+    docs = _table(spark, sf_dir, "documents")
+    coded = pieces.encode(docs, pieces.load_pieces())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_hnsw, op3_sharding, op5_language, op6_lbl, op7_decontaminate, op8_urls, op9_bwt, op10_pieces)}
 
 WORDS_SQL = f"""
 list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
@@ -53,6 +80,15 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, g.component_id, d.doc_id =
 from documents d join g using (doc_id) left join n using (doc_id)
 """
 
+OP2_SQL = """
+with recursive l as (select a.vec_id a, b.vec_id b from embeddings a join embeddings b
+  on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.98),
+r(vec_id, comp) as (select vec_id, vec_id from embeddings union select l.b, r.comp from r join l on l.a = r.vec_id),
+g as (select vec_id, min(comp) component_id from r group by 1), n as (select a vec_id, count(*) n from l group by 1)
+select e.vec_id, coalesce(n, 0)::bigint n_links, component_id, e.vec_id = component_id kept
+from embeddings e join g using (vec_id) left join n using (vec_id)
+"""
+
 OP7_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 OP7_SQL = f"""
 with d as (select doc_id, {OP7_WORDS} ws from documents), b as (select item_id, {OP7_WORDS} ws from benchmark),
@@ -84,4 +120,4 @@ select page_id, host, path, rule, coalesce(v, case when exists (select 1 from ba
 from p left join f using (page_id)
 """
 
-ORACLE = {"op1_minhash": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_urls": OP8_SQL}
+ORACLE = {"op1_minhash": OP1_SQL, "op2_hnsw": OP2_SQL, "op7_decontaminate": OP7_SQL, "op8_urls": OP8_SQL}
