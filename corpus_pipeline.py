@@ -3,26 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from determina.llm import decontaminate, minhash
+from determina.llm import bwt, decontaminate, langid, minhash, pieces
 from determina.llm.shared import staged
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of texts that a stage has cut."""
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is unknown or unsure go."""
+    return langid.keep_known(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: the one with the smallest id."""
-    classes = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(classes, "doc_id", "left_semi")
+    """One document of each class of near-duplicates stays: the one with the smallest id.
+
+    Documents without words and documents without an id are in no class and stay.
+    """
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
 
 
-def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes and more that begin at two places are cut out."""
+    return _measured(bwt.remove_repeats(docs))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly benchmark go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, items)
+    return _measured(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents, with the text decoded from its piece ids, and the ids."""
+    others = [c for c in docs.columns if c != "text"]
+    coded = pieces.encode(docs.select(F.struct(*others).alias("id"), "text"), pieces.load_pieces(), "id")
+    return coded.select(*(F.col("decoded").alias(c) if c == "text" else F.col("id")[c].alias(c) for c in docs.columns), "ids")
 
 
-STAGES = [("minhash", near_duplicates), ("decontaminate", clean_of_benchmark)]
+STAGES = [
+    ("language", known_language), ("minhash", near_duplicates), ("repeats", repeated_strings),
+    ("benchmark", benchmark_passages), ("pieces", piece_ids),
+]
 
-#: The stages have no SQL form; tests hold them against brute force.
+#: No stage has a SQL form on its input; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -215,13 +215,16 @@ def _window_batches(length: int):
 
 
 def _remove_batches(length: int):
-    """Task code: (k1, k2, text, begins, ends) to (k1, k2, n_removed, spans, kept)."""
+    """Task code: (k1, k2, text, begins, ends) to (k1, k2, n_removed, spans, kept, clean).
+
+    ``clean`` is the kept text without parts of characters at the edges of what is removed.
+    """
 
     def run(batches):
         for batch in batches:
             begins, ends = batch.column("begins"), batch.column("ends")
             texts = batch.column("text")
-            removed, spans, kept = [], [], []
+            removed, spans, kept, clean = [], [], [], []
             for i in range(len(batch)):
                 text = texts[i].as_py()
                 edge = np.zeros(len(text) + 1, np.int64)
@@ -231,11 +234,13 @@ def _remove_batches(length: int):
                 a, b = runs(gone)
                 removed.append(int(gone.sum()))
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)])
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+                parts = [text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True)]
+                kept.append(b"".join(parts))
+                clean.append("".join(x.decode("utf-8", "ignore") for x in parts))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())],
-                ["k1", "k2", "n_removed", "spans", "kept"])
+                [batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(clean, pa.string())],
+                ["k1", "k2", "n_removed", "spans", "kept", "clean"])
 
     return run
 
@@ -252,8 +257,8 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", l
                   hot: int = 256, bucket_bytes: int = 512 << 10) -> tuple[DataFrame, DataFrame]:
     """Distinct texts that repeat something, and their cleaned form.
 
-    Returns (k1, k2, copies) of texts that several rows share, and (k1, k2, n_removed, spans, kept)
-    of distinct texts that share strings with other texts or within themselves.
+    Returns (k1, k2, copies) of texts that several rows share, and (k1, k2, n_removed, spans, kept,
+    clean) of distinct texts that share strings with other texts or within themselves.
 
     A name with more than ``hot`` distinct pieces would be too much for a bucket; the strings of its
     pieces are counted by 128-bit digests instead, an exact way but for digests that collide.
@@ -296,7 +301,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", l
     by_text = spots.select("k1", "k2", shifted.alias("begins"), ended.alias("ends")).groupBy("k1", "k2").agg(
         F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
     cleaned = texts.select("k1", "k2", "text").join(by_text, ["k1", "k2"]).mapInArrow(
-        _remove_batches(length), "k1 long, k2 long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+        _remove_batches(length), "k1 long, k2 long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, clean string")
     return same, cleaned
 
 
@@ -318,3 +323,13 @@ def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length:
         id_col, "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", "own")).alias("kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, **settings) -> DataFrame:
+    """``docs`` without repeated strings; rows of which nothing is left go, rows without text stay."""
+    same, cleaned = repeated_runs(docs, text, id_col, length, **settings)
+    keys = text_keys(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), *keys)
+    joined = rows.join(same, ["k1", "k2"], "left").join(cleaned.select("k1", "k2", "clean"), ["k1", "k2"], "left")
+    joined = joined.where("copies is null and (clean is null or clean != '')")
+    return joined.select(*(F.coalesce("clean", "text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from determina.llm import bwt, decontaminate, hnsw, langid, lbl, minhash, pieces, sharding, urls
+from determina.llm import bwt, decontaminate, hnsw, langid, lbl, licenses, minhash, pieces, sharding, urls
 from determina.llm.shared import crc_mod
 
 SHARDS = [f"shard-{i:04d}" for i in range(1000)]
@@ -28,6 +28,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source, then a directory of a hundred ids, then the id."""
+    path = F.concat_ws("/", "row.source", F.floor(F.col("row.doc_id") / 100).cast("string"), F.col("row.doc_id").cast("string"))
+    found = licenses.inherit(licenses.scan(_table(spark, sf_dir, "documents")), path, share=0.2)
+    return found.select("row.doc_id", "path", "license", F.round("score", 6).alias("score"), "is_license_file", "effective", "origin", "from_dir")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -62,7 +69,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_hnsw, op3_sharding, op5_language, op6_lbl, op7_decontaminate, op8_urls, op9_bwt, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_hnsw, op3_sharding, op4_licenses, op5_language, op6_lbl, op7_decontaminate, op8_urls, op9_bwt, op10_pieces)}
 
 WORDS_SQL = f"""
 list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
