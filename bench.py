@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import catalog  # noqa: E402
 
 HEADLINE = [
-    "column_counts", "pair_counts", "set_counts", "vocabulary", "build_dictionary",
+    "column_counts", "pair_counts", "set_counts", "set_counts_in_one_scan", "vocabulary", "build_dictionary",
     "dictionary_encoded", "group_sizes", "group_constancy", "violations", "given_fds",
     "single_fds", "prove_by_counts", "prove_by_groups", "equivalence_classes",
     "candidates_not_implied", "minimal_fds",

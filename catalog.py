@@ -39,8 +39,25 @@ def lineitem8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select(*LINEITEM8)
 
 
+def gaps(spark, sf_dir):
+    """Customers with missing values in three columns."""
+    return load(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "nullif(c_nationkey, 5) nation", "nullif(c_mktsegment, 'BUILDING') segment",
+        "nullif(c_nationkey % 4, 2) fourth", "c_acctbal",
+    )
+
+
+def lineitem_supplier(spark, sf_dir):
+    """Columns of lineitem with the supplier's name, which stands for its key."""
+    left, right = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "supplier")
+    return left.join(right, left["l_suppkey"] == right["s_suppkey"]).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_suppkey", "s_name", "s_nationkey"
+    )
+
+
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return {"geo": geo, "lineitem8": lineitem8}.get(name) or (
+    derived = {"geo": geo, "lineitem8": lineitem8, "gaps": gaps, "lineitem_supplier": lineitem_supplier}
+    return derived.get(name) or (
         lambda spark, sf_dir: load(spark, sf_dir, name)
     )
 
@@ -66,7 +83,7 @@ def split_lines_source(spark, sf_dir):
 
 
 def staged_table(spark, sf_dir):
-    return stage(load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
+    return stage(load(spark, sf_dir, "events"))
 
 
 def fd_text_sink(spark, sf_dir):
@@ -87,13 +104,12 @@ def project_distinct(spark, sf_dir):
 
 
 def cast_all_columns(spark, sf_dir):
-    df = load(spark, sf_dir, "lineitem")
-    return cells.cast_all(df.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), "string")
+    return cells.cast_all(load(spark, sf_dir, "lineitem"), "string")
 
 
 def numbered_integers(spark, sf_dir):
-    df = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
-    schema = cells.numbered_schema(3)
+    df = load(spark, sf_dir, "labels")
+    schema = cells.numbered_schema(len(df.columns))
     return cells.cast_all(df, schema[0].dataType).toDF(*schema.names)
 
 
@@ -153,7 +169,7 @@ def set_labels(spark, sf_dir):
 
 
 def distinct_rows(spark, sf_dir):
-    return tables.distinct_rows(load(spark, sf_dir, "documents").select("text", "lang"))
+    return tables.distinct_rows(load(spark, sf_dir, "documents"))
 
 
 def vocabulary(spark, sf_dir):
@@ -177,7 +193,7 @@ def _refute(df: DataFrame, cands: DataFrame) -> DataFrame:
     )
 
 
-def _fds_up_to(df: DataFrame, size: int) -> DataFrame:
+def _fds_up_to(df: DataFrame, size: int | None) -> DataFrame:
     return stage(_prove(df, _candidates(df, size)), "fds")
 
 
@@ -189,7 +205,8 @@ def fd_difference(spark, sf_dir):
 
 def fd_union(spark, sf_dir):
     df = load(spark, sf_dir, "orders")
-    return tables.fd_union(_fds_up_to(df, 1), _fds_up_to(df, 2))
+    found, level = _fds_up_to(df, 3), masks.size(F.col("lhs"))
+    return tables.fd_union(found.filter(level <= 2), found.filter(level >= 2))
 
 
 # --- joins -----------------------------------------------------------------------
@@ -350,7 +367,10 @@ def refute_by_groups(spark, sf_dir):
 def grouped_test(spark, sf_dir):
     df = load(spark, sf_dir, "orders")
     tests = [checks.Test(1 << i, 63 & ~(1 << i)) for i in range(6)]
-    return checks.group_test(df, tests).select("lhs", "n_lhs")
+    asked = F.lit(63).cast("bigint").bitwiseXOR(F.col("lhs"))
+    return checks.group_test(df, tests).select(
+        "lhs", "n_lhs", F.col("refuted").bitwiseAND(asked).alias("refuted")
+    )
 
 
 def widest_candidates(spark, sf_dir):
@@ -366,8 +386,7 @@ def widest_fds(spark, sf_dir):
 
 def widest_fds_by_groups(spark, sf_dir):
     df = load(spark, sf_dir, "part")
-    cands = lattice.widest_candidates(spark, _all(df)).filter(masks.has(F.col("lhs"), F.lit(3)))
-    return tables.fd_difference(cands, checks.refute_by_groups(df, 3, cands))
+    return checks.widest_by_groups(df, 3, lattice.widest_candidates(spark, _all(df)))
 
 
 # --- classes, reduction, recovery --------------------------------------------------------
@@ -494,13 +513,13 @@ def candidates_not_redundant(spark, sf_dir):
 
 def fds_not_implied(spark, sf_dir):
     df = load(spark, sf_dir, "orders")
-    return lattice.prune_implied_fds(
+    return lattice.prune_implied(
         _prove(df, lattice.at_level(_candidates(df), 3)), _fds_up_to(df, 1)
     )
 
 
 def minimal_fds(spark, sf_dir):
-    return lattice.minimal_only(_fds_up_to(load(spark, sf_dir, "orders"), 3))
+    return lattice.minimal_only(_fds_up_to(load(spark, sf_dir, "orders"), None))
 
 
 def maximal_failures(spark, sf_dir):
@@ -538,6 +557,14 @@ def _discover(name: str, **options) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def discover_from_text(spark, sf_dir):
+    """Text in, FD text out: orders written as lines, read, searched and written."""
+    source, target = fresh_path(spark, "orders-text"), fresh_path(spark, "fds")
+    load(spark, sf_dir, "orders").write.csv(source, timestampFormat="yyyy-MM-dd HH:mm:ss")
+    d.write_fds(d.discover_fds(d.read_delimited(spark, source), stage_input=True), target)
+    return spark.read.text(target)
+
+
 def discover_by_count(spark, sf_dir):
     return d.as_text(d.discover_fds_by_count(load(spark, sf_dir, "part")))
 
@@ -577,12 +604,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         candidates_inside, candidates_not_implied, candidates_not_refuted,
         candidates_not_redundant, fds_not_implied, minimal_fds, maximal_failures,
         grown_failures, next_level, known_in_groups,
-        discover_by_count, discover_in_parts, discover_columns,
+        discover_by_count, discover_in_parts, discover_columns, discover_from_text,
     )
 } | {
     f"discover_{name}": _discover(name)
     for name in ("nation", "supplier", "customer", "part", "orders", "events", "documents",
-                 "conversations", "labels", "pages", "benchmark", "embeddings", "geo", "lineitem8")
+                 "conversations", "labels", "pages", "benchmark", "embeddings", "geo", "gaps",
+                 "lineitem", "lineitem8", "lineitem_supplier")
 } | {
     "discover_geo_expanded": _discover("geo", constants="expand"),
     "discover_customer_as_text": _discover("customer", as_text=True),

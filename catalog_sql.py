@@ -24,6 +24,10 @@ COLUMNS = {
     "pages": ["page_id", "url", "html"],
     "embeddings": ["vec_id", "embedding", "label"],
     "geo": ["c_custkey", "c_mktsegment", "n_nationkey", "n_name", "r_regionkey", "r_name", "src"],
+    "gaps": ["c_custkey", "nation", "segment", "fourth", "c_acctbal"],
+    "lineitem_supplier": [
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_suppkey", "s_name", "s_nationkey",
+    ],
     "lineitem8": [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
         "l_returnflag", "l_linestatus",
@@ -34,7 +38,13 @@ GEO = """(select c_custkey, c_mktsegment, n_nationkey, n_name, r_regionkey, r_na
  from customer join nation on c_nationkey = n_nationkey
  join region on n_regionkey = r_regionkey)"""
 
-SOURCE = {"geo": GEO, "lineitem8": "lineitem"}
+GAPS = """(select c_custkey, nullif(c_nationkey, 5) nation, nullif(c_mktsegment, 'BUILDING') segment,
+ nullif(c_nationkey % 4, 2) fourth, c_acctbal from customer)"""
+
+SOURCE = {
+    "geo": GEO, "lineitem8": "lineitem", "gaps": GAPS,
+    "lineitem_supplier": "lineitem join supplier on l_suppkey = s_suppkey",
+}
 
 
 def _cube(name: str, max_size: int | None = None, columns: list[str] | None = None) -> str:
@@ -166,14 +176,13 @@ def oracle() -> dict[str, str]:
         " c_acctbal::varchar c3, c_mktsegment c4 from customer",
         "split_lines_source": "select "
         + ", ".join(f"{c}::varchar c{i}" for i, c in enumerate(line[:10])) + " from lineitem",
-        "staged_table": "select event_id, user_id, event_type, value from events",
+        "staged_table": "select * from events",
         "fd_text_sink": _text("orders"),
         "project_by_number": "select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate from lineitem",
         "project_distinct": "select distinct l_partkey, l_suppkey, l_returnflag, l_linestatus"
         " from lineitem",
-        "cast_all_columns": "select l_orderkey::varchar l_orderkey, l_partkey::varchar l_partkey,"
-        " l_linenumber::varchar l_linenumber, l_returnflag::varchar l_returnflag from lineitem",
-        "numbered_integers": "select l_partkey::integer c0, l_suppkey::integer c1, l_linenumber::integer c2 from lineitem",
+        "cast_all_columns": "select " + ", ".join(f"{c}::varchar {c}" for c in line) + " from lineitem",
+        "numbered_integers": "select doc_id::integer c0, quality::integer c1, toxic::integer c2 from labels",
         "row_arrays": f"select concat_ws('|', {', '.join(COLUMNS['part'])}) cells from part",
         "composite_keys": "select l_partkey, l_suppkey, count(*)::bigint n from lineitem group by all",
         "split_cells": "select doc_id, len(string_split(text, ','))::bigint n_cells,"
@@ -185,10 +194,10 @@ def oracle() -> dict[str, str]:
         " (lhs & 2) <> 0 has_second, (lhs & 10) = 10 covers_two, level as size"
         " from holds where lhs <> 0 and level <= 2",
         "set_labels": f"{orders} select {_label('mask', 6)} cols, n from n where mask <> 0",
-        "distinct_rows": "select distinct text, lang from documents",
+        "distinct_rows": "select distinct * from documents",
         "vocabulary": vocabulary,
         "fd_difference": f"{orders} select lhs, rhs from holds where level between 1 and 2",
-        "fd_union": f"{orders} select lhs, rhs from holds where level between 1 and 2",
+        "fd_union": f"{orders} select lhs, rhs from holds where level between 1 and 3",
         "build_dictionary": ids,
         "dictionary_encoded": f"with d as ({ids}) select "
         + ", ".join(f"d{i}.id {c}" for i, c in enumerate(COLUMNS["part"]))
@@ -237,11 +246,12 @@ def oracle() -> dict[str, str]:
         "prove_by_groups": f"{events} select lhs, rhs from holds where level = 2 and (lhs & 4) <> 0",
         "refute_by_groups": f"{events} select lhs, rhs from fd where level = 2 and (lhs & 4) <> 0"
         " and n_lhs <> n_all",
-        "grouped_test": f"{orders} select mask lhs, n n_lhs from n where bit_count(mask) = 1",
+        "grouped_test": f"{orders} select lhs, max(n_lhs) n_lhs, sum(case when n_lhs <> n_all"
+        " then 1::bigint << (rhs - 1) else 0 end)::bigint refuted from fd where level = 1 group by lhs",
         "widest_candidates": f"{geo} select lhs, rhs from rcand"
         " where level = (select count(*) from red) - 1",
         "widest_fds": f"{part} select lhs, rhs from holds where level = 5",
-        "widest_fds_by_groups": f"{part} select lhs, rhs from holds where level = 5 and (lhs & 4) <> 0",
+        "widest_fds_by_groups": f"{part} select lhs, rhs from holds where level = 5",
         "equivalence_classes": f"{geo} select rep, member from cls",
         "one_way_fds": f"{geo} select lhs, rhs from oneway",
         "reduced_columns": f"{geo} select new_ord, old_ord, n from red",
@@ -273,7 +283,7 @@ def oracle() -> dict[str, str]:
         " = (h.lhs | (1::bigint << (h.rhs - 1))))",
         "fds_not_implied": f"{orders} select lhs, rhs from holds c where level = 3 and not exists"
         " (select 1 from holds h where h.level = 1 and h.rhs = c.rhs and (h.lhs & c.lhs) = h.lhs)",
-        "minimal_fds": f"{orders} select lhs, rhs from mn where level between 1 and 3",
+        "minimal_fds": f"{orders} select lhs, rhs from mn where level >= 1",
         "maximal_failures": f"{orders} select lhs, rhs from fd x where lhs <> 0 and n_lhs <> n_all and not exists"
         " (select 1 from fd y where y.n_lhs <> y.n_all and y.rhs = x.rhs and y.lhs <> x.lhs"
         " and (y.lhs & x.lhs) = x.lhs)",
@@ -286,6 +296,7 @@ def oracle() -> dict[str, str]:
         " attr as (select i::integer i, 1::bigint << (i - 1)::integer b from range(1, 7) r(i))"
         " select distinct v.\"value\", v.lhs | a.b lhs, v.rhs from v join bad using (lhs, rhs)"
         " join attr a on (v.lhs & a.b) = 0 and a.i <> v.rhs where v.n_lhs = v.n_all",
+        "discover_from_text": _text("orders"),
         "discover_by_count": _discovery("part"),
         "discover_in_parts": _discovery("part"),
         "discover_columns": _discovery("part", columns=COLUMNS["part"][1:]),
@@ -295,6 +306,5 @@ def oracle() -> dict[str, str]:
         "discover_lineitem_up_to_3": _discovery("lineitem", 4),
     }
     for name in COLUMNS:
-        if name != "lineitem":
-            sql[f"discover_{name}"] = _discovery(name)
+        sql[f"discover_{name}"] = _discovery(name)
     return sql

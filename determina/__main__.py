@@ -16,7 +16,7 @@ def main() -> None:
     parser.add_argument("output", help="a folder that does not exist yet")
     parser.add_argument("--checkpoints", help="shared folder for staged tables; default: spark.checkpoint.dir")
     parser.add_argument("--separator", default=",")
-    parser.add_argument("--width", type=int, help="number of columns, if the first line is short")
+    parser.add_argument("--width", type=int, help="number of columns; saves the pass that looks for the widest line")
     parser.add_argument("--max-lhs", type=int, help="largest left side to look for")
     parser.add_argument("--constants", choices=["strict", "expand"], default="strict")
     args = parser.parse_args()

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from determina.functions import cells, masks
-from determina.operators.counts import local_table, set_counts, union_all
+from determina.operators.counts import (
+    batches, column_counts, local_table, set_count, set_counts, union_all,
+)
 
 _FIXED_WIDTH = (
     T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
@@ -237,43 +239,37 @@ def refute_by_counts(
     return judge_by_counts(candidates, counts, column_counts).filter("not holds").select("lhs", "rhs")
 
 
-def _candidate_tests(candidates: DataFrame) -> list[Test]:
-    grouped = candidates.groupBy("lhs").agg(F.bit_or(masks.bit(F.col("rhs"))).alias("rhs"))
-    return [Test(r.lhs, r.rhs) for r in grouped.orderBy("lhs").toLocalIterator()]
-
-
 def group_verdicts(df: DataFrame, shared: int, candidates: DataFrame) -> DataFrame:
     """``value, lhs, rhs, n_lhs, n_all``: for each group of rows that share a value of
     column ``shared``, the different left sides and the different left + right sides.
 
     A candidate holds inside a group when the two are equal. Each left side must
-    contain the shared column, so a set's groups never cross two of its values and
-    the counts of a value are a second, small grouping.
+    contain the shared column, so a set's groups never cross two of its values.
+    One scan sends each row to every set involved, with the columns outside it
+    blanked; different tuples are counted per set and value, and the counts of a
+    value meet by two joins, however many candidates there are. No candidates give
+    an empty table.
     """
     (name,) = cells.names_at(df, [shared])
-    parts = []
-    for test in _candidate_tests(candidates):
-        if not test.lhs >> (shared - 1) & 1:
-            raise ValueError(f"column {shared} is not in every left side")
-        left = _per_value(df, name, test.lhs, "n_lhs")
-        for a in masks.ordinals_of(test.rhs):
-            whole = _per_value(df, name, test.lhs | 1 << (a - 1), "n_all")
-            parts.append(
-                left.join(whole, left["value"].eqNullSafe(whole["value"])).select(
-                    left["value"],
-                    F.lit(test.lhs).cast("bigint").alias("lhs"),
-                    F.lit(a).alias("rhs"),
-                    "n_lhs",
-                    "n_all",
-                )
-            )
-    return union_all(parts)
-
-
-def _per_value(df: DataFrame, shared: str, mask: int, alias: str) -> DataFrame:
-    names = cells.names_at(df, masks.ordinals_of(mask))
-    tuples = df.select([cells.quoted(n) for n in names]).distinct()
-    return tuples.groupBy(cells.quoted(shared).alias("value")).agg(F.count(F.lit(1)).alias(alias))
+    pairs = candidates.select("lhs", "rhs", F.col("lhs").bitwiseOR(masks.bit(F.col("rhs"))).alias("whole")).distinct()
+    # Sets of columns, as many as the caller's candidates name; no rows are read here.
+    wanted = sorted({r[0] for r in pairs.select(F.explode(F.array("lhs", "whole"))).distinct().toLocalIterator()})
+    if any(not mask >> (shared - 1) & 1 for mask in wanted):
+        raise ValueError(f"column {shared} is not in every left side")
+    if not wanted:
+        kind = df.schema[name].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"value {kind}, lhs bigint, rhs int, n_lhs bigint, n_all bigint")
+    used = masks.ordinals_of(_all_of(wanted))
+    names = {i: cells.sql_name(n) for i, n in enumerate(df.columns, 1)}
+    sent = f"explode(array({', '.join(f'{m}L' for m in wanted)})) AS mask"
+    kept = [f"if(mask & {1 << (i - 1)}L = 0L, NULL, k{i}) AS k{i}" for i in used]
+    tuples = df.selectExpr(*[f"{names[i]} AS k{i}" for i in used], sent).selectExpr("mask", *kept).distinct()
+    sizes = tuples.groupBy("mask", F.col(f"k{shared}").alias("value")).agg(F.expr("count(1) AS n"))
+    left = pairs.join(sizes.select(F.col("mask").alias("lhs"), "value", F.col("n").alias("n_lhs")), "lhs")
+    whole = sizes.select(F.col("mask").alias("of"), F.col("value").alias("at"), F.col("n").alias("n_all"))
+    return left.join(whole, (F.col("whole") == F.col("of")) & F.col("value").eqNullSafe(F.col("at"))).select(
+        "value", "lhs", "rhs", "n_lhs", "n_all"
+    )
 
 
 def group_constancy(df: DataFrame, shared: int, lhs: Sequence[int], rhs: Sequence[int]) -> DataFrame:
@@ -323,21 +319,34 @@ def refute_by_groups(df: DataFrame, shared: int, candidates: DataFrame) -> DataF
     )
 
 
+def widest_by_groups(df: DataFrame, shared: int, candidates: DataFrame) -> DataFrame:
+    """``lhs, rhs`` of the candidates that hold, tested within the groups of a shared
+    column. Candidates whose left side lacks that column are tested by counts."""
+    has = masks.has(F.col("lhs"), F.lit(shared))
+    grouped, rest = candidates.filter(has), candidates.filter(~has)
+    by_groups = grouped.join(refute_by_groups(df, shared, grouped), ["lhs", "rhs"], "left_anti").select("lhs", "rhs")
+    counted = judge_by_counts(rest, candidate_counts(df, rest), column_counts(df)).filter("holds")
+    return by_groups.unionByName(counted.select("lhs", "rhs"))
+
+
 # --- given dependencies ------------------------------------------------------
 
 
 def check_fds(df: DataFrame, fds: Sequence[tuple[Sequence[str], str]]) -> DataFrame:
-    """``lhs STRING, rhs STRING, holds BOOLEAN`` for FDs given by column names."""
+    """``lhs STRING, rhs STRING, holds BOOLEAN`` for FDs given by column names, of a
+    table of any number of columns."""
     position = {n: i for i, n in enumerate(df.columns, 1)}
     pairs = [
-        (",".join(lhs), rhs, masks.mask_of(position[n] for n in lhs), masks.mask_of([position[rhs]]))
-        for lhs, rhs in fds
+        (",".join(lhs), rhs, frozenset(position[n] for n in lhs), position[rhs]) for lhs, rhs in fds
     ]
-    wanted = {x for _, _, x, _ in pairs} | {x | a for _, _, x, a in pairs}
-    n = {r.mask: r.n for r in set_counts(df, wanted).collect()}
+    wanted = sorted({tuple(sorted(s)) for _, _, x, a in pairs for s in (x, x | {a})})
+    n = {}
+    for part in batches(list(enumerate(wanted))):
+        plan = union_all([set_count(df, s).selectExpr(f"{i} AS at", "n") for i, s in part])
+        n.update((wanted[r["at"]], r.n) for r in plan.collect())
     return local_table(
         df.sparkSession,
-        [(lhs, rhs, n[x] == n[x | a]) for lhs, rhs, x, a in pairs],
+        [(lhs, rhs, n[tuple(sorted(x))] == n[tuple(sorted(x | {a}))]) for lhs, rhs, x, a in pairs],
         "lhs string, rhs string, holds boolean",
     )
 

@@ -85,6 +85,8 @@ def set_counts_in_one_scan(df: DataFrame, wanted: Iterable[int]) -> DataFrame:
     outside it blanked. Better for small tables, where the plans cost more than the
     rows; a large table is better read set by set, a few columns at a time."""
     wanted = sorted(set(wanted))
+    if not wanted:
+        return local_table(df.sparkSession, [], "mask bigint, n bigint")
     used = masks.ordinals_of(reduce(lambda a, b: a | b, wanted))
     name = {i: cells.sql_name(n) for i, n in enumerate(df.columns, 1)}
     sent = f"explode(array({', '.join(f'{m}L' for m in wanted)})) AS mask"

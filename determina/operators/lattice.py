@@ -1,8 +1,8 @@
 """Candidate tables: ``level INT, lhs BIGINT, rhs INT``.
 
-Pruning is an anti join on the right side with containment of the left sides as the
-rest of the condition, so Spark can hash or sort by the right side instead of
-comparing everything with everything.
+Pruning joins on the right side and one column of the smaller left side, picked by a
+hash, with containment as the rest of the condition. A right side is one of few values;
+with the column a table falls into many more keys, and no key holds most of it.
 """
 
 from __future__ import annotations
@@ -32,16 +32,20 @@ def attribute_sets(
 ) -> DataFrame:
     """``lhs BIGINT, level INT``: every set of some columns but the empty one.
 
-    The numbers 1 to 2^n - 1 are spread over the tasks; with ``max_size`` the sets are
-    grown from smaller ones instead, so larger sets are never made.
+    The numbers 1 to 2^n - 1 are spread over the tasks and their n bits moved to the
+    columns' places; with ``max_size`` the sets are grown from smaller ones instead, so
+    larger sets are never made.
     """
-    ordinals = sorted(ordinals)
+    ordinals = sorted(set(ordinals))
     if max_size is None:
-        whole = masks.mask_of(ordinals)
+        if len(ordinals) > 62:
+            raise ValueError("more than 2^62 sets; give a max_size")
+        moved = " | ".join(
+            f"shiftleft(shiftright(id, {j}) & 1L, {i - 1})" for j, i in enumerate(ordinals)
+        )
         return (
-            spark.range(1, 1 << (max(ordinals, default=0)))
-            .select(F.col("id").alias("lhs"))
-            .filter(masks.covers(F.lit(whole).cast("bigint"), F.col("lhs")))
+            spark.range(1, 1 << len(ordinals))
+            .select(F.expr(moved or "id").alias("lhs"))
             .select("lhs", masks.size(F.col("lhs")).alias("level"))
         )
     level = spark.range(1).select(F.explode(_bits(ordinals)).alias("i")).select(
@@ -99,27 +103,48 @@ def level_sizes(cands: DataFrame) -> DataFrame:
     return cands.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _known(fds: DataFrame) -> DataFrame:
-    return fds.select(F.col("lhs").alias("known_lhs"), F.col("rhs").alias("known_rhs"))
+def _keyed(small: DataFrame) -> DataFrame:
+    """With ``key``: one member of ``lhs``, by a hash of the set; 0 for the empty set."""
+    chosen = F.pmod(F.xxhash64("lhs"), F.greatest(masks.size(F.col("lhs")), F.lit(1))).cast("int")
+    return small.withColumn("key", F.coalesce(F.get(masks.members(F.col("lhs")), chosen), F.lit(0)))
+
+
+def _spread(big: DataFrame) -> DataFrame:
+    """Once for each member of ``lhs`` and once for the empty set, as ``key``."""
+    return big.withColumn("key", F.explode(F.concat(F.array(F.lit(0)), masks.members(F.col("lhs")))))
+
+
+def _around(big: DataFrame, small: DataFrame, proper: bool = False) -> DataFrame:
+    """``lhs, rhs`` of ``big`` whose left side covers one of ``small`` with their right side."""
+    return _contained(_spread, big, _keyed, small, lambda a, b: masks.covers(a, b), proper)
+
+
+def _within(small: DataFrame, big: DataFrame, proper: bool = False) -> DataFrame:
+    """``lhs, rhs`` of ``small`` whose left side is within one of ``big`` with their right side."""
+    return _contained(_keyed, small, _spread, big, lambda a, b: masks.covers(b, a), proper)
+
+
+def _contained(key_left, left, key_right, right, fits, proper: bool) -> DataFrame:
+    other = key_right(right.select("lhs", "rhs").distinct()).select(
+        F.col("lhs").alias("other"), F.col("rhs").alias("other_rhs"), F.col("key").alias("other_key")
+    )
+    match = (F.col("rhs") == F.col("other_rhs")) & (F.col("key") == F.col("other_key"))
+    match = match & fits(F.col("lhs"), F.col("other"))
+    if proper:
+        match = match & (F.col("lhs") != F.col("other"))
+    rows = key_left(left.select("lhs", "rhs").distinct())
+    return rows.join(other, match, "left_semi").select("lhs", "rhs").distinct()
 
 
 def prune_implied(cands: DataFrame, fds: DataFrame) -> DataFrame:
     """Without candidates whose left side covers that of an FD with their right side."""
-    return cands.join(
-        _known(fds),
-        (F.col("rhs") == F.col("known_rhs")) & masks.covers(F.col("lhs"), F.col("known_lhs")),
-        "left_anti",
-    )
+    return cands.join(_around(cands, fds), ["lhs", "rhs"], "left_anti").select(cands.columns)
 
 
 def prune_refuted(cands: DataFrame, failures: DataFrame) -> DataFrame:
     """Without candidates whose left side is within that of a failure with their
     right side."""
-    return cands.join(
-        _known(failures),
-        (F.col("rhs") == F.col("known_rhs")) & masks.covers(F.col("known_lhs"), F.col("lhs")),
-        "left_anti",
-    )
+    return cands.join(_within(cands, failures), ["lhs", "rhs"], "left_anti").select(cands.columns)
 
 
 def prune_redundant(cands: DataFrame, fds: DataFrame) -> DataFrame:
@@ -146,31 +171,16 @@ def prune_redundant(cands: DataFrame, fds: DataFrame) -> DataFrame:
     return cands.join(held, "lhs", "left_anti")
 
 
-def prune_implied_fds(valid: DataFrame, minimal: DataFrame) -> DataFrame:
-    """A table of valid FDs without those that follow from some minimal ones."""
-    return prune_implied(valid, minimal)
-
-
 def minimal_only(fds: DataFrame) -> DataFrame:
     """FDs with no FD of a smaller left side inside theirs."""
-    return fds.join(
-        _known(fds),
-        (F.col("rhs") == F.col("known_rhs"))
-        & (F.col("lhs") != F.col("known_lhs"))
-        & masks.covers(F.col("lhs"), F.col("known_lhs")),
-        "left_anti",
-    )
+    return fds.join(_around(fds, fds, proper=True), ["lhs", "rhs"], "left_anti").select(fds.columns)
 
 
 def maximal_only(failures: DataFrame) -> DataFrame:
     """Failures with no failure of a larger left side around theirs."""
     return failures.join(
-        _known(failures),
-        (F.col("rhs") == F.col("known_rhs"))
-        & (F.col("lhs") != F.col("known_lhs"))
-        & masks.covers(F.col("known_lhs"), F.col("lhs")),
-        "left_anti",
-    )
+        _within(failures, failures, proper=True), ["lhs", "rhs"], "left_anti"
+    ).select(failures.columns)
 
 
 def grown_failures(failures: DataFrame, cands: DataFrame) -> DataFrame:

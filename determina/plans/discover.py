@@ -31,7 +31,7 @@ from determina.operators import checks, classes, counts, lattice
 from determina.operators.dictionary import encode_short_columns
 from determina.plans.evidence import ColumnProfile, failures_in_sample
 from determina.plans.prover import SLICE_ROWS, Prover, SharedRows
-from determina.sources.staging import stage
+from determina.sources.staging import scratch, stage, stage_result
 
 # Cells up to which the columns in use are kept in memory between tests. Larger tables
 # are written once with short columns encoded, and each test reads only its columns.
@@ -95,10 +95,11 @@ def discover_fds(
         parts = [[numbered[n] for n in part] for part in parts]
     if as_text:
         df = cells.cast_all(df, "string")
-    if stage_input:
-        df = stage(df, "input")
     settings = Settings(check, max_lhs, sample_rows, slice_rows)
-    return _Discovery(df, settings).run(constants, parts)
+    with scratch(df.sparkSession):
+        if stage_input:
+            df = stage(df, "input")
+        return _Discovery(df, settings).run(constants, parts)
 
 
 def discover_fds_by_count(df: DataFrame, **options) -> DataFrame:
@@ -175,7 +176,7 @@ class _Discovery:
             )
         constant_table = counts.local_table(self.spark, [(c.ordinal,) for c in constant], "ordinal int")
         if self.settings.max_lhs == 0 or not varying:
-            return stage(classes.constant_fds(
+            return stage_result(classes.constant_fds(
                 constant_table, self.width, "strict" if self.settings.max_lhs == 0 else constants
             ), "fds")
 
@@ -223,7 +224,7 @@ class _Discovery:
             [(slots[r], slots[m]) for r, ms in groups.items() for m in ms],
             "rep int, member int",
         )
-        return stage(
+        return stage_result(
             classes.recover(
                 self._pairs(fds), mapping, members, constant_table, self.width,
                 max((lhs.bit_count() for lhs, _ in fds), default=0), constants,

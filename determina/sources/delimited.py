@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,22 +24,22 @@ def read_delimited(
 
     Blanks count, and an empty cell is an empty string equal to every other empty
     cell. Quoted separators stay in their cell. A row shorter than the table is
-    filled with empty cells. Without ``width`` the first line gives it, as for any
-    csv file; a first line shorter than others would lose cells, so such a file
-    needs ``width``. Repeated rows are dropped unless ``distinct=False``.
+    filled with empty cells, so no cell is lost: without ``width`` the table is as wide
+    as the widest line, found by one aggregate over the file, and with a ``width`` a
+    wider line is an error. Repeated rows are dropped unless ``distinct=False``.
     """
     options = {
         "sep": separator, "quote": quote, "escape": quote, "mode": "PERMISSIVE",
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
     }
+    lines = spark.read.text(path)
+    here = cell_count(F.col("value"), separator, quote)
     if width is None:
-        width = len(spark.read.options(**options).csv(path).columns)
-        if width == 0:
-            raise ValueError("the file has no lines to count columns in; give a width")
+        width = _largest(lines, here)
     # Parsed line by line, since the csv reader leaves out blank lines.
     schema = cells.numbered_schema(width, T.StringType())
-    row = F.from_csv("value", schema.toDDL(), options).alias("row")
-    df = spark.read.text(path).select(row).select("row.*").fillna("")
+    row = F.from_csv(_not_wider(here, width), schema.toDDL(), options).alias("row")
+    df = lines.select(row).select("row.*").fillna("")
     return df.dropDuplicates() if distinct else df
 
 
@@ -47,12 +48,13 @@ def read_split_lines(
     separator: str = ",",
 ) -> DataFrame:
     """Lines split on the separator alone (quotes are text), less the columns whose
-    numbers are in ``drop``."""
+    numbers are in ``drop``. Without ``width`` the table is as wide as the widest line;
+    with one, a wider line is an error."""
     lines = spark.read.text(path)
-    parts = cells.split_cells(F.col("value"), separator)
+    here = F.size(cells.split_cells(F.col("value"), separator))
     if width is None:
-        first = lines.select(F.size(parts).alias("n")).head()
-        width = first.n if first else 0
+        width = _largest(lines, here)
+    parts = cells.split_cells(_not_wider(here, width), separator)
     dropped = set(drop)
     return lines.select(parts.alias("parts")).select(
         [
@@ -63,6 +65,28 @@ def read_split_lines(
     )
 
 
+def cell_count(line: Column, separator: str, quote: str) -> Column:
+    """Cells of a delimited line: separators outside of quoted cells, and one. A quote
+    that is never closed hides nothing, so the count is never too small."""
+    s, q = re.escape(separator), re.escape(quote)
+    quoted = rf"(^|{s}){q}(?:[^{q}]|{q}{q})*{q}"
+    bare = F.regexp_replace(line, quoted, "$1")
+    return F.size(cells.split_cells(bare, separator))
+
+
+def _largest(lines: DataFrame, count: Column) -> int:
+    (width,) = lines.agg(F.max(count)).first()
+    if not width:
+        raise ValueError("the file has no lines to count columns in; give a width")
+    return width
+
+
+def _not_wider(count: Column, width: int) -> Column:
+    """The line, or an error if it would lose cells."""
+    message = F.concat(F.lit(f"a line has more than {width} cells: "), F.substring("value", 1, 200))
+    return F.when(count > width, F.raise_error(message)).otherwise(F.col("value"))
+
+
 def fd_lines(fds: DataFrame) -> DataFrame:
     """One text line per left side, e.g. ``[column1,column4]:column2,column7``.
 

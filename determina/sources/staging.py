@@ -7,30 +7,43 @@ file sizes let Spark choose broadcast or shuffle joins by what was really writte
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _counter = itertools.count()
-_local_roots: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without one; it gets a temporary folder, since on a
-    cluster a folder of one machine would be out of reach of the others.
-    """
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one beside the
+    session's tables, which executors reach as they reach the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="determina-")
-    return _local_roots[app]
+    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end, after a failure too, but for those of
+    ``stage_result``."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stage_result(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` for a table that outlives the scope it is made in."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fresh_path(spark: SparkSession, name: str = "table") -> str:
@@ -40,6 +53,9 @@ def fresh_path(spark: SparkSession, name: str = "table") -> str:
 
 def stage(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Write a table as parquet and read it back."""
-    path = path or fresh_path(df.sparkSession, name)
+    if path is None:
+        path = fresh_path(df.sparkSession, name)
+        if _scopes:
+            _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

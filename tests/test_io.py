@@ -1,6 +1,7 @@
 import subprocess
 import sys
 
+import pytest
 from conftest import ROOT
 from pyspark.sql import functions as F
 
@@ -98,3 +99,39 @@ def test_checkpoint_folder(spark, tmp_path):
     assert fresh_path(spark) != fresh_path(spark)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert checkpoint_root(spark)
+
+
+@pytest.mark.parametrize("place", [0, 1, 2])
+def test_wide_line_keeps_its_cells(spark, tmp_path, place):
+    lines = ["1,2", "4,5"]
+    lines.insert(place, 'a,"b,c",d')
+    path = write_lines(tmp_path, lines)
+    rows = sorted(map(tuple, d.read_delimited(spark, path).collect()))
+    assert rows == [("1", "2", ""), ("4", "5", ""), ("a", "b,c", "d")]
+    parts = sorted(map(tuple, d.read_split_lines(spark, path).collect()))
+    assert parts == [("1", "2", "", ""), ("4", "5", "", ""), ("a", '"b', 'c"', "d")]
+
+
+def test_wide_line_under_a_width_is_an_error(spark, tmp_path):
+    path = write_lines(tmp_path, ['"a,a",2', "1,2,3"])
+    for read in (d.read_delimited, d.read_split_lines):
+        with pytest.raises(Exception, match="more than 2 cells"):
+            read(spark, path, width=2).collect()
+    fine = write_lines(tmp_path, ['"a,a",2', '"b""q,b",""'])
+    assert sorted(map(tuple, d.read_delimited(spark, fine, width=2).collect())) == [("a,a", "2"), ('b"q,b', "")]
+
+
+def test_nothing_staged_is_left(spark, tmp_path):
+    """After a discovery, and after one that fails, only the result is in the folder."""
+    import os
+
+    root = checkpoint_root(spark).removeprefix("file:")
+    there = lambda: set(os.listdir(root)) if os.path.isdir(root) else set()
+    before = there()
+    df = spark.createDataFrame([(i, i % 3, i % 7, (i * i) % 5) for i in range(200)], "a int, b int, c int, e int")
+    fds = d.discover_fds(df, stage_input=True)
+    assert fds.count() > 0 and len(there() - before) == 1
+    bad = df.selectExpr("a", "raise_error('broken') b")
+    with pytest.raises(Exception, match="broken"):
+        d.discover_fds(bad, stage_input=True)
+    assert len(there() - before) == 1
