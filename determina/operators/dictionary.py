@@ -17,9 +17,8 @@ from determina.sources.staging import stage
 # within the partition below them.
 _ROW_BITS = 33
 
-# A word is hot in a table of N cells when more than N / HOT_SHARE cells hold it, so
-# there are never more than HOT_SHARE hot words.
-HOT_SHARE = 10_000
+# Bytes of one column's different values up to which they are broadcast.
+MOST_BYTES = 4 << 20
 
 
 def build_dictionary(df: DataFrame) -> DataFrame:
@@ -58,41 +57,28 @@ def build_dictionary(df: DataFrame) -> DataFrame:
 def encode(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Every cell replaced by its id; a missing cell finds the missing word.
 
-    Hot words, of which there are at most ``HOT_SHARE``, are looked up by broadcast.
-    Only cells that are still open meet the rest of the dictionary by shuffle. Cells
-    already found go there with an empty word and a salt, so that they spread over
-    the tasks and match nothing. The salt is a hash of the row: a task that runs
-    again sends its rows to the same places.
+    The cells of all columns meet the dictionary in one join and their rows again in
+    one grouping, however many columns there are. A word is in the dictionary once, so
+    the cells of a hot word can be split over tasks (adaptive skew join).
     """
-    limit = (dictionary.agg(F.sum("n")).head()[0] or 0) / HOT_SHARE
-    hot = dictionary.filter(F.col("n") > limit).select(
-        F.col("word").alias("hot_word"), F.col("id").alias("hot_id")
-    )
-    cold = dictionary.filter(F.col("n") <= limit).select(
-        F.col("word").alias("cold_word"), F.lit(0).alias("cold_salt"), F.col("id").alias("cold_id")
-    )
     names = df.columns
-    out = df.select([cells.quoted(n).cast("string").alias(f"cell{i}") for i, n in enumerate(names)])
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in out.columns]), F.lit(4096)) + 1
-    out = out.withColumn("spread", spread.cast("int"))
-    for i in range(len(names)):
-        cell = F.col(f"cell{i}")
-        found = F.col("hot_id").isNotNull()
-        out = (
-            out.join(F.broadcast(hot), cell.eqNullSafe(F.col("hot_word")), "left")
-            .withColumn("open_word", F.when(~found, cell))
-            .withColumn("open_salt", F.when(found, F.col("spread")).otherwise(F.lit(0)))
-            .join(
-                cold,
-                F.col("open_word").eqNullSafe(F.col("cold_word"))
-                & (F.col("open_salt") == F.col("cold_salt")),
-                "left",
-            )
-            .withColumn(f"id{i}", F.coalesce("hot_id", "cold_id"))
-            .drop(f"cell{i}", "hot_word", "hot_id", "open_word", "open_salt",
-                  "cold_word", "cold_salt", "cold_id")
-        )
-    return out.select([F.col(f"id{i}").alias(n) for i, n in enumerate(names)])
+    words = F.array(*[cells.quoted(n).cast("string") for n in names])
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), words.alias("cells"))
+    table = numbered.select("row", F.posexplode("cells").alias("at", "cell"))
+    ids = dictionary.select("word", "id")
+    found = table.join(ids, F.col("cell").eqNullSafe(F.col("word")), "left")
+    whole = found.groupBy("row").agg(
+        *[F.max(F.when(F.col("at") == i, F.col("id"))).alias(f"id{i}") for i in range(len(names))]
+    )
+    return whole.select([F.col(f"id{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType)
 
 
 def encode_short_columns(df: DataFrame, sizes: dict[str, int], limit: int) -> DataFrame:
@@ -100,13 +86,19 @@ def encode_short_columns(df: DataFrame, sizes: dict[str, int], limit: int) -> Da
     column by column; the other columns as they are.
 
     ``sizes`` has the number of different values of the columns to look at. The values
-    of one column are what is broadcast, so no broadcast holds more than ``limit`` rows.
+    of one column are what is broadcast: no more than ``limit`` rows, and no more than
+    ``MOST_BYTES`` of them; columns with longer values stay as they are. So do columns
+    with maps, which have no order to number them in.
     """
     out = df
     for name, n in sizes.items():
-        if n > limit or is_fixed_width(df.schema[name].dataType):
+        kind = df.schema[name].dataType
+        if n > limit or is_fixed_width(kind) or _has_map(kind):
             continue
         value = cells.quoted(name)
+        wide = F.coalesce(F.octet_length(value.cast("string")), F.lit(0)).cast("bigint")
+        if (df.select(value).distinct().agg(F.sum(wide)).head()[0] or 0) > MOST_BYTES:
+            continue
         words = df.select(value.alias("_word")).distinct().orderBy("_word").toArrow().column(0)
         if len(words) > limit:
             raise ValueError(f"{name} has {len(words)} values, {n} were announced")

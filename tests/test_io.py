@@ -71,8 +71,7 @@ def test_dictionary_ids_are_dense_and_ordered(spark):
     assert sorted(map(tuple, ids.collect())) == [(2, 4), (3, 0), (3, 1)]
 
 
-def test_encode_with_hot_and_cold_words(spark, monkeypatch):
-    monkeypatch.setattr(dictionary, "HOT_SHARE", 5)
+def test_encode_with_hot_and_cold_words(spark):
     df = spark.range(300).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), "id")).alias("x"),
         F.lit("same").alias("y"),
@@ -90,6 +89,14 @@ def test_short_columns(spark):
     assert dictionary.encode_short_columns(df, {"x": 3}, 2).schema == df.schema
 
 
+def test_long_values_and_maps_stay(spark, monkeypatch):
+    df = spark.sql("select map(id % 2, 'a') m, repeat(cast(id as string), 9) t, id from range(6)")
+    monkeypatch.setattr(dictionary, "MOST_BYTES", 20)
+    assert dictionary.encode_short_columns(df, {"m": 2, "t": 6}, 10).schema == df.schema
+    got = {(tuple(r.lhs), r.rhs) for r in d.discover_fds(df.select("m", "id")).collect()}
+    assert got == {((2,), 1)}
+
+
 def test_vocabulary_counts_missing(spark):
     df = spark.createDataFrame([("a", None), (None, "a")], "x string, y string")
     assert {r.word: r.n for r in tables.vocabulary(df).collect()} == {"a": 2, None: 2}
