@@ -75,7 +75,7 @@ def _block(number: int, batch: pa.RecordBatch, hashes: list, words: list, firsts
     return pa.RecordBatch.from_arrays(
         [pa.array([number]), pa.ListArray.from_arrays(pa.array(one.astype(np.int32)), ids), list_array(np.array(batch.column("train").to_pylist(), bool), one, pa.bool_()),
          list_array(np.diff(firsts).astype(np.int32), one, pa.int32()), pa.array([pack(codes)], pa.binary()),
-         list_array(distinct.view(np.int64), vocabulary, pa.int64()), list_array(counts, vocabulary, pa.int64()),
+         list_array(distinct.view(np.int64)[: 0 if strings else None], vocabulary * (not strings), pa.int64()), list_array(counts, vocabulary, pa.int64()),
          pa.array([spelled], pa.list_(pa.binary()))],
         ["block", "ids", "train", "sizes", "codes", "words", "counts", "spelled"])
 
@@ -83,7 +83,8 @@ def _block(number: int, batch: pa.RecordBatch, hashes: list, words: list, firsts
 def blocks_of(docs: DataFrame, id_col: str, text: str, train, split: Splitter, strings: bool = False) -> DataFrame:
     """Staged blocks: (block, ids, train, sizes, codes, words, counts, spelled).
 
-    ``words`` are 64-bit digests, ``counts`` how often each occurs in rows where ``train`` holds.
+    ``words`` are 64-bit digests, ``counts`` how often each occurs in rows where ``train`` holds. With
+    ``strings`` the words stand in ``spelled`` instead, as bytes, and ``words`` is empty.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     schema = StructType([

@@ -104,7 +104,8 @@ def encode_words(words: DataFrame, pieces: Pieces, table: DataFrame | None = Non
     """(word, ids) of distinct (word, spelled) rows; ``spelled`` are the bytes of the word.
 
     The path has the largest sum of scores; of equal ones the longer last piece wins. A character
-    without a piece is written as its bytes. ``word`` must be unique; an empty word has no ids.
+    without a piece is written as its bytes. ``word`` names the word, as a 64-bit hash or a number;
+    an empty word has no ids.
     """
     table = piece_table(words.sparkSession, pieces) if table is None else table
     text = words.select("word", F.replace(F.col("spelled").cast("string"), F.lit(" "), F.lit(SPACE)).alias("w")).where("w != ''")
@@ -178,9 +179,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str =
     none, are encoded each; an empty table gives an empty result.
     """
     blocks = blocks_of(docs, id_col, text, F.lit(False), split_pieces, strings=True)
-    spelled = blocks.select(F.explode(F.arrays_zip("words", "spelled")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.min("x.spelled").alias("spelled"))
-    coded = staged(encode_words(spelled, pieces), "words")
-    places = blocks.select(F.col("block").alias("home"), F.posexplode("words").alias("idx", "word"))
+    places = blocks.select(F.col("block").alias("home"), F.posexplode("spelled").alias("idx", "spelled"))
+    places = places.withColumn("word", F.xxhash64("spelled"))
+    coded = staged(encode_words(places.groupBy("word").agg(F.min("spelled").alias("spelled")), pieces), "words")
     known = places.join(coded, "word").select("home", "idx", "ids")
     id_type = docs.schema[id_col].dataType.simpleString()
     out = known.groupBy("home").cogroup(blocks.select("block", "ids", "sizes", "codes").groupBy("block")).applyInArrow(

@@ -39,7 +39,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Write to the shared folder and read back: no lineage is left, lost executors cost nothing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
