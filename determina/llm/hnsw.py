@@ -96,39 +96,48 @@ class Graph:
         sims = np.full((m, beam), -2, np.float32)
         open_ = np.zeros((m, beam), bool)
         seen = np.zeros((m, len(self.vectors)), bool)
+        # So many of the best open nodes are expanded together.
+        turn = max(4, beam // 16)
         live, new = np.arange(m), entries[:, :beam]
         while len(live):
-            rows = np.arange(len(live))[:, None]
             new = np.sort(new, axis=1)
             new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
-            fresh = (new >= 0) & ~seen[live[:, None], new]
-            seen[live[:, None], np.where(new >= 0, new, new.max(1, keepdims=True))] = True
-            value = np.einsum("nd,ncd->nc", queries[live], self.vectors[new])
-            value[~fresh] = -2
-            all_ids = np.concatenate([ids[live], np.where(fresh, new, -1)], 1)
-            all_sims = np.concatenate([sims[live], value], 1)
-            all_open = np.concatenate([open_[live], fresh], 1)
-            best = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-            ids[live], sims[live], now = all_ids[rows, best], all_sims[rows, best], all_open[rows, best]
-            # The four best that are still open are expanded together.
-            turn = np.argsort(~now, axis=1, kind="stable")[:, :4]
-            wanted = np.take_along_axis(now, turn, 1)
-            np.put_along_axis(now, turn, False, 1)
-            open_[live] = now
-            picked = np.where(wanted, np.take_along_axis(ids[live], turn, 1), -1)
-            new = np.where(picked[:, :, None] >= 0, links[picked], -1).reshape(len(live), -1)
+            row, col = np.nonzero((new >= 0) & ~seen[live[:, None], new])
+            node = new[row, col]
+            seen[live[row], node] = True
+            # Nodes not met before, moved to the left; all others cost nothing from here on.
+            many = np.bincount(row, minlength=len(live))
+            col = np.arange(len(row)) - (np.cumsum(many) - many)[row]
+            width = beam + int(many.max(initial=0))
+            all_ids = np.full((len(live), width), -1, np.int64)
+            all_sims = np.full((len(live), width), -2, np.float32)
+            all_open = np.zeros((len(live), width), bool)
+            all_ids[:, :beam], all_sims[:, :beam], all_open[:, :beam] = ids[live], sims[live], open_[live]
+            all_ids[row, beam + col], all_open[row, beam + col] = node, True
+            all_sims[row, beam + col] = np.einsum("nd,nd->n", queries[live[row]], self.vectors[node])
+            if width > beam:
+                best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+                all_ids, all_sims, all_open = (np.take_along_axis(x, best, 1) for x in (all_ids, all_sims, all_open))
+            ranked = np.where(all_open, all_sims, -3)
+            pick = np.argpartition(-ranked, turn - 1, axis=1)[:, :turn] if beam > turn else np.broadcast_to(np.arange(beam), (len(live), beam))
+            wanted = np.take_along_axis(all_open, pick, 1)
+            picked = np.where(wanted, np.take_along_axis(all_ids, pick, 1), -1)
+            np.put_along_axis(all_open, pick, False, 1)
+            ids[live], sims[live], open_[live] = all_ids, all_sims, all_open
             going = wanted.any(1)
-            live, new = live[going], new[going]
-        return ids, sims
+            live, picked = live[going], picked[going]
+            new = np.where(picked[:, :, None] >= 0, links[picked], -1).reshape(len(live), pick.shape[1] * links.shape[1])
+        order = np.argsort(-sims, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def near(self, queries: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
-        """For every query, the nodes found at ``threshold`` or more; beams that end full are doubled."""
+        """For every query, the nodes found at ``threshold`` or more; beams that end full are widened fourfold."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         if self.entry < 0:
             return out
         todo, beam = np.arange(len(queries)), min(beam, len(self.vectors))
         while len(todo):
-            rest, block = [], max(1, min(512, (1 << 22) // max(len(self.vectors), 8 * beam)))
+            rest, block = [], max(8, min(512, (1 << 20) // (8 * beam)))
             for a in range(0, len(todo), block):
                 own = todo[a : a + block]
                 at = np.full((len(own), 1), self.entry)
@@ -140,7 +149,7 @@ class Graph:
                         rest.append(i)
                     else:
                         out[i] = ids[k][(sims[k] >= threshold) & (ids[k] >= 0)]
-            todo, beam = np.array(rest, int), min(2 * beam, len(self.vectors))
+            todo, beam = np.array(rest, int), min(4 * beam, len(self.vectors))
         return out
 
 
