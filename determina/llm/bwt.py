@@ -5,8 +5,8 @@ bytes, so equal strings share a name and strings of one name lie together in a p
 names found at two places or more go on. Pieces of one name meet in one bucket; a bucket's pieces are
 dealt to shards, each shard's suffixes are sorted once, and the shards' transforms are merged by
 refining how they interleave: each step orders the suffixes by two more leading bytes, using the
-transforms alone, and carries the ends of blocks of equal prefixes along. After ``length`` bytes a
-block is a common prefix of at least that length: a repeated interval.
+transforms alone, and carries blocks of equal prefixes along. After ``length`` bytes a block is a
+common prefix of at least that length: a repeated interval.
 """
 
 from __future__ import annotations
@@ -126,30 +126,38 @@ def sorted_suffixes(text: np.ndarray, length: int) -> np.ndarray:
         depth += step
 
 
-def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For every suffix in order, the two bytes before it, as one number."""
-    return (text[order - 2].astype(np.uint16) << np.uint16(8)) | text[order - 1]
+def transform(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every suffix in order: the two bytes before it, as one number, and the rank of the suffix
+    that begins with them."""
+    rank = np.empty(len(text), np.int32)
+    rank[order] = np.arange(len(text), dtype=np.int32)
+    return (text[order - 2].astype(np.uint16) << np.uint16(8)) | text[order - 1], rank[order - 2]
 
 
-def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of sorted shards, and the block of equal first ``length`` bytes of every suffix.
+def merge(transforms: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the asked suffixes of sorted shards after ``length`` bytes, and their blocks.
 
-    Both follow the merged order; the interleave holds shard numbers, and the suffixes of a shard
-    keep their own order. ``length`` is even.
+    Suffixes are numbered shard by shard, each in its own order. ``asked`` are the suffixes that
+    follow the strings in question. Each step puts two bytes in front of all of them and keeps the
+    order of before among equal ones, so after k steps they are interleaved by their first 2k bytes;
+    blocks are those with the same bytes. A suffix alone in its block stays alone and leaves. What
+    is returned begins the strings that occur twice or more. ``length`` is even.
     """
-    interleave = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(x) for x in transforms])
-    block = np.zeros(len(interleave), np.int32)
-    before = np.empty(len(interleave), np.uint16)
+    sizes = np.cumsum([0, *(len(lead) for lead, _ in transforms)])
+    lead = np.concatenate([x for x, _ in transforms])
+    before = np.concatenate([r + np.int32(at) for (_, r), at in zip(transforms, sizes[:-1], strict=True)])
+    suffix = np.sort(asked)
+    block = np.zeros(len(suffix), np.int32)
     for _ in range(0, length, 2):
-        for shard, own in enumerate(transforms):
-            before[interleave == shard] = own
-        order = np.argsort(before, kind="stable")
-        interleave, lead, block = interleave[order], before[order], block[order]
-        new = np.empty(len(order), np.int32)
-        new[0:1] = 0
-        np.cumsum((lead[1:] != lead[:-1]) | (block[1:] != block[:-1]), out=new[1:])
-        block = new
-    return interleave, block
+        key = lead[suffix]
+        order = np.argsort(key, kind="stable")
+        key, block = key[order], block[order]
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+        kept = ~(new[:-1] & new[1:])
+        block = np.cumsum(new[:-1], dtype=np.int32)[kept]
+        suffix = before[suffix[order[kept]]]
+    return suffix, block
 
 
 def repeated_starts(body: np.ndarray, where: np.ndarray, starts: np.ndarray, length: int, shards: int = 4) -> np.ndarray:
@@ -157,21 +165,22 @@ def repeated_starts(body: np.ndarray, where: np.ndarray, starts: np.ndarray, len
 
     ``where`` are the ends of the pieces (with a leading 0), ``starts`` the starts of each piece.
     """
-    n, shards = len(where) - 1, max(1, min(shards, len(where) - 1, 255))
-    valid = np.zeros(len(body), bool)
-    for a, k in zip(where[:-1].tolist(), starts.tolist(), strict=True):
-        valid[a : a + k] = True
+    n = len(where) - 1
+    shards = max(1, min(shards, n))
     bounds = where[np.linspace(0, n, shards + 1).astype(int)]
-    orders = [sorted_suffixes(body[a:b], length) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    texts = [body[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    interleave, block = merge([transform(t, o) for t, o in zip(texts, orders, strict=True)], length)
-    place = np.empty(len(body), np.int64)
-    for shard, order in enumerate(orders):
-        place[interleave == shard] = order + bounds[shard]
-    counted = valid[place]
-    size = np.bincount(block[counted], minlength=int(block[-1]) + 1 if len(block) else 0)
+    begin = np.repeat(where[:-1], starts)
+    follow = begin + length + np.arange(len(begin)) - np.repeat(np.cumsum(starts) - starts, starts)
+    transforms, orders, asked = [], [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        order = sorted_suffixes(body[a:b], length)
+        rank = np.empty(b - a, np.int64)
+        rank[order] = np.arange(b - a)
+        asked.append(a + rank[(follow[(begin >= a) & (begin < b)] - a) % (b - a)])
+        transforms.append(transform(body[a:b], order))
+        orders.append(order + a)
+    suffix, _ = merge(transforms, np.concatenate(asked), length)
     out = np.zeros(len(body), bool)
-    out[place] = counted & (size[block] > 1)
+    out[np.concatenate(orders)[suffix]] = True
     return out
 
 
@@ -254,14 +263,14 @@ def text_keys(text: Column) -> list[Column]:
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR,
-                  hot: int = 256, bucket_bytes: int = 512 << 10) -> tuple[DataFrame, DataFrame]:
+                  hot: int = 16_384, bucket_bytes: int = 512 << 10) -> tuple[DataFrame, DataFrame]:
     """Distinct texts that repeat something, and their cleaned form.
 
     Returns (k1, k2, copies) of texts that several rows share, and (k1, k2, n_removed, spans, kept,
     clean) of distinct texts that share strings with other texts or within themselves.
 
-    A name with more than ``hot`` distinct pieces would be too much for a bucket; the strings of its
-    pieces are counted by 128-bit digests instead, an exact way but for digests that collide.
+    A bucket takes names of ``hot`` distinct pieces at most, about five megabytes. The strings of a
+    name with more are counted by 128-bit digests, an exact way but for digests that collide.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text).cast("binary").alias("text")).where(F.octet_length("text") >= length)
     rows = rows.select(*text_keys(F.col("text")), "id", "text")
@@ -314,7 +323,7 @@ def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length:
     ignored, and an empty table gives an empty result.
     """
     same, cleaned = repeated_runs(docs, text, id_col, length, **settings)
-    cleaned = cleaned.select("k1", "k2", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha"))
+    cleaned = cleaned.select("k1", "k2", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha")).dropDuplicates(["k1", "k2"])
     raw = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
     rows = docs.select(F.col(id_col), raw.alias("raw")).select(F.col(id_col), *text_keys(F.col("raw")), F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("own"))
     joined = rows.join(same, ["k1", "k2"], "left").join(staged(cleaned, "cleaned"), ["k1", "k2"], "left")
