@@ -111,13 +111,47 @@ def estimate(a: str, b: str):
     return ((1 - differing / MINIMA) - 1 / 16) / (1 - 1 / 16)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, leaders: int = 8) -> DataFrame:
+def possible_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members (g, id, component) of a group that may be linked across components.
+
+    A group's core are the shingles that more than half of its members have. Two members share at
+    most the smaller of their core parts, and shingles outside the core. So a pair that shares none
+    of the latter is possible only if sizes and core parts allow it, which is decided for cells of
+    equal numbers and not for pairs of members; pairs that share one are found by that shingle.
+    """
+    rows = groups.join(sets, "id").select("g", "id", F.explode("shingles").alias("s"))
+    often = rows.groupBy("g", "s").agg(F.count("*").alias("c"))
+    total = groups.groupBy("g").agg(F.count("*").alias("n"))
+    kinds = often.where("c > 1").join(total, "g").select("g", "s", (2 * F.col("c") > F.col("n")).alias("core"))
+    marked = staged(rows.join(kinds, ["g", "s"]), "marked")
+    core = marked.where("core").groupBy("g", "id").agg(F.count("*").alias("i"))
+    sizes = sets.select("id", F.size("shingles").alias("size"))
+    members = staged(groups.join(sizes, "id").join(core, ["g", "id"], "left").na.fill(0, ["i"]), "members")
+    cells = staged(members.groupBy("g", "i", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "cells")
+    one = cells.select("g", *(F.col(c).alias(f"{c}_a") for c in ("i", "size", "lo", "hi")))
+    other = cells.select("g", *(F.col(c).alias(f"{c}_b") for c in ("i", "size", "lo", "hi")))
+    most = F.least("i_a", "i_b")
+    fits = (100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)) & ((F.col("i_a") < F.col("i_b")) | ((F.col("i_a") == F.col("i_b")) & (F.col("size_a") <= F.col("size_b"))))
+    mixes = F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")
+    cell_pairs = one.join(other, "g").where(fits & mixes).select("g", "i_a", "size_a", "i_b", "size_b")
+    left = members.select("g", F.col("i").alias("i_a"), F.col("size").alias("size_a"), F.col("id").alias("x"), F.col("component").alias("cx"))
+    right = members.select("g", F.col("i").alias("i_b"), F.col("size").alias("size_b"), F.col("id").alias("y"), F.col("component").alias("cy"))
+    by_size = cell_pairs.join(left, ["g", "i_a", "size_a"]).join(right, ["g", "i_b", "size_b"]).where("cx != cy").select("x", "y")
+    beyond = marked.where("not core").join(members.select("g", "id", "component"), ["g", "id"]).select("g", "s", "id", "component")
+    by_shingle = (beyond.select("g", "s", F.col("id").alias("x"), F.col("component").alias("cx"))
+                  .join(beyond.select("g", "s", F.col("id").alias("y"), F.col("component").alias("cy")), ["g", "s"]).where("x < y and cx != cy").select("x", "y"))
+    return by_size.unionByName(by_shingle).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, leaders: int = 2) -> DataFrame:
     """(id, n_shingles, component_id, kept): classes of documents with 100 * common >= percent * union.
 
-    Texts with the same shingle set are one node, its smallest id. In every band bucket one leader,
-    chosen by a new hash each round, is compared with the members that are not yet in its component;
-    after ``leaders`` rounds the members of buckets that still mix components are compared across
-    components, so no link that could join two classes is left out and no bucket gives all pairs.
+    Texts with the same shingle set are one node, its smallest id. In every band bucket a leader is
+    compared with the members that are not yet in its component: first the member that shares most
+    bands with others, which is near the middle of its group, then one chosen by a hash each round.
+    After ``leaders`` rounds the members of buckets that still mix components are grouped by leader,
+    and every pair across components that can be linked is compared, so no link that could join two
+    classes is left out and no bucket gives all pairs.
 
     Null or empty texts have no shingles and link with nothing. Rows that share an id are one
     document and come back once each; rows with a null id link with nothing, have a null component
@@ -134,9 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = nodes.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     buckets = staged(banded.join(shared, "band"), "buckets")
-    wanted = buckets.select("id").distinct()
-    signatures = staged(nodes.join(wanted, "id", "left_semi").select("id", "signature"), "signatures")
-    full = staged(rows.join(wanted, "id", "left_semi").mapInArrow(set_batches(size), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    wanted = staged(buckets.groupBy("id").agg(F.count("*").alias("shared_bands")), "wanted")
+    signatures = staged(nodes.join(wanted.select("id"), "id", "left_semi").select("id", "signature"), "signatures")
+    full = staged(rows.join(wanted.select("id"), "id", "left_semi").mapInArrow(set_batches(size), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
     def side(table: DataFrame, name: str) -> DataFrame:
         return table.select(F.col("id").alias(name), F.col(table.columns[1]).alias(f"{table.columns[1]}_{name}"))
@@ -153,20 +187,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(leaders + 1):
         held = buckets if labels is None else buckets.join(labels, "id", "left")
         held = held.withColumn("component", F.col("id") if labels is None else F.coalesce("component", "id"))
+        order = F.xxhash64(F.col("id"), F.lit(turn))
+        if turn == 0:
+            held, order = held.join(wanted, "id"), -F.col("shared_bands")
         mixed = held.groupBy("band").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.min(F.struct(F.xxhash64(F.col("id"), F.lit(turn)).alias("h"), "id", "component")).alias("leader"),
+            F.min(F.struct(order.alias("order"), "id", "component")).alias("leader"),
         ).where("lo < hi")
-        open_buckets = staged(held.join(mixed.select("band", "leader"), "band"), "open")
+        open_buckets = staged(held.select("band", "id", "component").join(mixed.select("band", "leader"), "band"), "open")
         if open_buckets.isEmpty():
             break
         if turn < leaders:
-            pairs = open_buckets.where("component != leader.component").select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"))
+            pairs = open_buckets.where("component != leader.component").select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct()
         else:
-            one = open_buckets.select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
-            other = open_buckets.select("band", F.col("id").alias("y"), F.col("component").alias("cy"))
-            pairs = one.join(other, "band").where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = pairs.distinct()
+            groups = open_buckets.select(F.col("leader.id").alias("g"), "id", "component").distinct()
+            pairs = possible_pairs(staged(groups, "groups"), full, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
