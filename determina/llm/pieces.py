@@ -23,6 +23,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of a word at most; a longer one is cut, at characters, into words of this size.
 LONGEST = 256
+#: Words of a task of the lattice, about; so few are grouped in memory, and no edge is spilled.
+WORDS_IN_TASK = 16_384
 #: Cost of a byte of a character that no piece has.
 UNKNOWN = 20.0
 
@@ -181,7 +183,15 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str =
     blocks = blocks_of(docs, id_col, text, F.lit(False), split_pieces, strings=True)
     places = blocks.select(F.col("block").alias("home"), F.posexplode("spelled").alias("idx", "spelled"))
     places = places.withColumn("word", F.xxhash64("spelled"))
-    coded = staged(encode_words(places.groupBy("word").agg(F.min("spelled").alias("spelled")), pieces), "words")
+    distinct = places.agg(F.approx_count_distinct("word", 0.02)).first()[0]
+    dealt = places.select("word", "spelled").repartition(-(-distinct // WORDS_IN_TASK) + 1, "word")
+    spark, grouping = docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(grouping)
+    spark.conf.set(grouping, 4 * WORDS_IN_TASK)
+    try:
+        coded = staged(encode_words(dealt.groupBy("word").agg(F.min("spelled").alias("spelled")), pieces), "words")
+    finally:
+        spark.conf.set(grouping, before)
     known = places.join(coded, "word").select("home", "idx", "ids")
     id_type = docs.schema[id_col].dataType.simpleString()
     out = known.groupBy("home").cogroup(blocks.select("block", "ids", "sizes", "codes").groupBy("block")).applyInArrow(
