@@ -201,7 +201,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", seed_col: str =
 
 
 def _label_batches(shared, spans: bool):
-    """Task code: (row, text, letters) to (row, lang_pred, score, words)."""
+    """Task code: (row, text, letters) to (row, lang_pred, score, words, sure)."""
 
     def run(batches):
         model: Model | None = shared.value
@@ -211,7 +211,7 @@ def _label_batches(shared, spans: bool):
                 letters = np.array(batch.column("letters").slice(lo, hi - lo).to_pylist(), bool)
                 data = LOWER[raw]
                 starts, ends, first = tokens(data, offsets, SPACED)
-                pred, score = np.full(hi - lo, -1), np.zeros(hi - lo)
+                pred, score, sure = np.full(hi - lo, -1), np.zeros(hi - lo), np.zeros(hi - lo)
                 words: list[list[dict]] = [[] for _ in range(hi - lo)]
                 if model is not None and len(starts):
                     hashes = hasher.load(data).spans(starts, ends)
@@ -231,6 +231,7 @@ def _label_batches(shared, spans: bool):
                     good = letters & (total > 0)
                     pred[good] = mean[good].argmax(1)
                     score[good] = np.clip(mean[good].max(1), 0, 1)
+                    sure[good] = np.clip(np.bincount(doc, weight * gamma.max(1), hi - lo)[good] / total[good], 0, 1)
                     if spans:
                         best = gamma.argmax(1)
                         cut = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (doc[1:] != doc[:-1]), [True])))
@@ -239,22 +240,24 @@ def _label_batches(shared, spans: bool):
                 names = [model.langs[k] if k >= 0 else "und" for k in pred]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score),
-                     pa.array(words, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64())])))],
-                    ["row", "lang_pred", "score", "words"])
+                     pa.array(words, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64())]))), pa.array(sure)],
+                    ["row", "lang_pred", "score", "words", "sure"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bool = False) -> DataFrame:
-    """(row, lang_pred, score, words) of every row; ``row`` holds all columns of ``docs``.
+    """(row, lang_pred, score, words, sure) of every row; ``row`` holds all columns of ``docs``.
 
-    ``words`` (with ``spans``) are the runs of words of one language, as byte ranges. Only the text
+    ``score`` is the largest mean posterior, near the share of the most common language; ``sure`` the
+    mean of each word's largest posterior, whatever languages the words are in. ``words`` (with
+    ``spans``) are the runs of words of one language, as byte ranges. Only the text
     is looked at. A null text, one without a letter, or no model gives ``und`` with score 0.
     Repeated rows get the same answer; an empty table is empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    added = StructType.fromDDL("lang_pred string, score double, words array<struct<start:long,end:long,lang:string,n_words:long>>")
+    added = StructType.fromDDL("lang_pred string, score double, words array<struct<start:long,end:long,lang:string,n_words:long>>, sure double")
     return rows.mapInArrow(_label_batches(shared, spans), StructType(rows.schema.fields[:1] + added.fields))
 
 
@@ -263,13 +266,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language is unknown or less sure than ``least``.
+    """``docs`` without those whose language is unknown or whose words are labelled less surely than ``least``.
 
-    The model learns from the rows that are not held out. Where no row is labelled nothing is known
+    A text that switches languages stays if its words are labelled surely, each in its own. The model learns from the rows that are not held out. Where no row is labelled nothing is known
     and nothing is rejected.
     """
     model = fit(docs.where(~held_out(id_col)), text, lang, id_col)
     if model is None:
         return docs
-    named = identify(docs, model, text).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    named = identify(docs, model, text).where((F.col("lang_pred") != "und") & (F.col("sure") >= least))
     return named.select(*(F.col("row")[c].alias(c) for c in docs.columns))

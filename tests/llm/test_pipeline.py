@@ -54,6 +54,21 @@ def test_stages(spark, sf_dir):
     assert text["pieces"] == text["benchmark"]
 
 
+def test_language_stage_keeps_documents_that_switch(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    part = {r.lang: r.text.split() for r in docs.where("n_chars > 900").dropDuplicates(["lang"]).collect()}
+    mixed = lambda **n: " ".join(w for k, m in n.items() for w in part[k][:m])
+    rng = random.Random(2)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 10))) for _ in range(80))
+    planted = [
+        (-1, mixed(en=40, de=40)), (-2, mixed(en=24, de=21, fr=15)), (-3, mixed(de=25, en=25, es=25, fr=25)),
+        (-4, noise), (-5, "Быстрая коричневая лиса прыгает через ленивую собаку " * 8), (-6, "12 34 ..."),
+    ]
+    added = spark.createDataFrame([(k, t, None, "s", 0) for k, t in planted], docs.schema)
+    kept = pipeline.known_language(spark, docs.unionByName(added), SF_DIR)
+    assert {r.doc_id for r in kept.where("doc_id < 0").select("doc_id").collect()} == {-1, -2, -3}
+
+
 def test_run_on_whole_tables(spark):
     assert [n for n, _ in pipeline.STAGES] == ["language", "minhash", "repeats", "benchmark", "pieces"]
     out = pipeline.run(spark, SF_DIR)
