@@ -2,8 +2,10 @@
 
 The distinct words of the corpus are exploded into substrings no longer than the longest piece and
 joined to the piece table; the edges of a word are folded by Viterbi with ``aggregate``, keeping the
-best way to every place, and walked back. Texts are blocks of word numbers, so a word is encoded
-once and its pieces return to each block that has it.
+best way to every place, and walked back. A word of any length is one lattice: it is exploded from
+windows that overlap by the longest piece, and folded in runs of edges that hand on the ways to the
+last places a piece can start from. Texts are blocks of word numbers, so a word is encoded once and
+its pieces return to each block that has it.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from determina.llm.shared import staged
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Bytes of a word at most; a longer one is cut, at characters, into words of this size.
-LONGEST = 256
+#: Places of a word exploded from one window, and edges folded before their ways are set aside.
+WINDOW, FOLDED = 256, 256
 #: Words of a task of the lattice, about; so few are grouped in memory, and no edge is spilled.
 WORDS_IN_TASK = 16_384
 #: Cost of a byte of a character that no piece has.
@@ -85,14 +87,6 @@ def split_pieces(raw: np.ndarray, offsets: np.ndarray):
     start[edges[:-1][filled]] = True
     start[-1] = True
     cut = np.flatnonzero(start)
-    for a, b in zip(cut[:-1][np.diff(cut) > LONGEST].tolist(), cut[1:][np.diff(cut) > LONGEST].tolist(), strict=True):
-        at = a + LONGEST
-        while at < b:
-            while (data[at] & 0xC0) == 0x80:
-                at -= 1
-            start[at] = True
-            at += LONGEST
-    cut = np.flatnonzero(start)
     return data, cut[:-1], cut[1:], np.searchsorted(cut[:-1], edges)
 
 
@@ -111,22 +105,35 @@ def encode_words(words: DataFrame, pieces: Pieces, table: DataFrame | None = Non
     """
     table = piece_table(words.sparkSession, pieces) if table is None else table
     text = words.select("word", F.replace(F.col("spelled").cast("string"), F.lit(" "), F.lit(SPACE)).alias("w")).where("w != ''")
-    starts = text.select("word", "w", F.explode(F.sequence(F.lit(1), F.char_length("w"))).alias("at"))
-    sized = starts.select("word", "w", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("w") - F.col("at") + 1))).alias("size"))
-    parts = sized.select("word", "at", "size", F.col("w").substr(F.col("at"), F.col("size")).alias("piece"))
+    far = F.expr(f"transform(sequence(0, (char_length(w) - 1) div {WINDOW}), k -> substring(w, k * {WINDOW} + 1, {WINDOW + pieces.longest - 1}))")
+    windows = text.select("word", F.posexplode(far).alias("k", "w"))
+    starts = windows.select("word", "k", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.char_length("w")))).alias("at"))
+    sized = starts.select("word", "k", "w", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("w") - F.col("at") + 1))).alias("size"))
+    parts = sized.select("word", (F.col("k") * WINDOW + F.col("at")).alias("at"), "size", F.col("w").substr(F.col("at"), F.col("size")).alias("piece"))
     edges = parts.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
     edge = F.struct(
         (F.col("at") + F.col("size") - 1).alias("to"), (F.col("at") - 1).alias("from"), F.coalesce("id", F.lit(-1)).alias("id"),
         F.coalesce("score", -UNKNOWN * F.octet_length("piece")).alias("score"), F.when(F.col("id").isNull(), F.col("piece")).alias("raw"))
     lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    step = "named_struct('score', best[e.from].score + e.score, 'from', e.from, 'id', e.id, 'raw', e.raw)"
+    step = "named_struct('score', best[e.from - a.base].score + e.score, 'from', e.from, 'id', e.id, 'raw', e.raw)"
+    # ``best`` are the ways to the places from ``base`` on; those no later edge can start from are done.
+    keep = pieces.longest + 1
     best = f"""
-        aggregate(edges, array(named_struct('score', 0D, 'from', -1, 'id', -1, 'raw', cast(null as string))), (best, e) ->
-            if(size(best) = e.to, concat(best, array({step})),
-               if(best[e.from].score + e.score > best[e.to].score, concat(slice(best, 1, e.to), array({step})), best)))"""
-    walk = """
-        aggregate(sequence(1, size(best) - 1), named_struct('at', size(best) - 1, 'path', slice(best, 1, 0)), (a, _) ->
-            if(a.at <= 0, a, named_struct('at', best[a.at].from, 'path', concat(array(best[a.at]), a.path)))).path"""
+        aggregate(sequence(0, (size(edges) - 1) div {FOLDED}),
+            named_struct('base', 0, 'best', array(named_struct('score', 0D, 'from', -1, 'id', -1, 'raw', cast(null as string))),
+                         'done', array(array(named_struct('score', 0D, 'from', -1, 'id', -1, 'raw', cast(null as string))))),
+            (a, k) -> transform(array(aggregate(slice(edges, k * {FOLDED} + 1, {FOLDED}), a.best, (best, e) ->
+                if(a.base + size(best) = e.to, concat(best, array({step})),
+                   if(best[e.from - a.base].score + e.score > best[e.to - a.base].score, concat(slice(best, 1, e.to - a.base), array({step})), best)))),
+                n -> named_struct('base', a.base + greatest(size(n) - {keep}, 0), 'best', slice(n, greatest(size(n) - {keep}, 0) + 1, {keep}),
+                                  'done', if(size(n) > {keep}, concat(a.done, array(slice(n, 1, size(n) - {keep}))), a.done)))[0],
+            a -> concat(flatten(slice(a.done, 2, size(a.done))), a.best))"""
+    walk = f"""
+        aggregate(sequence(0, (size(best) - 1) div {FOLDED}), named_struct('at', size(best) - 1, 'path', array(slice(best, 1, 0))), (a, _) ->
+            if(a.at <= 0, a, transform(array(
+                aggregate(sequence(1, {FOLDED}), named_struct('at', a.at, 'path', slice(best, 1, 0)), (b, _) ->
+                    if(b.at <= 0, b, named_struct('at', best[b.at].from, 'path', concat(array(best[b.at]), b.path))))),
+                n -> named_struct('at', n.at, 'path', concat(array(n.path), a.path)))[0]), a -> flatten(a.path))"""
     spelled = f"""
         flatten(transform(path, p -> if(p.id >= 0, array(p.id), transform(sequence(0, octet_length(p.raw) - 1),
             i -> {pieces.first_byte} + cast(conv(substring(hex(p.raw), 2 * i + 1, 2), 16, 10) as int)))))"""
@@ -177,8 +184,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str =
     """(id, ids, decoded) of every row: piece ids, and the text decoded from the ids alone.
 
     A null or empty text has no ids and decodes to the empty text. Every other text is what comes
-    back. Words longer than ``LONGEST`` bytes are encoded in parts. Rows that share an id, or have
-    none, are encoded each; an empty table gives an empty result.
+    back. Rows that share an id, or have none, are encoded each; an empty table gives an empty result.
     """
     blocks = blocks_of(docs, id_col, text, F.lit(False), split_pieces, strings=True)
     places = blocks.select(F.col("block").alias("home"), F.posexplode("spelled").alias("idx", "spelled"))

@@ -39,6 +39,35 @@ def test_viterbi_against_all_paths(spark, table):
         assert got[i] in best_paths(w, table), w
 
 
+def plain_score(word: str, table: P.Pieces) -> float:
+    """The largest sum of scores, place by place."""
+    by_text = {t: s for t, s in zip(table.text, table.score, strict=True) if s is not None}
+    best, longest = [0.0], table.longest
+    for b in range(1, len(word) + 1):
+        ways = [best[a] + by_text[word[a:b]] for a in range(max(0, b - longest), b) if word[a:b] in by_text]
+        best.append(max(ways) if word[b - 1] in by_text else max([*ways, best[b - 1] - P.UNKNOWN * len(word[b - 1].encode())]))
+    return best[-1]
+
+
+def test_long_words_against_a_plain_dynamic_program(spark, table):
+    rng = random.Random(9)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    url = "".join(rng.choice(["https://", "example", "the", "international", ".com/", "static", "\t", "é", "語"]) for _ in range(300))
+    words = [draw("abeinorst", 1000), draw("的一是不了在人有我他这☃", 700), url, "x" * 513, draw("ABCDEFabcdef0123456789+/", 20_000), "i" * 255 + "nternational", "a" * 256, "▁" * 600]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    by_id = {k: (t, s) for k, (t, s) in enumerate(zip(table.text, table.score, strict=True)) if s is not None}
+    for r in P.encode(docs, table).collect():
+        word = P.SPACE + words[r.doc_id]
+        score = sum(by_id[k][1] if k in by_id else -P.UNKNOWN for k in r.ids)
+        assert r.decoded == words[r.doc_id].replace(P.SPACE, " ")
+        # Spaces of a text and a literal piece mark are the same place in the lattice, but other words.
+        if P.SPACE not in words[r.doc_id]:
+            assert abs(score - plain_score(word, table)) < 1e-6, r.doc_id
+    spaces = spark.createDataFrame([(0, b" " * 600)], "word long, spelled binary")
+    (r,) = P.encode_words(spaces, table).collect()
+    assert abs(sum(by_id[k][1] for k in r.ids) - plain_score(P.SPACE * 600, table)) < 1e-6
+
+
 def test_round_trip_of_documents(spark, table):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     coded = P.encode(docs, table)
