@@ -1,6 +1,9 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Every line of a text is compared with the templates as a sparse TF-IDF vector. Document frequencies
+Lines, paragraphs, whole texts and all windows of a template's length (across lines and inside long
+ones) are compared with the templates, licence texts and headers, as sparse TF-IDF vectors. Sums
+along the text bound every cosine from above, so only spans that may reach the threshold are
+compared. Document frequencies
 of the templates' words are counted over all texts; words that no template has weigh like words of
 a single text. A file whose words are mostly licence lines, or that is named like one, is a licence
 file and speaks for its directory; files without a licence of their own take that of the nearest
@@ -9,6 +12,8 @@ directory above that has one.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +34,45 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+     compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+     Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
+     an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+     specific language governing permissions and limitations under the License."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+     that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+     list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+     notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+     the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse
+     or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY
+     THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+     THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+     COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+     DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+     BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+     (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+     POSSIBILITY OF SUCH DAMAGE."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+     Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+     later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+     the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+     more details."""),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+     documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+     rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+     persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+     this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+     "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+     MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+     HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+     ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+     not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    *((name, files("determina.llm").joinpath(f"license_texts/{name}.txt").read_text()) for name in ("Apache-2.0", "GPL-3.0", "MPL-2.0")),
 ]
+#: Tokens of spans compared at once. Shorter templates are titles, which stand on lines of their own.
+AT_ONCE, TITLE = 1 << 20, 5
 NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 
@@ -49,6 +92,7 @@ class Templates:
             starts, ends, _ = tokens(data, np.array([0, len(data)]), ALNUM)
             bags.append(hasher.load(data).spans(starts, ends))
         self.names = [name for name, _ in templates]
+        self.sizes = [len(b) for b in bags]
         self.words = np.unique(np.concatenate(bags))
         self.weight = np.array([np.log((texts + 2) / (frequency.get(int(w.view(np.int64)), 0) + 1)) for w in self.words])
         self.rare = float(np.log(texts + 2))
@@ -80,6 +124,49 @@ def _frequency_batches(words: np.ndarray):
     return run
 
 
+def _spans(t: Templates, line: np.ndarray, first: np.ndarray, dots: list[np.ndarray], squares: np.ndarray, least: float):
+    """First and last (exclusive) words of the spans whose cosine may reach ``least``.
+
+    ``dots`` are running sums of each template's products, ``squares`` those of the squared weights.
+    A word that a span repeats adds more to its squared norm than its sum of squares, so the bound
+    holds. Windows of long templates move by a 64th of their length.
+    """
+    n = len(line)
+    lines = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1], [True])))
+    doc = np.searchsorted(first, np.arange(n), "right") - 1
+    paragraphs = np.flatnonzero(np.concatenate(([True], (line[1:] > line[:-1] + 1) | (doc[1:] != doc[:-1]), [True])))
+    texts = np.unique(first)
+    a, b = (np.concatenate([x[k : len(x) - 1 + k] for x in (lines, paragraphs, texts)]) for k in (0, 1))
+    low = least * np.sqrt(squares[b] - squares[a]) - 1e-6
+    may = np.zeros(len(a), bool)
+    found = []
+    for k, size in enumerate(t.sizes):
+        may |= dots[k][b] - dots[k][a] >= low
+        if size < TITLE or size > n:
+            continue
+        at = np.arange(0, n - size + 1, 1 + size // 64)
+        at = at[dots[k][at + size] - dots[k][at] >= least * np.sqrt(squares[at + size] - squares[at]) - 1e-6]
+        at = at[doc[at] == doc[at + size - 1]]
+        found.append(np.stack([at, at + size], 1))
+    return np.unique(np.concatenate([np.stack([a[may], b[may]], 1), *found]), axis=0)
+
+
+def _cosines(t: Templates, spans: np.ndarray, ids: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Cosines of all spans to all templates; ``weight`` and ``unit`` are those of the word numbers ``ids``."""
+    out, size = np.zeros((len(spans), len(t.names))), spans[:, 1] - spans[:, 0]
+    group = np.cumsum(size) // AT_ONCE
+    for lo, hi in zip(*(np.searchsorted(group, np.unique(group), side) for side in ("left", "right")), strict=True):
+        own, m = size[lo:hi], hi - lo
+        place = np.repeat(spans[lo:hi, 0] - np.cumsum(own) + own, own) + np.arange(own.sum())
+        pair, n = np.unique(np.repeat(np.arange(m), own) * len(weight) + ids[place], return_counts=True)
+        row, word = pair // len(weight), pair % len(weight)
+        value = n * weight[word]
+        norm = np.sqrt(np.maximum(np.bincount(row, value**2, m), 1e-300))
+        for k in range(len(t.names)):
+            out[lo:hi, k] = np.bincount(row, value * unit[k, word], m) / norm
+    return out
+
+
 def _scan_batches(t: Templates, least: float):
     """Task code: (row, text) to (row, license, score, n_words, n_license_words, found)."""
 
@@ -87,35 +174,34 @@ def _scan_batches(t: Templates, least: float):
         hasher = Hasher()
         for batch in batches:
             for lo, hi, data, offsets, starts, ends, first, hashes in _tokenised(batch, hasher):
-                # A line ends at a line feed or at the end of its text.
-                cuts = np.union1d(np.flatnonzero(data == 10) + 1, offsets)
-                line = np.searchsorted(cuts, starts, "right") - 1 if len(starts) else np.zeros(0, np.int64)
-                kinds, line = np.unique(line, return_inverse=True)
-                own = np.bincount(line, minlength=len(kinds))
-                at = np.minimum(np.searchsorted(t.words, hashes), len(t.words) - 1)
-                known = t.words[at] == hashes
-                sums, squares = np.zeros((len(kinds), len(t.names))), np.zeros(len(kinds))
-                pair, n = np.unique(line[known] * len(t.words) + at[known], return_counts=True)
-                row, word = pair // len(t.words), pair % len(t.words)
-                value = n * t.weight[word]
-                for k in range(len(t.names)):
-                    sums[:, k] = np.bincount(row, value * t.unit[k, word], len(kinds))
-                squares += np.bincount(row, value**2, len(kinds))
-                # Other words of a line, each as rare as can be; copies within the line add up.
-                strange = np.unique(np.stack([line[~known].astype(np.uint64), hashes[~known]], 1), axis=0, return_counts=True) if (~known).any() else None
-                if strange is not None:
-                    squares += np.bincount(strange[0][:, 0].astype(np.int64), (strange[1] * t.rare) ** 2, len(kinds))
-                cosine = sums / np.sqrt(np.maximum(squares, 1e-300))[:, None]
-                best = cosine.argmax(1) if len(kinds) else np.zeros(0, int)
-                top = cosine[np.arange(len(kinds)), best]
-                doc_of = np.zeros(len(kinds), np.int64)
-                doc_of[line] = np.searchsorted(first, np.arange(len(line)), "right") - 1
                 found: list[dict[str, float]] = [{} for _ in range(hi - lo)]
                 declared = np.zeros(hi - lo, np.int64)
-                for k in np.flatnonzero(top >= least):
-                    name, d = t.names[best[k]], doc_of[k]
-                    found[d][name] = max(found[d].get(name, 0.0), min(1.0, float(top[k])))
-                    declared[d] += own[k]
+                if len(starts):
+                    # A line ends at a line feed or at the end of its text.
+                    line = np.searchsorted(np.union1d(np.flatnonzero(data == 10) + 1, offsets), starts, "right") - 1
+                    distinct, ids = np.unique(hashes, return_inverse=True)
+                    at = np.minimum(np.searchsorted(t.words, distinct), len(t.words) - 1)
+                    known = t.words[at] == distinct
+                    # Other words are each as rare as can be.
+                    weight = np.where(known, t.weight[at], t.rare)
+                    unit = np.where(known, t.unit[:, at], 0.0)
+                    dots = [np.concatenate(([0.0], np.cumsum((weight * unit[k])[ids]))) for k in range(len(t.names))]
+                    spans = _spans(t, line, first, dots, np.concatenate(([0.0], np.cumsum((weight**2)[ids]))), least)
+                    cosine = _cosines(t, spans, ids, weight, unit)
+                    best = cosine.argmax(1) if len(spans) else np.zeros(0, int)
+                    top = cosine[np.arange(len(spans)), best]
+                    doc_of = np.searchsorted(first, spans[:, 0], "right") - 1
+                    # Of spans that overlap the best one speaks, of equal ones the longest.
+                    taken, hits = np.zeros(len(starts), bool), np.flatnonzero(top >= least)
+                    for k in hits[np.lexsort((spans[hits, 0] - spans[hits, 1], -np.round(top[hits], 9)))]:
+                        own = taken[spans[k, 0] : spans[k, 1]]
+                        if own.any():
+                            continue
+                        own[:] = True
+                        name, d = t.names[best[k]], doc_of[k]
+                        found[d][name] = max(found[d].get(name, 0.0), min(1.0, float(top[k])))
+                    covered = np.concatenate(([0], np.cumsum(taken)))
+                    declared = covered[first[1:]] - covered[first[:-1]]
                 first_choice = [min(f.items(), key=lambda x: (-x[1], x[0])) if f else (None, 0.0) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(lo, hi - lo), pa.array([x[0] for x in first_choice], pa.string()), pa.array([x[1] for x in first_choice], pa.float64()),
@@ -128,7 +214,7 @@ def _scan_batches(t: Templates, least: float):
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """(row, license, score, n_words, n_license_words, found) of every row.
 
-    ``license`` is the template of the best line with a cosine of ``least`` or more (of equal ones
+    ``license`` is the template of the best span with a cosine of ``least`` or more (of equal ones
     the first by name), ``found`` all licences declared. Null or empty texts declare nothing.
     Repeated rows get the same answer; an empty table is empty.
     """

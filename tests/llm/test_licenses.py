@@ -50,3 +50,15 @@ def test_empty_and_long(spark):
     assert licenses.scan(spark.createDataFrame([], "text string")).collect() == []
     (r,) = licenses.scan(spark.createDataFrame([("word " * 200_000 + "\nMIT\n" + "Released under the MIT License.",)], "text string")).collect()
     assert r.license == "MIT" and r.n_words == 200_006
+
+
+def test_wrapped_headers_whole_files_and_reworded(spark):
+    whole = {n: max((t for k, t in licenses.TEMPLATES if k == n), key=len) for n in ("Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT", "MPL-2.0")}
+    header = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("This program")).split()
+    wrapped = "/*\n" + "\n".join(" * " + " ".join(header[i : i + 7]) for i in range(0, len(header), 7)) + "\n */\n" + "int main void code\n" * 50
+    rows = [(n, "\n".join(t.split())) for n, t in whole.items()] + [
+        ("GPL-3.0", wrapped), ("MIT", "This project is released under the MIT License."), ("MIT", "Copyright (c) 2020 Jane Doe. Released under the MIT License."),
+        ("MIT", "The MIT License (MIT)"), ("MIT", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + whole["MIT"]), (None, "plain prose about a cat " * 40)]
+    got = {r.row.i: r for r in licenses.scan(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, want string, text string")).collect()}
+    assert [got[i].license for i in range(len(rows))] == [n for n, _ in rows]
+    assert got[5].n_license_words < got[5].n_words / 2
