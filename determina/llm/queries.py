@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from determina.llm import bwt, decontaminate, hnsw, langid, lbl, licenses, minhash, pieces, sharding, urls
+from determina.llm import bwt, decontaminate, hnsw, langid, lbl, licenses, minhash, periods, pieces, sharding, urls
 from determina.llm.shared import crc_mod
 
 SHARDS = [f"shard-{i:04d}" for i in range(1000)]
@@ -69,7 +69,34 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_hnsw, op3_sharding, op4_licenses, op5_language, op6_lbl, op7_decontaminate, op8_urls, op9_bwt, op10_pieces)}
+def _repeated_tail(doc_id, text):
+    """A tenth of the documents with a part that begins anew every few words: with h = crc32 of the id
+    and g = h / 10, words from number a = g % n on are those of the p words there, again and again."""
+    crc = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(crc / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), 1, n - a)
+    new = F.array_join(F.concat(F.slice(words, 1, a), tail), " ")
+    return F.when((crc % 10 == 0) & (n > 0), new).otherwise(text)
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.periodic_runs(docs.withColumn("text", _repeated_tail(F.col("doc_id"), F.col("text"))))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length",
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_hnsw, op3_sharding, op4_licenses, op5_language, op6_lbl, op7_decontaminate, op8_urls, op9_bwt, op10_pieces, op13_periods)}
 
 WORDS_SQL = f"""
 list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""

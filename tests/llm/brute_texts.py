@@ -62,3 +62,7 @@ def hits(text: str | None, items: dict[str, str | None], window: int) -> tuple[i
                     hit.update(range(i, i + len(win)))
                     found.add(name)
     return len(doc), len(hit), sorted(found)
+
+
+def words_as_are(text: str | None) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
