@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from determina.llm import bwt, decontaminate, hnsw, langid, lbl, licenses, minhash, periods, pieces, sharding, urls
+from determina.llm import bwt, decontaminate, hnsw, langid, lbl, licenses, minhash, periods, pieces, sharding, trie, urls
 from determina.llm.shared import crc_mod
 
 SHARDS = [f"shard-{i:04d}" for i in range(1000)]
@@ -69,6 +69,15 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with turns of the one whose id is the multiple of five below."""
+    turns = trie.numbered_turns(_table(spark, sf_dir, "conversations"))
+    keep = (F.crc32(F.col("conv").cast("string").cast("binary")) % 9).cast("long")
+    nodes = trie.prefix_trie(*trie.shared_starts(turns, F.col("conv") - F.col("conv") % 5, keep, 8))
+    return nodes.select(F.col("seq").alias("conv_id"), "depth", F.col("parent_seq").alias("parent_conv_id"), F.col("n_seqs").alias("n_convs"),
+                        "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
 def _repeated_tail(doc_id, text):
     """A tenth of the documents with a part that begins anew every few words: with h = crc32 of the id
     and g = h / 10, words from number a = g % n on are those of the p words there, again and again."""
@@ -96,7 +105,7 @@ def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_hnsw, op3_sharding, op4_licenses, op5_language, op6_lbl, op7_decontaminate, op8_urls, op9_bwt, op10_pieces, op13_periods)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_hnsw, op3_sharding, op4_licenses, op5_language, op6_lbl, op7_decontaminate, op8_urls, op9_bwt, op10_pieces, op12_trie, op13_periods)}
 
 WORDS_SQL = f"""
 list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
@@ -154,4 +163,28 @@ select page_id, host, path, rule, coalesce(v, case when exists (select 1 from ba
 from p left join f using (page_id)
 """
 
-ORACLE = {"op1_minhash": OP1_SQL, "op2_hnsw": OP2_SQL, "op7_decontaminate": OP7_SQL, "op8_urls": OP8_SQL}
+OP12_SQL = """
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) pos,
+             sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) tok, strlen(coalesce(text, '')) bytes
+           from conversations where conv_id is not null),
+b as (select conv_id, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])) steps
+      from (select distinct conv_id from t)),
+c as (select conv_id, conv_id - conv_id % 5 base, xor(list_reduce(list_concat([4294967295::bigint], steps),
+        lambda acc, e: case when e >= 0 then xor(acc, e) else xor(acc >> 1, 3988292384 * (acc & 1)) end), 4294967295::bigint) % 9 h from b),
+w as (select conv_id, list(tok order by pos) toks, list(bytes order by pos) sizes from t group by 1),
+r as (select c.conv_id, list_concat(coalesce(p.toks[1:h], []), o.toks[h+1:]) toks, list_concat(coalesce(p.sizes[1:h], []), o.sizes[h+1:]) sizes
+      from c join w o on o.conv_id = c.conv_id left join w p on p.conv_id = c.base),
+m as (select conv_id, d, array_to_string(toks[1:d], ',') k, array_to_string(toks[1:d-1], ',') pk, coalesce(sizes[d], 0) bytes, d = len(toks) ended
+      from (select conv_id, toks, sizes, unnest(range(0, len(toks) + 1)) d from r)),
+n as (select d, k, min(conv_id) conv_id, count(*) n, any_value(pk) pk, any_value(bytes) bytes,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ended), '')) ends from m group by 1, 2),
+ch as (select d - 1 d, pk k, count(*) n_children from n where d > 0 group by 1, 2),
+a as (select n.conv_id, n.d, n.k, n.n, n.pk, n.bytes, n.ends, coalesce(ch.n_children, 0) n_children from n left join ch using (d, k)),
+up as (select m.d, m.k, sum(case when a.n_children = 0 then 1 else 0 end) n_leaves, sum((a.n - 1) * a.bytes) saved
+       from a join m on m.conv_id = a.conv_id and m.d <= a.d group by 1, 2)
+select a.conv_id::bigint conv_id, a.d::bigint "depth", p.conv_id::bigint parent_conv_id, a.n::bigint n_convs, a.n_children::bigint n_children,
+  up.n_leaves::bigint n_leaves, up.saved::bigint saved_tokens, a.ends ends_sha256
+from a join up using (d, k) left join n p on p.d = a.d - 1 and p.k = a.pk
+"""
+
+ORACLE = {"op1_minhash": OP1_SQL, "op2_hnsw": OP2_SQL, "op7_decontaminate": OP7_SQL, "op8_urls": OP8_SQL, "op12_trie": OP12_SQL}
