@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from determina.llm import bwt, decontaminate, hnsw, langid, lbl, licenses, minhash, periods, pieces, sharding, trie, urls
+from determina.llm import automata, bwt, decontaminate, hnsw, langid, lbl, licenses, minhash, periods, pieces, sharding, trie, urls
 from determina.llm.shared import crc_mod
 
 SHARDS = [f"shard-{i:04d}" for i in range(1000)]
@@ -69,6 +69,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = automata.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation begins with turns of the one whose id is the multiple of five below."""
     turns = trie.numbered_turns(_table(spark, sf_dir, "conversations"))
@@ -105,7 +110,7 @@ def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_hnsw, op3_sharding, op4_licenses, op5_language, op6_lbl, op7_decontaminate, op8_urls, op9_bwt, op10_pieces, op12_trie, op13_periods)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_hnsw, op3_sharding, op4_licenses, op5_language, op6_lbl, op7_decontaminate, op8_urls, op9_bwt, op10_pieces, op11_automata, op12_trie, op13_periods)}
 
 WORDS_SQL = f"""
 list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
@@ -163,6 +168,17 @@ select page_id, host, path, rule, coalesce(v, case when exists (select 1 from ba
 from p left join f using (page_id)
 """
 
+OP11_SQL = """
+with w as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
+s as (select r, unnest(range(1, len(ws) - 33)) pos, ws from w where len(ws) >= 35),
+k as (select r, pos, sha256(array_to_string(ws[pos:pos+34], ' ')) h from s),
+t as (select h from k group by 1 having count(*) > 1),
+g as (select r, list(distinct x) xs from (select r, unnest(range(pos, pos + 35)) x from k semi join t using (h)) group by 1)
+select doc_id, len(ws)::bigint n_words, coalesce(len(xs), 0)::bigint n_removed,
+  sha256(coalesce(array_to_string(case when xs is null then ws else list_filter(ws, lambda x, i: not list_contains(xs, i)) end, ' '), '')) kept_sha256
+from w left join g using (r)
+"""
+
 OP12_SQL = """
 with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) pos,
              sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) tok, strlen(coalesce(text, '')) bytes
@@ -187,4 +203,4 @@ select a.conv_id::bigint conv_id, a.d::bigint "depth", p.conv_id::bigint parent_
 from a join up using (d, k) left join n p on p.d = a.d - 1 and p.k = a.pk
 """
 
-ORACLE = {"op1_minhash": OP1_SQL, "op2_hnsw": OP2_SQL, "op7_decontaminate": OP7_SQL, "op8_urls": OP8_SQL, "op12_trie": OP12_SQL}
+ORACLE = {"op1_minhash": OP1_SQL, "op2_hnsw": OP2_SQL, "op7_decontaminate": OP7_SQL, "op8_urls": OP8_SQL, "op11_automata": OP11_SQL, "op12_trie": OP12_SQL}

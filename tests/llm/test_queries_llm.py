@@ -21,5 +21,5 @@ def test_query(spark, duck, name):
         assert sorted(r[key] for r in out.select(key).collect()) == ids
 
 
-def test_all_ten_are_there():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+def test_all_thirteen_are_there():
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
