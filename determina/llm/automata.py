@@ -185,10 +185,11 @@ def _cut_batches(window: int):
     return run
 
 
-def _single_windows(window: int, extra: tuple[str, ...]):
-    """Task code: (passage, n, extra columns) to (passage, offset, extra columns) of single windows."""
+def _single_windows(window: int):
+    """Task code: (passage, n, p1, p2, places) to (passage, offset, p1, p2, places) of single windows."""
 
     def run(batches):
+        extra = ("p1", "p2", "places")
         for batch in batches:
             n = batch.column("n").to_numpy()
             bodies = []
@@ -204,7 +205,7 @@ def _single_windows(window: int, extra: tuple[str, ...]):
 
 
 def _shard(window: int):
-    """Task code: the passages (p1, p2, passage, places) of a shard to runs of their repeated windows."""
+    """Task code: the passages (p1, p2, passage, places) of a shard to the runs of their repeated windows."""
 
     def run(table: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
@@ -215,13 +216,12 @@ def _shard(window: int):
         at, begins, ends = [], [], []
         for i, own in enumerate(states):
             begin, end = runs(np.array([repeated[s] >= window for s in own[window - 1 :]], bool))
-            at += [i] * len(begin)
-            begins.append(begin)
-            ends.append(end)
-        none = np.zeros(0, np.int64)
-        took = table.take(pa.array(at, pa.int64()))
-        return pa.table({"p1": took.column("p1"), "p2": took.column("p2"), "begin": np.concatenate([none, *begins]).astype(np.int32),
-                         "end": np.concatenate([none, *ends]).astype(np.int32)})
+            if len(begin):
+                at.append(i)
+                begins.append(begin.tolist())
+                ends.append(end.tolist())
+        took, kind = table.take(pa.array(at, pa.int64())), pa.list_(pa.int32())
+        return pa.table({"p1": took.column("p1"), "p2": took.column("p2"), "begins": pa.array(begins, kind), "ends": pa.array(ends, kind)})
 
     return run
 
@@ -244,30 +244,36 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW,
     rows = rows.select(*_keys("text", "k1", "k2"), "text")
     named = rows.mapInArrow(_name_batches(window, stretch), "name long, k1 long, k2 long, start int, n int")
     named = staged(named.groupBy("name", "k1", "k2", "start", "n").agg(F.count(F.lit(1)).alias("copies")), "names")
-    twice = named.groupBy("name").agg(F.sum("copies").alias("places")).where("places > 1").select("name")
+    twice = staged(named.groupBy("name").agg(F.sum("copies").alias("places")).where("places > 1").select("name"), "twice")
     wanted = named.join(twice, "name").groupBy("k1", "k2").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("name", "start", "n")).alias("passages"))
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
     texts = staged(texts.select("k1", "k2", "text", "copies", "passages"), "texts")
 
     cut = texts.mapInArrow(_cut_batches(window), "name long, passage binary, k1 long, k2 long, start int, n int, copies long")
     cut = staged(cut.select("name", "passage", *_keys("passage", "p1", "p2"), "k1", "k2", "start", "n", "copies"), "passages")
-    kinds = staged(cut.groupBy("name", "passage", "n").agg(F.sum("copies").alias("places")), "kinds")
-    crowded = staged(kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > crowd).select("name"), "crowded")
-
-    calm = kinds.join(crowded, "name", "left_anti").select("passage", "places", F.col("name").alias("dealt"))
-    single = kinds.join(crowded, "name").mapInArrow(_single_windows(window, ("places",)), "passage binary, offset int, places long")
-    single = single.groupBy("passage").agg(F.sum("places").alias("places")).select("passage", "places", F.xxhash64("passage").alias("dealt"))
-    reference = staged(calm.unionByName(single).select("passage", "places", "dealt", *_keys("passage", "p1", "p2")), "reference")
-    size = reference.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+    kinds = cut.groupBy("name", "passage", "n").agg(F.sum("copies").alias("places"))
+    kinds = staged(kinds.select("name", "passage", *_keys("passage", "p1", "p2"), "n", "places"), "kinds")
+    crowded = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("passage") * F.col("n")).alias("bytes"))
+    crowded = staged(crowded.where(F.col("kinds") > crowd).select("name", "bytes"), "crowded")
+
+    # Passages of crowded names go as single windows, each to the shard of its own words.
+    single = kinds.join(crowded, "name").select("passage", "n", "p1", "p2", "places")
+    single = single.mapInArrow(_single_windows(window), "passage binary, offset int, p1 long, p2 long, places long")
+    single = staged(single.select("passage", *_keys("passage", "w1", "w2"), "offset", "p1", "p2", "places"), "windows")
+    apart = single.groupBy("w1", "w2", "passage").agg(F.sum("places").alias("places"))
+    reference = kinds.join(crowded, "name", "left_anti").select("p1", "p2", "passage", "places", F.col("name").alias("dealt"))
+    reference = reference.unionByName(apart.select(F.col("w1").alias("p1"), F.col("w2").alias("p2"), "passage", "places", F.col("w1").alias("dealt")))
+    size = sum(t.agg(F.sum(x)).first()[0] or 0 for t, x in ((kinds, F.octet_length("passage")), (crowded, F.col("bytes"))))
     shards = max(1, -(-size // shard_bytes))
     sent = reference.select(F.pmod(F.xxhash64("dealt"), F.lit(shards)).alias("shard"), "p1", "p2", "passage", "places")
-    found = staged(sent.groupBy("shard").applyInArrow(_shard(window), "p1 long, p2 long, begin int, end int"), "found")
-
-    refs = cut.join(crowded, "name", "left_anti").select("p1", "p2", "k1", "k2", "start")
-    apart = cut.join(crowded, "name").mapInArrow(_single_windows(window, ("k1", "k2", "start")), "passage binary, offset int, k1 long, k2 long, start int")
-    refs = refs.unionByName(apart.select(*_keys("passage", "p1", "p2"), "k1", "k2", (F.col("start") + F.col("offset")).alias("start")))
-    back = refs.join(found, ["p1", "p2"]).groupBy("k1", "k2").agg(
-        F.collect_list(F.col("start") + F.col("begin")).alias("begins"), F.collect_list(F.col("start") + F.col("end")).alias("ends"))
+    found = staged(sent.groupBy("shard").applyInArrow(_shard(window), "p1 long, p2 long, begins array<int>, ends array<int>"), "found")
+
+    again = single.join(found.select(F.col("p1").alias("w1"), F.col("p2").alias("w2")), ["w1", "w2"]).groupBy("p1", "p2")
+    again = again.agg(F.collect_list("offset").alias("begins"), F.collect_list(F.col("offset") + 1).alias("ends"))
+    every = staged(found.unionByName(again), "repeated")
+    moved = [F.transform(c, lambda x: x + F.col("start")).alias(c) for c in ("begins", "ends")]
+    back = cut.select("p1", "p2", "k1", "k2", "start").join(every, ["p1", "p2"]).select("k1", "k2", *moved)
+    back = back.groupBy("k1", "k2").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")))
     return texts.select("k1", "k2", "text"), back
 
 
