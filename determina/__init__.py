@@ -3,6 +3,8 @@
 from determina.operators.checks import check_fds, violations
 from determina.operators.classes import as_text
 from determina.plans.discover import discover_fds, discover_fds_by_count, discover_fds_in_parts
+from determina.plans.group_search import discover_fds_by_groups
+from determina.plans.two_ended import discover_fds_from_both_ends
 from determina.sources.delimited import (
     fd_lines,
     line_widths,
@@ -16,6 +18,8 @@ __all__ = [
     "check_fds",
     "discover_fds",
     "discover_fds_by_count",
+    "discover_fds_by_groups",
+    "discover_fds_from_both_ends",
     "discover_fds_in_parts",
     "fd_lines",
     "line_widths",

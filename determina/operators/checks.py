@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from determina.functions import cells, masks
-from determina.operators.counts import (
-    batches, column_counts, local_table, set_count, set_counts, union_all,
-)
+from determina.operators import counted
+from determina.operators.counts import batches, column_counts, local_table, set_count, union_all
 
 _FIXED_WIDTH = (
     T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
@@ -191,15 +190,11 @@ def needs_confirmation(df: DataFrame, rhs: int) -> int:
 # --- candidate tables --------------------------------------------------------
 
 
-def candidate_counts(df: DataFrame, candidates: DataFrame) -> DataFrame:
+def candidate_counts(df: DataFrame, candidates: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``mask, n`` for the left sides of ``lhs, rhs`` candidates and for the left
-    sides with their right side added."""
-    rows = (
-        candidates.select(F.col("lhs").alias("mask"))
-        .union(candidates.select(F.col("lhs").bitwiseOR(masks.bit(F.col("rhs")))))
-        .distinct()
-    )
-    return set_counts(df, [r.mask for r in rows.toLocalIterator()])
+    sides with their right side added, and all of ``known(attrs, n)``: counts of an earlier call of
+    ``counted.count_sets`` on the same rows, which are not made again."""
+    return counted.as_masks(counted.count_sets(df, counted.candidate_sets(candidates), known))
 
 
 def judge_by_counts(

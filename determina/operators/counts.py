@@ -23,6 +23,10 @@ from determina.functions import cells, masks
 # Sets counted by one action. Each is its own small plan over the columns it needs.
 BATCH = 32
 
+# Sets counted by one plan that shares exchanges.
+PLAN = 128
+
+
 def local_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
     """A small table of facts the driver holds. Spark knows its size, so a join with
     it is a broadcast only while it is small."""
@@ -55,28 +59,62 @@ def set_count(df: DataFrame, ordinals: Iterable[int]) -> DataFrame:
     return df.select(*names).distinct().agg(F.expr("count(1) AS n"))
 
 
-def _count_plan(df: DataFrame, wanted: Sequence[int]) -> DataFrame:
-    return union_all(
-        [
-            set_count(df, masks.ordinals_of(m)).selectExpr(f"{m}L AS mask", "n")
-            for m in wanted
-        ]
-    )
+def _led_by(df: DataFrame, lead: int, sets: Sequence[tuple[int, Sequence[int]]]) -> DataFrame:
+    """``at, n`` for sets that share a leading column, from one scan and one exchange.
+
+    ``sets`` are (number, other columns). A row is copied once per set, with the set's other
+    columns in slots, one for each type and place, so a copy is as wide as the widest set and
+    not as wide as the table. Copies are combined before the exchange and spread by all
+    their values, so a frequent leading value stays small and lies in no single task.
+    """
+    kinds = [f.dataType.simpleString() for f in df.schema]
+    names = [cells.sql_name(n) for n in df.columns]
+    slots: dict[tuple[str, int], list[str]] = {}
+    for at, others in sets:
+        filled: dict[str, int] = {}
+        for i in others:
+            kind = kinds[i - 1]
+            place = filled[kind] = filled.get(kind, -1) + 1
+            slots.setdefault((kind, place), []).append(f"WHEN {at} THEN k{i}")
+    values = [f"CASE at {' '.join(when)} END AS v{j}" for j, when in enumerate(slots.values())]
+    used = sorted({lead, *(i for _, others in sets for i in others)})
+    sent = f"explode(array({', '.join(str(at) for at, _ in sets)})) AS at"
+    rows = df.selectExpr(*[f"{names[i - 1]} AS k{i}" for i in used], sent)
+    return rows.selectExpr("at", f"k{lead}", *values).distinct().groupBy("at").agg(F.expr("count(1) AS n"))
+
+
+def numbered_set_counts(df: DataFrame, sets: Sequence[Sequence[int]]) -> DataFrame:
+    """``at INT, n BIGINT``: different tuples of each of some lists of column numbers, by its place
+    in the list. One exchange per leading column serves all sets that it leads."""
+    led: dict[int, list[tuple[int, Sequence[int]]]] = {}
+    parts = []
+    for at, members in enumerate(sets):
+        if len(members) < 2:
+            parts.append(set_count(df, members).selectExpr(f"{at} AS at", "n"))
+        else:
+            lead, *others = sorted(members)
+            led.setdefault(lead, []).append((at, others))
+    parts += [_led_by(df, lead, own) for lead, own in led.items()]
+    # An empty table has no groups to count.
+    every = local_table(df.sparkSession, [(at,) for at in range(len(sets))], "at int")
+    return every.join(union_all(parts), "at", "left").selectExpr("at", "coalesce(n, 0L) AS n")
 
 
 def set_counts(df: DataFrame, wanted: Iterable[int]) -> DataFrame:
     """``mask BIGINT, n BIGINT`` for many attribute sets.
 
-    Up to ``BATCH`` sets make one plan. A longer list runs batch by batch, so that no
-    plan grows with it; what comes back is one number per set the caller named.
+    Up to ``PLAN`` sets make one plan, with one exchange per leading column. A longer list
+    runs portion by portion, so that no plan grows with it; what comes back is one number per
+    set the caller named.
     """
     wanted = sorted(set(wanted))
     spark = df.sparkSession
     if not wanted:
         return local_table(spark, [], "mask bigint, n bigint")
-    if len(wanted) <= BATCH:
-        return _count_plan(df, wanted)
-    rows = [row for part in batches(wanted) for row in _count_plan(df, part).collect()]
+    if len(wanted) <= PLAN:
+        names = local_table(spark, list(enumerate(wanted)), "at int, mask bigint")
+        return names.join(numbered_set_counts(df, [masks.ordinals_of(m) for m in wanted]), "at").select("mask", "n")
+    rows = [row for part in batches(wanted, PLAN) for row in set_counts(df, part).collect()]
     return local_table(spark, rows, "mask bigint, n bigint")
 
 

@@ -2,7 +2,9 @@
 
 Pruning joins on the right side and one column of the smaller left side, picked by a
 hash, with containment as the rest of the condition. A right side is one of few values;
-with the column a table falls into many more keys, and no key holds most of it.
+with the column a table falls into many more keys, and no key holds most of it. Repeated
+rows harm neither a semi nor an anti join, so none are dropped on the way, and Spark
+broadcasts whatever is small.
 """
 
 from __future__ import annotations
@@ -104,36 +106,40 @@ def level_sizes(cands: DataFrame) -> DataFrame:
 
 
 def _keyed(small: DataFrame) -> DataFrame:
-    """With ``key``: one member of ``lhs``, by a hash of the set; 0 for the empty set."""
+    """With ``key``: one member of ``lhs``, by a hash of the set. The empty set, which is part of
+    every set, comes with all keys; a right side has it once at most."""
     chosen = F.pmod(F.xxhash64("lhs"), F.greatest(masks.size(F.col("lhs")), F.lit(1))).cast("int")
-    return small.withColumn("key", F.coalesce(F.get(masks.members(F.col("lhs")), chosen), F.lit(0)))
+    one = F.array(F.get(masks.members(F.col("lhs")), chosen))
+    every = F.sequence(F.lit(0), F.lit(masks.MAX_COLUMNS))
+    return small.withColumn("key", F.explode(F.when(F.col("lhs") == 0, every).otherwise(one)))
 
 
 def _spread(big: DataFrame) -> DataFrame:
-    """Once for each member of ``lhs`` and once for the empty set, as ``key``."""
-    return big.withColumn("key", F.explode(F.concat(F.array(F.lit(0)), masks.members(F.col("lhs")))))
+    """Once for each member of ``lhs``, as ``key``; the empty set once, with a key of its own."""
+    return big.withColumn("key", F.explode(F.when(F.col("lhs") == 0, F.array(F.lit(0))).otherwise(masks.members(F.col("lhs")))))
 
 
 def _around(big: DataFrame, small: DataFrame, proper: bool = False) -> DataFrame:
-    """``lhs, rhs`` of ``big`` whose left side covers one of ``small`` with their right side."""
+    """``lhs, rhs`` of ``big`` whose left side covers one of ``small`` with their right side;
+    a row may come several times."""
     return _contained(_spread, big, _keyed, small, lambda a, b: masks.covers(a, b), proper)
 
 
 def _within(small: DataFrame, big: DataFrame, proper: bool = False) -> DataFrame:
-    """``lhs, rhs`` of ``small`` whose left side is within one of ``big`` with their right side."""
+    """``lhs, rhs`` of ``small`` whose left side is within one of ``big`` with their right side;
+    a row may come several times."""
     return _contained(_keyed, small, _spread, big, lambda a, b: masks.covers(b, a), proper)
 
 
 def _contained(key_left, left, key_right, right, fits, proper: bool) -> DataFrame:
-    other = key_right(right.select("lhs", "rhs").distinct()).select(
+    other = key_right(right.select("lhs", "rhs")).select(
         F.col("lhs").alias("other"), F.col("rhs").alias("other_rhs"), F.col("key").alias("other_key")
     )
     match = (F.col("rhs") == F.col("other_rhs")) & (F.col("key") == F.col("other_key"))
     match = match & fits(F.col("lhs"), F.col("other"))
     if proper:
         match = match & (F.col("lhs") != F.col("other"))
-    rows = key_left(left.select("lhs", "rhs").distinct())
-    return rows.join(other, match, "left_semi").select("lhs", "rhs").distinct()
+    return key_left(left.select("lhs", "rhs")).join(other, match, "left_semi").select("lhs", "rhs")
 
 
 def prune_implied(cands: DataFrame, fds: DataFrame) -> DataFrame:
@@ -186,10 +192,11 @@ def maximal_only(failures: DataFrame) -> DataFrame:
 def grown_failures(failures: DataFrame, cands: DataFrame) -> DataFrame:
     """``lhs, rhs, grown``: each failure with the candidates that have one column more
     on the left. ``failures(lhs, rhs)``, ``cands(level, lhs, rhs)``."""
-    larger = cands.select(F.col("lhs").alias("grown"), F.col("rhs"), F.col("level").alias("_level"))
-    failed = failures.select("lhs", "rhs", (masks.size(F.col("lhs")) + 1).alias("_level"))
+    larger = _spread(cands.select("lhs", "rhs", F.col("level").alias("_level")))
+    larger = larger.withColumnRenamed("lhs", "grown")
+    failed = _keyed(failures.select("lhs", "rhs", (masks.size(F.col("lhs")) + 1).alias("_level")))
     return (
-        failed.join(larger, ["rhs", "_level"])
+        failed.join(larger, ["rhs", "_level", "key"])
         .filter(masks.covers(F.col("grown"), F.col("lhs")))
         .select("lhs", "rhs", "grown")
     )

@@ -20,6 +20,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
+from copy import copy
 from typing import NamedTuple
 
 from pyspark import StorageLevel
@@ -30,7 +33,9 @@ from determina.functions import cells, masks
 from determina.operators import checks, classes, counts, lattice
 from determina.operators.dictionary import encode_short_columns
 from determina.plans.evidence import ColumnProfile, failures_in_sample
+from determina.plans.free_sets import discover_by_free_sets
 from determina.plans.prover import SLICE_ROWS, Prover, SharedRows
+from determina.plans.reduced import numbered_columns
 from determina.sources.staging import scratch, stage, stage_result
 
 # Cells up to which the columns in use are kept in memory between tests. Larger tables
@@ -45,6 +50,9 @@ SHORT_COLUMN = 10_000
 # Left sides to test from which looking for the rows that matter to them is worth it.
 SHARE_FROM = 8
 
+# Groups of columns searched at the same time.
+PARTS_AT_ONCE = 8
+
 # Tables of fewer rows than this many samples are tested without a sample.
 EVIDENCE_FROM = 4
 
@@ -102,9 +110,16 @@ def discover_fds(
         return _Discovery(df, settings).run(constants, parts)
 
 
-def discover_fds_by_count(df: DataFrame, **options) -> DataFrame:
-    """``discover_fds`` with the count test alone."""
-    return discover_fds(df, check="count", **options)
+def discover_fds_by_count(
+    df: DataFrame, columns: Sequence[str] | None = None, max_lhs: int | None = None,
+    constants: str = "strict", as_text: bool = False, stage_input: bool = False,
+) -> DataFrame:
+    """``discover_fds`` by counts of free sets alone, for tables of any number of columns."""
+    df = numbered_columns(df, columns, as_text)
+    with scratch(df.sparkSession):
+        if stage_input:
+            df = stage(df, "input")
+        return discover_by_free_sets(df, max_lhs, constants)
 
 
 def discover_fds_in_parts(
@@ -113,7 +128,8 @@ def discover_fds_in_parts(
     """``discover_fds``, first within groups of columns and then across them.
 
     What holds among some columns of a table holds in the table, so the FDs and the
-    failures within a group are final when the search across starts.
+    failures within a group are final when the search across starts. The groups are
+    searched at once, each by its own thread of Spark jobs.
     """
     return discover_fds(df, parts=parts, **options)
 
@@ -140,7 +156,7 @@ class _Discovery:
             if lesson is not None:
                 lessons.append(lesson)
         if lessons:
-            seen = counts.union_all([self.failures, *lessons]).distinct()
+            seen = counts.union_all([f for f in [self.failures, *lessons] if f is not None]).distinct()
             self.failures = stage(lattice.maximal_only(seen), "failures")
         return [(lhs, a) for lhs, rhs in found for a in masks.ordinals_of(rhs)]
 
@@ -170,10 +186,8 @@ class _Discovery:
         constant = [c for c in self.all_profile if c.n <= 1]
         varying = [c for c in self.all_profile if c.n > 1]
         if len(varying) > masks.MAX_COLUMNS:
-            raise ValueError(
-                f"{len(varying)} columns are not constant; the search handles "
-                f"{masks.MAX_COLUMNS}. Name some with columns=[...]."
-            )
+            # Sets of so many columns do not fit a mask.
+            return discover_by_free_sets(self.source, self.settings.max_lhs, constants)
         constant_table = counts.local_table(self.spark, [(c.ordinal,) for c in constant], "ordinal int")
         if self.settings.max_lhs == 0 or not varying:
             return stage_result(classes.constant_fds(
@@ -282,10 +296,29 @@ class _Discovery:
         inside = set(kept)
         fds = sorted((1 << (x - 1), a) for x, a in singles if x in inside and a in inside)
         whole = masks.mask_of(kept)
-        for part in parts:
-            fds = self._levels(fds, part & whole, [])
+        if parts:
+            with ThreadPoolExecutor(min(len(parts), PARTS_AT_ONCE)) as pool:
+                turns = [
+                    pool.submit(copy_context().run, self._search_part, i, fds, part & whole)
+                    for i, part in enumerate(parts)
+                ]
+                fds = sorted({fd for turn in turns for fd in turn.result()})
         return self._levels(fds, whole, [p & whole for p in parts])
 
+    def _search_part(self, number: int, fds: list[tuple[int, int]], area: int) -> list[tuple[int, int]]:
+        """The search within some columns, by a copy with a prover, counts and staged tables of
+        its own; only the rows and the evidence so far are shared, and read."""
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"part-{number}")
+        own = copy(self)
+        own.prover = Prover(
+            self.rows, self.n_rows, self.prover.not_null, self.settings.check,
+            self.settings.slice_rows, learning=self.prover.learning,
+        )
+        own.prover.counted = {1 << (c.ordinal - 1): c.n for c in self.profile}
+        own.shared = SharedRows(own.prover, self.n_rows)
+        with scratch(self.spark):
+            return own._levels(fds, area, [])
+
     def _levels(
         self, fds: list[tuple[int, int]], area: int, done: list[int]
     ) -> list[tuple[int, int]]:

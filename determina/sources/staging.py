@@ -10,30 +10,36 @@ import itertools
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _counter = itertools.count()
-_scopes: list[list[str]] = []
+
+# Paths of the innermost scope of this thread; threads that run in a copied context share it.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, one beside the
-    session's tables, which executors reach as they reach the warehouse."""
+    """The folder named by ``spark.checkpoint.dir``; in local mode, where it may be unset, one
+    beside the session's tables. On a cluster such a folder would be the driver's own, so an
+    unset one is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (root or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside are removed at the end, after a failure too, but for those of
-    ``stage_result``."""
+    ``stage_result``. Scopes of different threads do not see each other."""
     paths: list[str] = []
-    _scopes.append(paths)
+    token = _scope.set(paths)
     try:
         yield
     finally:
-        _scopes.pop()
+        _scope.reset(token)
         for path in paths:
             place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -51,11 +57,17 @@ def fresh_path(spark: SparkSession, name: str = "table") -> str:
     return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}/{next(_counter)}-{name}"
 
 
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """A fresh path that is removed with the scope it is made in."""
+    path = fresh_path(spark, name)
+    paths = _scope.get()
+    if paths is not None:
+        paths.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Write a table as parquet and read it back."""
-    if path is None:
-        path = fresh_path(df.sparkSession, name)
-        if _scopes:
-            _scopes[-1].append(path)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

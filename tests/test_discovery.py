@@ -77,9 +77,13 @@ def test_constants_expanded(spark):
 
 
 def test_more_columns_than_a_mask_holds(spark):
-    df = table(spark, [tuple(range(64)), tuple(range(1, 65))])
-    with pytest.raises(ValueError, match="columns are not constant"):
-        d.discover_fds(df)
+    """Seventy columns that vary: sixty-two keys and eight with few values."""
+    rnd = random.Random(4)
+    rows = [(*rnd.choices(range(3), k=4), *[i * 7 + k for k in range(62)], *rnd.choices(range(3), k=4)) for i in range(20)]
+    df = table(spark, rows)
+    want = minimal_fds(rows, 70, 2)
+    assert any(len(lhs) == 2 for lhs, _ in want)
+    assert as_set(d.discover_fds(df, max_lhs=2)) == want
     wide = table(spark, [(1, *[0] * 69, 1), (2, *[0] * 69, 2)])
     found = as_set(d.discover_fds(wide))
     assert ((1,), 71) in found and ((71,), 1) in found and ((), 70) in found
