@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import determina as d
 from determina.functions import cells, masks
 from determina.operators import checks, classes, counts, dictionary, lattice, tables
+from determina.plans import group_search
 from determina.sources.staging import fresh_path, stage
 
 LINEITEM8 = [
@@ -578,6 +579,25 @@ def discover_in_parts(spark, sf_dir):
     )
 
 
+def discover_from_both_ends(spark, sf_dir):
+    return d.as_text(d.discover_fds_from_both_ends(load(spark, sf_dir, "orders")))
+
+
+def discover_by_groups(spark, sf_dir):
+    return d.as_text(d.discover_fds_by_groups(load(spark, sf_dir, "customer")))
+
+
+def discover_sliced(spark, sf_dir):
+    """With a sample and hash slices as for a large table."""
+    return d.as_text(d.discover_fds(load(spark, sf_dir, "orders"), sample_rows=500, slice_rows=1000))
+
+
+def failing_groups(spark, sf_dir):
+    """Groups of a user's events in which the user and one other column do not give a third."""
+    tests = [([3, x], [a for a in (1, 2, 4, 5, 6) if a != x]) for x in (1, 2, 4, 5, 6)]
+    return group_search.failing_groups(load(spark, sf_dir, "events"), 3, tests)
+
+
 def discover_columns(spark, sf_dir):
     return d.as_text(
         d.discover_fds(load(spark, sf_dir, "part"), columns=["p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
@@ -605,6 +625,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         candidates_not_redundant, fds_not_implied, minimal_fds, maximal_failures,
         grown_failures, next_level, known_in_groups,
         discover_by_count, discover_in_parts, discover_columns, discover_from_text,
+        discover_from_both_ends, discover_by_groups, discover_sliced, failing_groups,
     )
 } | {
     f"discover_{name}": _discover(name)

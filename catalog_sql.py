@@ -299,6 +299,10 @@ def oracle() -> dict[str, str]:
         "discover_from_text": _text("orders"),
         "discover_by_count": _discovery("part"),
         "discover_in_parts": _discovery("part"),
+        "discover_from_both_ends": _discovery("orders"),
+        "discover_by_groups": _discovery("customer"),
+        "discover_sliced": _discovery("orders"),
+        "failing_groups": f'select "value", lhs, rhs from ({_verdicts()}) where n_lhs <> n_all',
         "discover_columns": _discovery("part", columns=COLUMNS["part"][1:]),
         "discover_geo_expanded": f"{geo} select {_label('lhs', 7)} lhs, 'column' || rhs rhs from mn"
         " union all select 'column' || a.i, 'column' || c.i from cnt c join attr a on a.i <> c.i where c.n <= 1",

@@ -16,10 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from determina.functions import cells, masks
+from determina.functions import masks
 from determina.operators import checks, counts, lattice
 from determina.plans.reduced import search_reduced
-from determina.sources.staging import scratch_path, stage
+from determina.sources.staging import scratch, scratch_path, stage, stage_result
 
 # A value held by more than one row in so many is frequent: its rows are kept apart, not in one file,
 # and grouped with partial aggregation. There are fewer such values than this.
@@ -36,15 +36,15 @@ class GroupedCopy:
         buckets = buckets or rows.sparkSession.sparkContext.defaultParallelism
         self.spark = rows.sparkSession
         self.shared = shared
-        (name,) = cells.names_at(rows, [shared])
-        self.value = cells.sql_name(name)
+        rows = rows.toDF(*[f"k{i}" for i in range(1, len(rows.columns) + 1)])
+        self.value = f"k{shared}"
         sizes = stage(counts.group_sizes(rows, shared), "groups")
         limit = (sizes.agg(F.sum("n_rows")).first()[0] or 0) // FREQUENT
         hot = stage(sizes.filter(F.col("n_rows") > max(limit, 1)).select("value"), "hot")
         same = F.expr(f"{self.value} <=> value")
         self.table = f"grouped_{uuid.uuid4().hex}"
         calm = rows.join(F.broadcast(hot), same, "left_anti")
-        calm.repartition(buckets, cells.quoted(name)).write.bucketBy(buckets, name).option("path", scratch_path(self.spark, "grouped")).saveAsTable(self.table)
+        calm.repartition(buckets, self.value).write.bucketBy(buckets, self.value).option("path", scratch_path(self.spark, "grouped")).saveAsTable(self.table)
         self.parts = [self.spark.table(self.table)]
         if not hot.isEmpty():
             self.parts.append(stage(rows.join(F.broadcast(hot), same, "left_semi"), "frequent"))
@@ -69,6 +69,17 @@ class GroupedCopy:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def failing_groups(df: DataFrame, shared: int, tests: Sequence[tuple[Sequence[int], Sequence[int]]]) -> DataFrame:
+    """``value, lhs, rhs``: for left sides with a shared column, given as (left columns, right
+    columns), the groups of its values in which they do not determine a right side."""
+    with scratch(df.sparkSession):
+        copy = GroupedCopy(df, shared)
+        try:
+            return stage_result(copy.constancy([(masks.mask_of(lhs), list(rhs)) for lhs, rhs in tests]), "failing-groups")
+        finally:
+            copy.close()
+
+
 def _tests(candidates: DataFrame) -> list[tuple[int, list[int]]]:
     """Left sides and their right sides, which name the plans of a level."""
     grouped = candidates.groupBy("lhs").agg(F.array_sort(F.collect_set("rhs")).alias("rhs"))
