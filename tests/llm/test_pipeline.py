@@ -54,6 +54,36 @@ def test_stages(spark, sf_dir):
     assert text["pieces"] == text["benchmark"]
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """No text goes that has no near-duplicate left, whatever ids rows share."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (5, text(0)), (5, text(1)), (6, text(2)), (6, text(2)), (7, text(3)), (8, text(3)), (None, text(4)), (None, text(4)), (9, None), (9, "")]
+    table = spark.createDataFrame([(*r, "en", "s", 0, k) for k, r in enumerate(rows)], DOCS + ", key int")
+    kept = pipeline.near_duplicates(spark, table, "")
+    assert kept.columns == table.columns
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text)
+    assert got == sorted([(0, text(4)), (0, text(4)), (1, text(1)), (5, text(0)), (6, text(2)), (7, text(3))])
+    assert {r.text for r in kept.where("doc_id = 9").collect()} == {None, ""}
+
+
+def test_pieces_stage_keeps_marks_and_columns(spark):
+    rows = [(1, "a \u2581b", "en", "s", 4, [7]), (2, "plain text", "en", "s", 10, None), (2, None, None, None, None, [1]), (None, "", "en", "s", 0, [])]
+    table = spark.createDataFrame(rows, DOCS + ", ids array<int>")
+    out = pipeline.piece_ids(spark, table, "")
+    assert out.columns == [*table.columns, "ids_"]
+    assert sorted((r.text, r.ids or [0], len(r.ids_) > 0) for r in out.collect()) == [("", [0], False), ("", [1], False), ("a \u2581b", [7], True), ("plain text", [0], True)]
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    none = spark.createDataFrame([], DOCS + ", key int, ids int")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, none, sf_dir)
+        assert out.collect() == [] and out.columns[:7] == none.columns, name
+
+
 def test_language_stage_keeps_documents_that_switch(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     part = {r.lang: r.text.split() for r in docs.where("n_chars > 900").dropDuplicates(["lang"]).collect()}
