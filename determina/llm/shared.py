@@ -27,8 +27,11 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, one beside the warehouse."""
+    """The folder named by ``spark.checkpoint.dir``; in local mode, where it may be unset, one beside the
+    warehouse. On a cluster an unset one is an error: the driver's folder is no shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (root or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")
 
 
