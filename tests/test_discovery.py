@@ -79,7 +79,8 @@ def test_constants_expanded(spark):
 def test_more_columns_than_a_mask_holds(spark):
     """Seventy columns that vary: sixty-two keys and eight with few values."""
     rnd = random.Random(4)
-    rows = [(*rnd.choices(range(3), k=4), *[i * 7 + k for k in range(62)], *rnd.choices(range(3), k=4)) for i in range(20)]
+    few = [rnd.choices(range(3), k=7) for _ in range(25)]
+    rows = [(*f[:4], *[i * 7 + k for k in range(62)], *f[4:], (f[0] + f[1]) % 3) for i, f in enumerate(few)]
     df = table(spark, rows)
     want = minimal_fds(rows, 70, 2)
     assert any(len(lhs) == 2 for lhs, _ in want)
