@@ -11,12 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from determina.llm.shared import LOWER, SPACED, Hasher, chunks, components, list_array, mix, staged, tokens
 
 MINIMA, BAND = 128, 4
 #: Estimates below this are no candidates for 0.75: five standard errors of 128 nibbles.
 ESTIMATE = 0.55
+#: Members of a group that one task compares with its core, about.
+DEALT = 256
 SEED = 7
 
 
@@ -111,36 +114,63 @@ def estimate(a: str, b: str):
     return ((1 - differing / MINIMA) - 1 / 16) / (1 - 1 / 16)
 
 
-def possible_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members (g, id, component) of a group that may be linked across components.
+def split_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links, and pairs to test, (a, b) each, of members (g, id, component) of a group across components.
 
-    A group's core are the shingles that more than half of its members have. Two members share at
-    most the smaller of their core parts, and shingles outside the core. So a pair that shares none
-    of the latter is possible only if sizes and core parts allow it, which is decided for cells of
-    equal numbers and not for pairs of members; pairs that share one are found by that shingle.
+    A group's core are the shingles that more than half of its members have. A member is the core
+    without what it lacks and with what it has beyond: together its edits. Two members of core parts
+    i and j have ``core - i - j + common edits`` more in common than their sizes alone give, so a
+    number of common edits, known from sizes and core parts, decides their link. Where it is 0, all
+    members of two cells of equal numbers are linked, and stars to one member of each cell join them
+    as all the pairs would. Where it is more, that many edits are common, so the two share one among
+    the first of their edits, rarest first: all but as many as the number needs to be sure of one.
     """
-    rows = groups.join(sets, "id").select("g", "id", F.explode("shingles").alias("s"))
-    often = rows.groupBy("g", "s").agg(F.count("*").alias("c"))
+    rows = groups.select("g", "id").join(sets, "id").select("g", "id", F.explode("shingles").alias("s"))
     total = groups.groupBy("g").agg(F.count("*").alias("n"))
-    kinds = often.where("c > 1").join(total, "g").select("g", "s", (2 * F.col("c") > F.col("n")).alias("core"))
-    marked = staged(rows.join(kinds, ["g", "s"]), "marked")
-    core = marked.where("core").groupBy("g", "id").agg(F.count("*").alias("i"))
-    sizes = sets.select("id", F.size("shingles").alias("size"))
-    members = staged(groups.join(sizes, "id").join(core, ["g", "id"], "left").na.fill(0, ["i"]), "members")
-    cells = staged(members.groupBy("g", "i", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "cells")
-    one = cells.select("g", *(F.col(c).alias(f"{c}_a") for c in ("i", "size", "lo", "hi")))
-    other = cells.select("g", *(F.col(c).alias(f"{c}_b") for c in ("i", "size", "lo", "hi")))
-    most = F.least("i_a", "i_b")
-    fits = (100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)) & ((F.col("i_a") < F.col("i_b")) | ((F.col("i_a") == F.col("i_b")) & (F.col("size_a") <= F.col("size_b"))))
+    often = rows.groupBy("g", "s").agg(F.count("*").alias("c")).join(total, "g")
+    kinds = staged(often.select("g", "s", "n", "c", (2 * F.col("c") > F.col("n")).alias("core")), "kinds")
+    marked = staged(rows.join(kinds, ["g", "s"]).select("g", "id", "s", "c", "core"), "marked")
+    core = kinds.where("core")
+    cores = core.groupBy("g").agg(F.count("*").alias("k"))
+    parts = marked.where("core").groupBy("g", "id").agg(F.count("*").alias("i"))
+    sizes = sets.select("id", F.size("shingles").cast("long").alias("size"))
+    members = groups.join(sizes, "id").join(parts, ["g", "id"], "left").join(cores, "g", "left").na.fill(0, ["i", "k"])
+    members = staged(members.select("g", "id", "component", "i", "size", "k"), "members")
+
+    def needed(k: str, i: str, size: str, j: str, other: str):
+        """Common edits that make a link."""
+        return F.col(k) - F.col(i) - F.col(j) + F.ceil(percent * (F.col(size) + F.col(other)) / (100 + percent))
+
+    cells = staged(members.groupBy("g", "k", "i", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first")), "cells")
+    one = cells.select("g", "k", *(F.col(c).alias(f"{c}_a") for c in ("i", "size", "lo", "hi", "first")))
+    other = cells.select("g", *(F.col(c).alias(f"{c}_b") for c in ("i", "size", "lo", "hi", "first")))
     mixes = F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")
-    cell_pairs = one.join(other, "g").where(fits & mixes).select("g", "i_a", "size_a", "i_b", "size_b")
-    left = members.select("g", F.col("i").alias("i_a"), F.col("size").alias("size_a"), F.col("id").alias("x"), F.col("component").alias("cx"))
-    right = members.select("g", F.col("i").alias("i_b"), F.col("size").alias("size_b"), F.col("id").alias("y"), F.col("component").alias("cy"))
-    by_size = cell_pairs.join(left, ["g", "i_a", "size_a"]).join(right, ["g", "i_b", "size_b"]).where("cx != cy").select("x", "y")
-    beyond = marked.where("not core").join(members.select("g", "id", "component"), ["g", "id"]).select("g", "s", "id", "component")
-    by_shingle = (beyond.select("g", "s", F.col("id").alias("x"), F.col("component").alias("cx"))
-                  .join(beyond.select("g", "s", F.col("id").alias("y"), F.col("component").alias("cy")), ["g", "s"]).where("x < y and cx != cy").select("x", "y"))
-    return by_size.unionByName(by_shingle).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    fewest = F.greatest(needed("k", "i_a", "size_a", "i_b", "size_b"), F.lit(0))
+    edits = lambda x: F.col("k") + F.col(f"size_{x}") - 2 * F.col(f"i_{x}")
+    may = staged(one.join(other, "g").where(mixes & (fewest <= F.least(edits("a"), edits("b"))))
+                 .select("g", F.col("i_a").alias("i"), F.col("size_a").alias("size"), "first_a", "first_b", fewest.alias("fewest")), "cell-pairs")
+    met = may.groupBy("g", "i", "size").agg(F.min(F.when(F.col("fewest") == 0, F.col("first_b"))).alias("sure"), F.min(F.when(F.col("fewest") > 0, F.col("fewest"))).alias("fewest"))
+    met = staged(members.join(met, ["g", "i", "size"]), "met")
+    stars = met.where("sure is not null").select(F.col("id").alias("x"), F.col("sure").alias("y")).unionByName(may.where("fewest = 0").select(F.col("first_a").alias("x"), F.col("first_b").alias("y")))
+
+    open_members = met.where("fewest is not null").drop("sure")
+    # The core comes in a copy for every so many members, so a large group is many tasks' work.
+    deals = F.ceil(F.col("n") / DEALT).cast("int")
+    copies = core.select("g", "s", (F.col("n") - F.col("c")).alias("often"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+    dealt = open_members.join(total, "g").select("g", "id", F.pmod(F.xxhash64("id"), deals).cast("int").alias("deal"))
+    beyond = marked.where("not core").select("g", "id", "s", F.col("c").alias("often"))
+    lacking = dealt.join(copies, ["g", "deal"]).join(marked.where("core").select("g", "id", "s"), ["g", "id", "s"], "left_anti").select("g", "id", "s", "often")
+    by_rarity = Window.partitionBy("g", "id").orderBy("often", "s")
+    placed = beyond.unionByName(lacking).withColumn("at", F.row_number().over(by_rarity))
+    first = placed.join(open_members, ["g", "id"]).where("often > 1 and at <= k + size - 2 * i - fewest + 1")
+    first = staged(first.select("g", "s", "at", "id", "component", "i", "size", "k"), "edits")
+    left = first.select("g", "s", "k", *(F.col(c).alias(f"{c}_a") for c in ("at", "id", "component", "i", "size")))
+    right = first.select("g", "s", *(F.col(c).alias(f"{c}_b") for c in ("at", "id", "component", "i", "size")))
+    least = needed("k", "i_a", "size_a", "i_b", "size_b")
+    early = (F.col("at_a") <= edits("a") - least + 1) & (F.col("at_b") <= edits("b") - least + 1)
+    tests = left.join(right, ["g", "s"]).where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (least > 0) & early)
+    ordered = lambda t, x, y: t.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    return ordered(stars, "x", "y"), ordered(tests, "id_a", "id_b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, leaders: int = 2) -> DataFrame:
@@ -149,9 +179,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with the same shingle set are one node, its smallest id. In every band bucket a leader is
     compared with the members that are not yet in its component: first the member that shares most
     bands with others, which is near the middle of its group, then one chosen by a hash each round.
-    After ``leaders`` rounds the members of buckets that still mix components are grouped by leader,
-    and every pair across components that can be linked is compared, so no link that could join two
-    classes is left out and no bucket gives all pairs.
+    After ``leaders`` rounds the members of buckets that still mix components are grouped by leader;
+    ``split_pairs`` gives links that counts prove and the pairs that share enough rare edits to be
+    linked, so no link that could join two classes is left out and no bucket gives all pairs.
 
     Null or empty texts have no shingles and link with nothing. Rows that share an id are one
     document and come back once each; rows with a null id link with nothing, have a null component
@@ -185,6 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found, tested, labels = None, None, None
     for turn in range(leaders + 1):
+        sure = None
         held = buckets if labels is None else buckets.join(labels, "id", "left")
         held = held.withColumn("component", F.col("id") if labels is None else F.coalesce("component", "id"))
         order = F.xxhash64(F.col("id"), F.lit(turn))
@@ -201,14 +232,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = open_buckets.where("component != leader.component").select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct()
         else:
             groups = open_buckets.select(F.col("leader.id").alias("g"), "id", "component").distinct()
-            pairs = possible_pairs(staged(groups, "groups"), full, percent)
+            sure, pairs = split_pairs(staged(groups, "groups"), full, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if pairs.isEmpty():
+        if pairs.isEmpty() and sure is None:
             continue
-        new = staged(links(pairs), "links")
+        new = links(pairs)
+        new = staged(new if sure is None else new.unionByName(sure), "links")
         if new.isEmpty():
             continue
         found = new if found is None else found.unionByName(new)
