@@ -21,6 +21,8 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from determina.llm.shared import Hasher, chunks, list_array, staged
 
 BLOCK = 8 << 20
+#: Words compared byte by byte at a time.
+STRIDE = 1 << 17
 #: bytes and offsets of some texts -> bytes, starts, ends, number of the first word of each text
 Splitter = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
@@ -39,13 +41,12 @@ def _block_batches(split: Splitter, strings: bool):
     def run(batches):
         hasher, number = Hasher(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows, hashes, words, firsts, size = [], [], [], [0], 0
+            rows, hashes, words, firsts, size = [], [], {}, [0], 0
             for lo, hi, raw, offsets in chunks(batch.column("text")):
                 data, starts, ends, first = split(raw, offsets)
                 own = hasher.load(data).spans(starts, ends)
                 if strings:
-                    distinct, at = np.unique(own, return_index=True)
-                    words.append((distinct, [data[starts[k] : ends[k]].tobytes() for k in at]))
+                    own = _told_apart(own, data, starts, ends, words)
                 hashes.append(own)
                 firsts += (first[1:] + firsts[-1]).tolist()
                 rows.append((lo, hi))
@@ -53,22 +54,42 @@ def _block_batches(split: Splitter, strings: bool):
                 if size >= BLOCK or hi == len(batch):
                     yield _block(number, batch.slice(rows[0][0], hi - rows[0][0]), hashes, words, np.array(firsts), strings)
                     number += 1
-                    rows, hashes, words, firsts, size = [], [], [], [0], 0
+                    rows, hashes, words, firsts, size = [], [], {}, [0], 0
 
     return run
 
 
-def _block(number: int, batch: pa.RecordBatch, hashes: list, words: list, firsts: np.ndarray, strings: bool) -> pa.RecordBatch:
+def _told_apart(own: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: dict[int, bytes]) -> np.ndarray:
+    """Keys of words, their hashes; a word whose hash another word of the block has takes the next free
+    number. ``words`` has the spelling of every key and takes up the new ones."""
+    distinct, at, codes = np.unique(own, return_index=True, return_inverse=True)
+    size = ends - starts
+    twin = size != size[at][codes]
+    for same in np.array_split(np.flatnonzero(~twin), len(own) // STRIDE + 1):
+        n = size[same]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        unlike = data[np.repeat(starts[same], n) + within] != data[np.repeat(starts[at][codes[same]], n) + within]
+        twin[np.repeat(same, n)[unlike]] = True
+    for k, text in zip(distinct.tolist(), (data[starts[i] : ends[i]].tobytes() for i in at), strict=True):
+        if words.setdefault(k, text) != text:
+            twin[own == np.uint64(k)] = True
+    if not twin.any():
+        return own
+    out = own.copy()
+    for i in np.flatnonzero(twin):
+        key, text = int(own[i]), data[starts[i] : ends[i]].tobytes()
+        while words.setdefault(key, text) != text:
+            key = (key + 1) % (1 << 64)
+        out[i] = key
+    return out
+
+
+def _block(number: int, batch: pa.RecordBatch, hashes: list, words: dict[int, bytes], firsts: np.ndarray, strings: bool) -> pa.RecordBatch:
     every = np.concatenate(hashes)
     distinct, codes = np.unique(every, return_inverse=True)
     train = np.repeat(np.array(batch.column("train").to_pylist(), bool), np.diff(firsts))
     counts = np.bincount(codes, train, len(distinct)).astype(np.int64)
-    spelled: list = []
-    if strings:
-        known: dict[int, bytes] = {}
-        for keys, texts in words:
-            known.update(zip(keys.tolist(), texts, strict=True))
-        spelled = [known[k] for k in distinct.tolist()]
+    spelled = [words[k] for k in distinct.tolist()] if strings else []
     one = np.array([0, len(batch)])
     vocabulary = np.array([0, len(distinct)])
     ids = batch.column("id")

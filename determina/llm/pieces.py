@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,6 +25,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Places of a word exploded from one window, and edges folded before their ways are set aside.
 WINDOW, FOLDED = 256, 256
+#: Bytes of a word that stands for itself where words are compared.
+NAMED = 64
 #: Words of a task of the lattice, about; so few are grouped in memory, and no edge is spilled.
 WORDS_IN_TASK = 16_384
 #: Cost of a byte of a character that no piece has.
@@ -100,7 +102,7 @@ def encode_words(words: DataFrame, pieces: Pieces, table: DataFrame | None = Non
     """(word, ids) of distinct (word, spelled) rows; ``spelled`` are the bytes of the word.
 
     The path has the largest sum of scores; of equal ones the longer last piece wins. A character
-    without a piece is written as its bytes. ``word`` names the word, as a 64-bit hash or a number;
+    without a piece is written as its bytes. ``word`` names the word;
     an empty word has no ids.
     """
     table = piece_table(words.sparkSession, pieces) if table is None else table
@@ -180,6 +182,13 @@ def _assemble(body: np.ndarray, ends: np.ndarray):
     return run
 
 
+def word_name(spelled: Column) -> Column:
+    """Bytes that are a word's own: the word, or for one over ``NAMED`` bytes a longer string of zeros
+    and its SHA-256 digest."""
+    digest = F.concat(F.lit(bytes(NAMED + 1 - 32)), F.unhex(F.sha2(spelled, 256)))
+    return F.when(F.octet_length(spelled) <= NAMED, spelled).otherwise(digest)
+
+
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids, decoded) of every row: piece ids, and the text decoded from the ids alone.
 
@@ -188,14 +197,15 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str =
     """
     blocks = blocks_of(docs, id_col, text, F.lit(False), split_pieces, strings=True)
     places = blocks.select(F.col("block").alias("home"), F.posexplode("spelled").alias("idx", "spelled"))
-    places = places.withColumn("word", F.xxhash64("spelled"))
-    distinct = places.agg(F.approx_count_distinct("word", 0.02)).first()[0]
-    dealt = places.select("word", "spelled").repartition(-(-distinct // WORDS_IN_TASK) + 1, "word")
+    long = F.when(F.octet_length("spelled") > NAMED, F.col("spelled"))
+    places = places.select("home", "idx", word_name(F.col("spelled")).alias("word"), long.alias("long"))
+    count = places.agg(F.approx_count_distinct("word", 0.02)).first()[0]
+    dealt = places.select("word", "long").repartition(-(-count // WORDS_IN_TASK) + 1, "word").distinct()
     spark, grouping = docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(grouping)
     spark.conf.set(grouping, 4 * WORDS_IN_TASK)
     try:
-        coded = staged(encode_words(dealt.groupBy("word").agg(F.min("spelled").alias("spelled")), pieces), "words")
+        coded = staged(encode_words(dealt.select("word", F.coalesce("long", "word").alias("spelled")), pieces), "words")
     finally:
         spark.conf.set(grouping, before)
     known = places.join(coded, "word").select("home", "idx", "ids")

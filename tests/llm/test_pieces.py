@@ -1,3 +1,4 @@
+import numpy as np
 import itertools
 import random
 
@@ -84,3 +85,17 @@ def test_edge_cases(spark, table):
     assert sorted((r.doc_id or 0, r.decoded) for r in got) == sorted((k or 0, (t or "").replace("▁", " ")) for k, t in odd)
     assert all((len(r.ids) == 0) == (not r.decoded) for r in got)
     assert P.encode(spark.createDataFrame([], "doc_id long, text string"), table).collect() == []
+
+
+def test_words_with_one_hash_stay_apart():
+    """Words of a block whose hashes are equal, in one chunk or in two, keep their spelling."""
+    from determina.llm.blocks import _told_apart
+
+    words: dict = {}
+    for text in ("aa bb aa c bb top aa", "dd aa bb c dd", "c"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts = np.array([i for i in range(len(text)) if text[i] != " " and (i == 0 or text[i - 1] == " ")])
+        ends = np.array([i + 1 for i in range(len(text)) if text[i] != " " and (i + 1 == len(text) or text[i + 1] == " ")])
+        for hashes in (np.full(len(starts), 7, np.uint64), (ends - starts).astype(np.uint64), np.full(len(starts), (1 << 64) - 1, np.uint64)):
+            keys = _told_apart(hashes, data, starts, ends, words)
+            assert [words[k] for k in keys.tolist()] == text.encode().split()
