@@ -17,6 +17,10 @@ from determina.sources.staging import stage
 # within the partition below them.
 _ROW_BITS = 33
 
+# A word with more than this part of all cells is looked up by broadcast, if it is short.
+FREQUENT = 10_000
+FREQUENT_BYTES = 256
+
 # Bytes of one column's different values up to which they are broadcast.
 MOST_BYTES = 4 << 20
 
@@ -54,23 +58,46 @@ def build_dictionary(df: DataFrame) -> DataFrame:
     )
 
 
+def frequent_words(dictionary: DataFrame) -> DataFrame:
+    """``word, id`` of the words that are more than one in ``FREQUENT`` of all cells, without
+    those of more than ``FREQUENT_BYTES``: less than ``FREQUENT`` rows, as a local table."""
+    total = dictionary.agg(F.sum("n")).first()[0] or 0
+    short = F.coalesce(F.octet_length("word"), F.lit(0)) <= FREQUENT_BYTES
+    rows = dictionary.where((F.col("n") * FREQUENT > total) & short).select("word", "id")
+    return dictionary.sparkSession.createDataFrame(rows.toArrow(), "word string, id bigint")
+
+
 def encode(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Every cell replaced by its id; a missing cell finds the missing word.
+    """Every cell replaced by its id; a missing cell finds the missing word, and one that is in no
+    word's place is null. ``dictionary(word, n, id)``.
 
-    The cells of all columns meet the dictionary in one join and their rows again in
-    one grouping, however many columns there are. A word is in the dictionary once, so
-    the cells of a hot word can be split over tasks (adaptive skew join).
+    Frequent words are found where the rows are, by broadcast. Rows are staged with the ids found
+    and the cells still open; those alone meet the rest of the dictionary, in one join for all
+    columns, and return to the row numbers that were staged.
     """
     names = df.columns
-    words = F.array(*[cells.quoted(n).cast("string") for n in names])
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), words.alias("cells"))
-    table = numbered.select("row", F.posexplode("cells").alias("at", "cell"))
-    ids = dictionary.select("word", "id")
-    found = table.join(ids, F.col("cell").eqNullSafe(F.col("word")), "left")
-    whole = found.groupBy("row").agg(
-        *[F.max(F.when(F.col("at") == i, F.col("id"))).alias(f"id{i}") for i in range(len(names))]
+    frequent = frequent_words(dictionary)
+    rows = df.select([cells.quoted(n).cast("string").alias(f"cell{i}") for i, n in enumerate(names)])
+    for i in range(len(names)):
+        known = frequent.select(F.col("word").alias("word"), F.col("id").alias(f"id{i}"))
+        rows = rows.join(F.broadcast(known), F.col(f"cell{i}").eqNullSafe(F.col("word")), "left").drop("word")
+    missed = [
+        F.when(F.col(f"id{i}").isNull(), F.struct(F.lit(i).alias("at"), F.col(f"cell{i}").alias("cell")))
+        for i in range(len(names))
+    ]
+    ids = [f"id{i}" for i in range(len(names))]
+    rows = stage(
+        rows.select(F.monotonically_increasing_id().alias("row"), *ids, F.array_compact(F.array(*missed)).alias("open")),
+        "half-encoded",
+    )
+    found = (
+        rows.select("row", F.inline("open"))
+        .join(dictionary.select("word", "id"), F.col("cell").eqNullSafe(F.col("word")))
+        .groupBy("row")
+        .agg(*[F.max(F.when(F.col("at") == i, F.col("id"))).alias(f"late{i}") for i in range(len(names))])
     )
-    return whole.select([F.col(f"id{i}").alias(n) for i, n in enumerate(names)])
+    whole = rows.join(found, "row", "left")
+    return whole.select([F.coalesce(f"id{i}", f"late{i}").alias(n) for i, n in enumerate(names)])
 
 
 def _has_map(kind: T.DataType) -> bool:

@@ -63,6 +63,22 @@ def test_command_line(tmp_path):
     assert sorted(lines) == ["[]:column3", "[column1]:column2"]
 
 
+@pytest.mark.parametrize("part", [1, 3, 10_000])
+def test_frequent_and_rare_words_are_encoded(spark, monkeypatch, part):
+    """Whichever words are broadcast, every cell has its word's id; a word of no row has none."""
+    monkeypatch.setattr(dictionary, "FREQUENT", part)
+    monkeypatch.setattr(dictionary, "FREQUENT_BYTES", 30)
+    rows = [(i, "often" if i % 2 else None, "x" * (i % 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, `a.b` string, word string")
+    book = dictionary.build_dictionary(df)
+    ids = {r.word: r.id for r in book.collect()}
+    got = sorted(tuple(r) for r in dictionary.encode(df, book).collect())
+    assert got == sorted((ids[str(i)], ids[a], ids[w]) for i, a, w in rows)
+    assert dictionary.encode(df.limit(0), book).collect() == []
+    other = spark.createDataFrame([("none", "often")], "a string, b string")
+    assert [tuple(r) for r in dictionary.encode(other, book).collect()] == [(None, ids["often"])]
+
+
 def test_dictionary_ids_are_dense_and_ordered(spark):
     df = spark.createDataFrame([("b", None), ("a", "c"), ("b", "")], "x string, y string")
     found = {r.word: r.id for r in dictionary.build_dictionary(df).collect()}
