@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from determina.llm import sharding
 
@@ -48,3 +49,12 @@ def test_bad_parameters():
     for names, slots in (([], 31), (["a", "a"], 31), (["a"], 32)):
         with pytest.raises(ValueError):
             sharding.lookup_table(names, slots)
+
+
+def test_slot_is_of_md5(spark):
+    """The first 60 bits of the key's md5 modulo the slots, for texts of any kind."""
+    import hashlib
+
+    keys = ["", "0", "17", "-3", "é▁", "x" * 5000, *(str(k) for k in range(500))]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", sharding.slot_of(F.col("k")).alias("slot")).collect()
+    assert {r.k: r.slot for r in got} == {k: (int(hashlib.md5(k.encode()).hexdigest(), 16) >> 68) % sharding.SLOTS for k in keys}
