@@ -21,6 +21,8 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from determina.llm.shared import Hasher, chunks, list_array, staged
 
 BLOCK = 8 << 20
+#: Ranges of hashes whose words are counted in a block that spells its words.
+RANGES = 1 << 16
 #: Words compared byte by byte at a time.
 STRIDE = 1 << 17
 #: bytes and offsets of some texts -> bytes, starts, ends, number of the first word of each text
@@ -28,11 +30,14 @@ Splitter = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.n
 
 
 def pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.astype(np.int32).tobytes(), 3)
+    """32-bit numbers, compressed: the lowest bytes of all, then the next ones."""
+    planes = values.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(packed), np.int32)
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _block_batches(split: Splitter, strings: bool):
@@ -90,6 +95,7 @@ def _block(number: int, batch: pa.RecordBatch, hashes: list, words: dict[int, by
     train = np.repeat(np.array(batch.column("train").to_pylist(), bool), np.diff(firsts))
     counts = np.bincount(codes, train, len(distinct)).astype(np.int64)
     spelled = [words[k] for k in distinct.tolist()] if strings else []
+    ranges = pack(np.bincount((distinct >> np.uint64(48)).astype(np.int64), minlength=RANGES)) if strings else None
     one = np.array([0, len(batch)])
     vocabulary = np.array([0, len(distinct)])
     ids = batch.column("id")
@@ -97,18 +103,19 @@ def _block(number: int, batch: pa.RecordBatch, hashes: list, words: dict[int, by
         [pa.array([number]), pa.ListArray.from_arrays(pa.array(one.astype(np.int32)), ids), list_array(np.array(batch.column("train").to_pylist(), bool), one, pa.bool_()),
          list_array(np.diff(firsts).astype(np.int32), one, pa.int32()), pa.array([pack(codes)], pa.binary()),
          list_array(distinct.view(np.int64)[: 0 if strings else None], vocabulary * (not strings), pa.int64()), list_array(counts, vocabulary, pa.int64()),
-         pa.array([spelled], pa.list_(pa.binary()))],
-        ["block", "ids", "train", "sizes", "codes", "words", "counts", "spelled"])
+         pa.array([spelled], pa.list_(pa.binary())), pa.array([ranges], pa.binary())],
+        ["block", "ids", "train", "sizes", "codes", "words", "counts", "spelled", "ranges"])
 
 
 def blocks_of(docs: DataFrame, id_col: str, text: str, train, split: Splitter, strings: bool = False) -> DataFrame:
-    """Staged blocks: (block, ids, train, sizes, codes, words, counts, spelled).
+    """Staged blocks: (block, ids, train, sizes, codes, words, counts, spelled, ranges).
 
     ``words`` are 64-bit digests, ``counts`` how often each occurs in rows where ``train`` holds. With
-    ``strings`` the words stand in ``spelled`` instead, as bytes, and ``words`` is empty.
+    ``strings`` the words stand in ``spelled`` instead, as bytes in the order of their digests, ``words``
+    is empty, and ``ranges`` tells how many words have their digest in each of ``RANGES`` equal ranges.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     schema = StructType([
         StructField("block", StructType.fromDDL("x long")["x"].dataType), StructField("ids", ArrayType(rows.schema["id"].dataType)),
-        *StructType.fromDDL("train array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<long>, spelled array<binary>").fields])
+        *StructType.fromDDL("train array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<long>, spelled array<binary>, ranges binary").fields])
     return staged(rows.mapInArrow(_block_batches(split, strings), schema), "blocks")

@@ -5,21 +5,25 @@ joined to the piece table; the edges of a word are folded by Viterbi with ``aggr
 best way to every place, and walked back. A word of any length is one lattice: it is exploded from
 windows that overlap by the longest piece, and folded in runs of edges that hand on the ways to the
 last places a piece can start from. Texts are blocks of word numbers, so a word is encoded once and
-its pieces return to each block that has it.
+its pieces return to each block that has it. Blocks send their words in packed runs, one for each
+slice of the hashes, and get the pieces of a run back in the same order.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from determina.llm.blocks import blocks_of, unpack
-from determina.llm.shared import staged
+from determina.llm.blocks import RANGES, blocks_of, pack, unpack
+from determina.llm.shared import staged, text_arrays
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -29,6 +33,8 @@ WINDOW, FOLDED = 256, 256
 NAMED = 64
 #: Words of a task of the lattice, about; so few are grouped in memory, and no edge is spilled.
 WORDS_IN_TASK = 16_384
+#: Words that the blocks send to a slice, about, and slices of a task.
+WORDS_IN_SLICE, SLICES_IN_TASK = 65_536, 4
 #: Cost of a byte of a character that no piece has.
 UNKNOWN = 20.0
 
@@ -156,18 +162,93 @@ def gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return values[np.repeat(ends[at] - out[:-1], size) + np.arange(out[-1])], out
 
 
+def _send(slices: int):
+    """Task code: blocks to (slice, home, words), the run of a block's words for every slice that has some."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                many = unpack(batch.column("ranges")[i].as_py()).reshape(slices, -1).sum(1)
+                last = np.cumsum(many)
+                data, ends = text_arrays(batch.column("spelled")[i].values)
+                used = np.flatnonzero(many)
+                out = []
+                for lo, hi in zip((last - many)[used].tolist(), last[used].tolist(), strict=True):
+                    sizes = np.diff(ends[lo : hi + 1])
+                    head = np.concatenate([[len(sizes)], sizes]).astype("<i4").tobytes()
+                    out.append(zstandard.compress(head + data[ends[lo] : ends[hi]].tobytes(), 3))
+                home = np.full(len(used), batch.column("block")[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(home), pa.array(out, pa.binary())], ["slice", "home", "words"])
+
+    return run
+
+
+def _spelled(packed: bytes) -> list[bytes]:
+    """The words of a run."""
+    raw = zstandard.decompress(packed)
+    many = int(np.frombuffer(raw, "<i4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<i4", many + 1)) - many + 4 * (many + 1)
+    return [raw[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+
+def _distinct(batches):
+    """Task code: (slice, home, words) to (slice, spelled), every word of a slice once."""
+    seen: dict[int, set[bytes]] = {}
+    for batch in batches:
+        for s, packed in zip(batch.column("slice").to_pylist(), batch.column("words"), strict=True):
+            known = seen.setdefault(s, set())
+            new = [w for w in _spelled(packed.as_py()) if w not in known]
+            known.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), s, np.int32)), pa.array(new, pa.binary())], ["slice", "spelled"])
+
+
+def _name(word: bytes) -> bytes:
+    """What ``word_name`` gives."""
+    return word if len(word) <= NAMED else bytes(NAMED + 1 - 32) + hashlib.sha256(word).digest()
+
+
+def _answer(batches):
+    """Task code: rows by slice, first the slice's words (name, ids), then the runs of blocks
+    (home, words), to (home, slice, ids) of every run. A task holds the words of one slice."""
+    now, number, sizes, flat = None, {}, [], []
+    for batch in batches:
+        slices = batch.column("slice").to_numpy()
+        told = batch.column("home").is_null().to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero((np.diff(slices) != 0) | (np.diff(told.astype(np.int8)) != 0)) + 1
+        homes, places, out = [], [], []
+        for lo, hi in itertools.pairwise([0, *cut.tolist(), len(slices)]):
+            if lo == hi:
+                continue
+            if slices[lo] != now:
+                now, number, sizes, flat = slices[lo], {}, [], []
+            if told[lo]:
+                number.update(zip(batch.column("name").slice(lo, hi - lo).to_pylist(), range(len(number), len(number) + hi - lo), strict=True))
+                lists = batch.column("ids").slice(lo, hi - lo)
+                sizes.append(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                flat.append(lists.flatten().to_numpy(zero_copy_only=False))
+                continue
+            sizes, flat = [np.concatenate(sizes)], [np.concatenate(flat)]
+            ends = np.concatenate([[0], np.cumsum(sizes[0])])
+            for i in range(lo, hi):
+                at = np.array([number[_name(w)] for w in _spelled(batch.column("words")[i].as_py())], np.int64)
+                out.append(pack(np.concatenate([[len(at)], sizes[0][at], gather(flat[0], ends, at)[0]])))
+            homes.append(batch.column("home").slice(lo, hi - lo).to_numpy())
+            places.append(slices[lo:hi])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(homes).astype(np.int64)), pa.array(np.concatenate(places)), pa.array(out, pa.binary())], ["home", "slice", "ids"])
+
+
 def _assemble(body: np.ndarray, ends: np.ndarray):
-    """Task code: (idx, ids) of a block's words and the block to (id, ids, text) of its texts."""
+    """Task code: the answers to a block's runs and the block to (id, ids, text) of its texts."""
 
-    def run(words: pa.Table, block: pa.Table) -> pa.Table:
+    def run(answers: pa.Table, block: pa.Table) -> pa.Table:
         out = []
         for i in range(block.num_rows):
-            order = np.argsort(words.column("idx").to_numpy())
-            lists = words.column("ids").combine_chunks().take(pa.array(order))
-            many = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            parts = [unpack(answers.column("ids")[k].as_py()) for k in np.argsort(answers.column("slice").to_numpy()).tolist()]
+            many = np.concatenate([np.zeros(0, np.int32), *(x[1 : x[0] + 1] for x in parts)]).astype(np.int64)
+            flat = np.concatenate([np.zeros(0, np.int32), *(x[x[0] + 1 :] for x in parts)])
             codes = unpack(block.column("codes")[i].as_py())
-            ids, at = gather(flat, np.concatenate([[0], np.cumsum(many)]), codes)
+            ids, at = gather(flat, np.concatenate([[0], np.cumsum(many)]).astype(np.int64), codes)
             first = np.concatenate([[0], np.cumsum(block.column("sizes")[i].values.to_numpy())]).astype(np.int64)
             where = at[first]
             raw, byte_at = gather(body, ends, ids)
@@ -196,19 +277,23 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str =
     back. Rows that share an id, or have none, are encoded each; an empty table gives an empty result.
     """
     blocks = blocks_of(docs, id_col, text, F.lit(False), split_pieces, strings=True)
-    places = blocks.select(F.col("block").alias("home"), F.posexplode("spelled").alias("idx", "spelled"))
-    long = F.when(F.octet_length("spelled") > NAMED, F.col("spelled"))
-    places = places.select("home", "idx", word_name(F.col("spelled")).alias("word"), long.alias("long"))
-    count = places.agg(F.approx_count_distinct("word", 0.02)).first()[0]
-    dealt = places.select("word", "long").repartition(-(-count // WORDS_IN_TASK) + 1, "word").distinct()
+    many = blocks.agg(F.sum(F.size("counts"))).first()[0] or 0
+    slices = min(RANGES, 1 << max(0, -(-many // WORDS_IN_SLICE) - 1).bit_length())
+    tasks = max(1, slices // SLICES_IN_TASK)
+    sent = blocks.select("block", "spelled", "ranges").mapInArrow(_send(slices), "slice int, home long, words binary")
+    found = staged(sent.repartition(tasks, "slice").mapInArrow(_distinct, "slice int, spelled binary"), "words")
+    dealt = found.select(F.struct("slice", word_name(F.col("spelled")).alias("name")).alias("word"), "spelled")
+    dealt = dealt.repartition(found.count() // WORDS_IN_TASK + 1, "word")
     spark, grouping = docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(grouping)
     spark.conf.set(grouping, 4 * WORDS_IN_TASK)
     try:
-        coded = staged(encode_words(dealt.select("word", F.coalesce("long", "word").alias("spelled")), pieces), "words")
+        coded = staged(encode_words(dealt, pieces), "coded")
     finally:
         spark.conf.set(grouping, before)
-    known = places.join(coded, "word").select("home", "idx", "ids")
+    rows = coded.select("word.slice", "word.name", "ids").unionByName(sent, allowMissingColumns=True)
+    rows = rows.repartition(tasks, "slice").sortWithinPartitions(F.asc("slice"), F.asc_nulls_first("home"))
+    known = rows.mapInArrow(_answer, "home long, slice int, ids binary")
     id_type = docs.schema[id_col].dataType.simpleString()
     out = known.groupBy("home").cogroup(blocks.select("block", "ids", "sizes", "codes").groupBy("block")).applyInArrow(
         _assemble(*piece_bytes(pieces)), f"id {id_type}, ids array<int>, decoded string")

@@ -79,6 +79,23 @@ def test_round_trip_of_documents(spark, table):
     assert again == text
 
 
+def test_many_slices_give_the_same_ids(spark, table, monkeypatch):
+    """Runs of a few words, several slices in a task, words and runs of a slice in several batches."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, "y" * 65 + " " + "z" * 200 + " y"), (-2, None), (-3, "y" * 64)], "doc_id long, text string")
+    docs = docs.unionByName(extra)
+    one = {r.doc_id: (r.ids, r.decoded) for r in P.encode(docs, table).collect()}
+    monkeypatch.setattr(P, "WORDS_IN_SLICE", 300)
+    monkeypatch.setattr(P, "SLICES_IN_TASK", 16)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        many = {r.doc_id: (r.ids, r.decoded) for r in P.encode(docs, table).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert many == one
+
+
 def test_edge_cases(spark, table):
     odd = [(1, None), (2, ""), (3, " "), (4, "  a  b \n\n c\t"), (5, "x" * 5000 + "é" * 700), (6, "▁ already"), (7, "\x00\x01"), (None, "☃"), (8, "a"), (8, "a"), (9, "e\u0301 <0x0A> <s>")]
     got = P.encode(spark.createDataFrame([(k, t, "z", 1) for k, t in odd], "doc_id long, text string, ids string, block int"), table).collect()
