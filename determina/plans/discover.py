@@ -210,6 +210,7 @@ class _Discovery:
             ).persist(StorageLevel.MEMORY_AND_DISK)
         else:
             self.rows = stage(self.rows, "encoded")
+        counts.remember_sizes(self.rows, [(c.ordinal, c.n, c.n_rows, c.max_group) for c in self.profile])
         try:
             sampled = self.n_rows > self.settings.sample_rows * EVIDENCE_FROM
             self.prover = Prover(
