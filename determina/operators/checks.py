@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from determina.functions import cells, masks
-from determina.operators import counted
+from determina.operators import counted, counts
 from determina.operators.counts import batches, column_counts, local_table, set_count, union_all
 
 _FIXED_WIDTH = (
@@ -242,8 +242,9 @@ def group_verdicts(df: DataFrame, shared: int, candidates: DataFrame) -> DataFra
     contain the shared column, so a set's groups never cross two of its values.
     One scan sends each row to every set involved, with the columns outside it
     blanked; different tuples are counted per set and value, and the counts of a
-    value meet by two joins, however many candidates there are. No candidates give
-    an empty table.
+    value meet by two joins, however many candidates there are. Rows of a large table
+    are spread first, so that no task makes many more than ``COPIES`` copies. No
+    candidates give an empty table.
     """
     (name,) = cells.names_at(df, [shared])
     pairs = candidates.select("lhs", "rhs", F.col("lhs").bitwiseOR(masks.bit(F.col("rhs"))).alias("whole")).distinct()
@@ -258,7 +259,11 @@ def group_verdicts(df: DataFrame, shared: int, candidates: DataFrame) -> DataFra
     names = {i: cells.sql_name(n) for i, n in enumerate(df.columns, 1)}
     sent = f"explode(array({', '.join(f'{m}L' for m in wanted)})) AS mask"
     kept = [f"if(mask & {1 << (i - 1)}L = 0L, NULL, k{i}) AS k{i}" for i in used]
-    tuples = df.selectExpr(*[f"{names[i]} AS k{i}" for i in used], sent).selectExpr("mask", *kept).distinct()
+    rows = df.selectExpr(*[f"{names[i]} AS k{i}" for i in used])
+    tasks = -(-df.count() * len(wanted) // counts.COPIES)
+    if tasks > 1:
+        rows = rows.repartition(tasks, *rows.columns)
+    tuples = rows.selectExpr("*", sent).selectExpr("mask", *kept).distinct()
     sizes = tuples.groupBy("mask", F.col(f"k{shared}").alias("value")).agg(F.expr("count(1) AS n"))
     left = pairs.join(sizes.select(F.col("mask").alias("lhs"), "value", F.col("n").alias("n_lhs")), "lhs")
     whole = sizes.select(F.col("mask").alias("of"), F.col("value").alias("at"), F.col("n").alias("n_all"))

@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 
 from determina.functions import masks
-from determina.operators import counts
+from determina.operators import checks, counts
 
 KINDS = "k int, a bigint, x double, f float, s string, b binary, t timestamp, m decimal(9,2), l array<int>"
 
@@ -67,3 +67,14 @@ def test_tuples_beyond_a_number_of_64_bits(spark, monkeypatch, ways):
     monkeypatch.setattr(counts, "ROWS", 4000)
     df = spark.range(4000).selectExpr(*[f"(id * {k}) % 3989 AS c{k}" for k in (1, 3, 5, 7, 11, 13)])
     assert [r.n for r in counts.set_counts(df, [63]).collect()] == [3989]
+
+
+def test_groups_are_tested_on_spread_rows(spark, monkeypatch):
+    """A task makes about as many copies as wanted, though the table lies in one partition."""
+    df = spark.createDataFrame([(i % 3, i % 5, i % 7) for i in range(210)], "a int, b int, c int").coalesce(1)
+    cands = spark.createDataFrame([(1, 2), (3, 3), (5, 2)], "lhs bigint, rhs int")
+    plain = sorted(tuple(r) for r in checks.group_verdicts(df, 1, cands).collect())
+    monkeypatch.setattr(counts, "COPIES", 100)
+    spread = checks.group_verdicts(df, 1, cands)
+    assert "REPARTITION_BY_NUM" in spread._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in spread.collect()) == plain and len(plain) == 9
