@@ -161,23 +161,37 @@ def _as_grouped(df: DataFrame, ordinal: int) -> str:
     return f"nanvl({name}, double('NaN')) + 0D" if isinstance(field.dataType, T.FractionalType) and not isinstance(field.dataType, T.DecimalType) else name
 
 
-def _count_numbers(turns: Sequence[Sequence[tuple[int, Sequence[int]]]]):
-    """Task code: rows to ``at, n``, the different tuples of each of some sets of columns in them. With
-    several turns the last column tells whose sets a row is for."""
+def _numbering():
+    """Task code, made here so that it travels with the code that calls it: batches to the values of each
+    column as numbers from 1, missing as 0, how many numbers there are and, if ``named``, the values of
+    the last column in their order."""
 
-    def run(batches):
+    def numbered(batches, named: bool = False) -> tuple[list[np.ndarray], list[int], list]:
         coded: list[list[pa.Array]] = []
         for batch in batches:
             coded.append([pc.dictionary_encode(column) for column in batch.columns])
-        if not coded:
-            return
-        numbers, most = [], []
+        numbers, most, own = [], [], []
         for chunks in zip(*coded, strict=True):
             column = pa.chunked_array(chunks).unify_dictionaries()
             codes = [chunk.indices.fill_null(-1).to_numpy(zero_copy_only=False) for chunk in column.chunks]
             numbers.append(np.concatenate(codes).astype(np.int64) + 1)
             most.append(len(column.chunk(0).dictionary) + 1)
-        own = column.chunk(0).dictionary.to_pylist() if len(turns) > 1 else []
+        if coded and named:
+            own = column.chunk(0).dictionary.to_pylist()
+        return numbers, most, own
+
+    return numbered
+
+
+def _count_numbers(turns: Sequence[Sequence[tuple[int, Sequence[int]]]]):
+    """Task code: rows to ``at, n``, the different tuples of each of some sets of columns in them. With
+    several turns the last column tells whose sets a row is for."""
+    numbered = _numbering()
+
+    def run(batches):
+        numbers, most, own = numbered(batches, len(turns) > 1)
+        if not numbers:
+            return
         for turn, sets in enumerate(turns):
             mine = numbers
             if len(turns) > 1:
@@ -199,7 +213,49 @@ def _count_numbers(turns: Sequence[Sequence[tuple[int, Sequence[int]]]]):
     return run
 
 
-def _is_numbered(kind: T.DataType, n: int) -> bool:
+def agreements(df: DataFrame, ordinal: int, n_rows: int) -> DataFrame:
+    """``agree BIGINT``: every set of columns on which two rows that share a column's value agree, with
+    no column left out.
+
+    The rows meet by that column in one exchange, and a task compares each row with all others of its
+    value. For columns that tasks number and whose values are held by few rows each, and for few
+    columns, since a task notes which of their sets it has seen.
+    """
+    rows = df.selectExpr(*[f"{_as_grouped(df, i)} AS k{i}" for i in range(1, len(df.columns) + 1)])
+    met = rows.repartition(max(1, -(-n_rows // ROWS)), f"k{ordinal}")
+    return met.mapInArrow(_compare(ordinal - 1), "agree bigint").distinct()
+
+
+def _compare(lead: int):
+    """Task code: rows to the sets of columns on which two rows of one value of column ``lead`` agree."""
+    numbered = _numbering()
+
+    def run(batches):
+        numbers, _, _ = numbered(batches)
+        if not numbers:
+            return
+        order = np.argsort(numbers[lead], kind="stable")
+        columns = [column[order].astype(np.int32) for column in numbers]
+        first = np.flatnonzero(np.diff(columns[lead], prepend=-1))
+        sizes = np.diff(np.append(first, len(order)))
+        after = np.repeat(first + sizes, sizes) - 1 - np.arange(len(order))
+        seen = np.zeros(1 << len(columns), bool)
+        apart, at = 1, np.flatnonzero(after)
+        while len(at):
+            most = 2 * len(at) > len(order)
+            agree = np.zeros(len(order) - apart if most else len(at), np.int32)
+            for i, column in enumerate(columns):
+                same = column[:-apart] == column[apart:] if most else column[at] == column[at + apart]
+                agree |= same.astype(np.int32) << i
+            seen[agree[at] if most else agree] = True
+            apart += 1
+            at = at[after[at] >= apart]
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int64())], ["agree"])
+
+    return run
+
+
+def is_numbered(kind: T.DataType, n: int) -> bool:
     """Whether tasks number the values of a column of ``n`` values: texts only if they are few, since
     a task keeps its different values."""
     return isinstance(kind, _NUMBERED) or (n <= FEW and kind.simpleString() in ("string", "binary"))
@@ -214,7 +270,7 @@ def _leading(df: DataFrame, members: Sequence[int], sizes: Sizes) -> tuple[str,
     even = [i for i in members if sizes.largest[i] <= HOT]
     if not even:
         return "hot", lead
-    numbered = all(_is_numbered(df.schema[i - 1].dataType, sizes.values[i]) for i in members)
+    numbered = all(is_numbered(df.schema[i - 1].dataType, sizes.values[i]) for i in members)
     return "lead" if numbered else "copies", max(even, key=lambda i: (sizes.values[i], -i))
 
 
@@ -264,6 +320,9 @@ def set_counts(df: DataFrame, wanted: Iterable[int]) -> DataFrame:
     if len(wanted) <= PLAN:
         names = local_table(spark, list(enumerate(wanted)), "at int, mask bigint")
         return names.join(numbered_set_counts(df, [masks.ordinals_of(m) for m in wanted]), "at").select("mask", "n")
+    # Sets of one leading column in as few portions as can be: each portion exchanges the rows for each of its.
+    sizes = column_sizes(df)
+    wanted.sort(key=lambda mask: (_leading(df, masks.ordinals_of(mask) or [1], sizes), mask))
     rows = [row for part in batches(wanted, PLAN) for row in set_counts(df, part).collect()]
     return local_table(spark, rows, "mask bigint, n bigint")
 

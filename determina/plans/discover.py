@@ -7,7 +7,8 @@ staged tables, pruned by joins.
 Order of work:
 
 1. one pass per column for its counts; constants leave;
-2. evidence against candidates from a bounded sample;
+2. evidence against candidates from a bounded sample; of large tables of few columns also
+   all failures around columns whose values are held by few rows each;
 3. one-column FDs; equivalent columns leave but one;
 4. for right sides without an FD so far, all other columns as the left side: if they
    do not determine it, nothing does;
@@ -53,6 +54,11 @@ SHARE_FROM = 8
 # Groups of columns searched at the same time.
 PARTS_AT_ONCE = 8
 
+# Tables of at most this many columns have the rows of a value compared with each other, for columns
+# without a value of more rows.
+COMPARED_COLUMNS = 12
+COMPARED_ROWS = 2_000
+
 # Tables of fewer rows than this many samples are tested without a sample.
 EVIDENCE_FROM = 4
 
@@ -142,16 +148,20 @@ class _Discovery:
         self.width = len(df.columns)
 
     def _test_candidates(self, cands: DataFrame) -> list[tuple[int, int]]:
-        """Test a table of candidates in driver-sized portions; FDs as pairs."""
+        """Test a table of candidates that no failure known refutes, in driver-sized portions; FDs
+        as pairs."""
         grouped = cands.groupBy("lhs").agg(F.bit_or(masks.bit(F.col("rhs"))).alias("rhs"))
-        tests = sorted(checks.Test(r.lhs, r.rhs) for r in grouped.toLocalIterator())
+        asked = sorted(checks.Test(r.lhs, r.rhs) for r in grouped.toLocalIterator())
+        # All failures around a column whose rows were compared are known: what is left holds.
+        found = [(t.lhs, t.rhs) for t in asked if t.lhs & self.compared]
+        tests = [t for t in asked if not t.lhs & self.compared]
         self._share([t.lhs for t in tests])
-        found, lessons = [], []
+        lessons = []
         for shared in (False, True):
             prover = self.shared.prover if shared else self.prover
             mine = [t for t in tests if self.shared.covers(t.lhs) == shared]
-            for portion in counts.batches(mine, prover.batch if prover else 1):
-                found += prover.decide(portion)
+            if prover:
+                found += prover.decide(mine)
             lesson = prover.new_failures() if prover else None
             if lesson is not None:
                 lessons.append(lesson)
@@ -224,6 +234,7 @@ class _Discovery:
                 self.failures = failures_in_sample(
                     self.rows, self.profile, self.settings.sample_rows
                 )
+            self._compare_rows()
             singles = self._single_fds()
             groups, kept = self._reduce(singles)
             fds = self._sweep(singles, kept, self._part_masks(parts, varying))
@@ -258,6 +269,28 @@ class _Discovery:
                 )
         self.all_profile.sort()
 
+    def _compare_rows(self) -> None:
+        """On a large table of few columns, compare the rows of each value of the columns whose values
+        are held by few rows each. That tells every failure of every left side around such a column
+        from one exchange per column, however many candidates there are."""
+        self.compared = 0
+        kinds = self.rows.schema
+        if (
+            self.settings.check != "group" or self.prover.slices == 1 or len(self.profile) > COMPARED_COLUMNS
+            or not all(counts.is_numbered(kinds[c.ordinal - 1].dataType, c.n) for c in self.profile)
+        ):
+            return
+        few = [c.ordinal for c in self.profile if c.n < c.n_rows and c.max_group <= COMPARED_ROWS]
+        if not few:
+            return
+        agree = stage(counts.union_all([counts.agreements(self.rows, i, self.n_rows) for i in few]).distinct(), "agreements")
+        columns = ", ".join(str(c.ordinal) for c in self.profile)
+        seen = agree.selectExpr("agree AS lhs", f"explode(array({columns})) AS rhs").filter("lhs & shiftleft(1L, rhs - 1) = 0L")
+        if self.failures is not None:
+            seen = seen.unionByName(self.failures).distinct()
+        self.failures = stage(lattice.maximal_only(stage(seen, "seen")), "failures")
+        self.compared = masks.mask_of(few)
+
     def _single_fds(self) -> set[tuple[int, int]]:
         """One-column FDs as pairs of column numbers."""
         by_ordinal = {c.ordinal: c for c in self.profile}

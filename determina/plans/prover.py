@@ -96,13 +96,15 @@ class Prover:
         self.counted = {self.closures.of(m): n for m, n in self.counted.items()}
 
     def decide(self, tests: list[checks.Test]) -> list[tuple[int, int]]:
-        """``(lhs, proved right sides)`` of one batch of tests."""
-        if not tests:
-            return []
-        left = [(t.lhs, t.rhs) for t in tests]
+        """``(lhs, proved right sides)`` of some tests. They are refuted a scan's portion at a time; what
+        is left is counted together, since each portion of counts exchanges the rows."""
+        left: list[tuple[int, int]] = []
         proved: dict[int, int] = {}
-        if self.check == "group":
-            left = self._group_test(tests, proved)
+        for portion in counts.batches(tests, self.batch):
+            if self.check == "group":
+                left += self._group_test(portion, proved)
+            else:
+                left += [(t.lhs, t.rhs) for t in portion]
         self._count_test(left, proved)
         return sorted((lhs, rhs) for lhs, rhs in proved.items() if rhs)
 
@@ -134,8 +136,9 @@ class Prover:
     def _count_test(self, left: list[tuple[int, int]], proved: dict[int, int]) -> None:
         """X determines all of several columns exactly when X with all of them has no
         more different tuples than X, so one count settles them together. Where it
-        fails, the groups of X tell the right sides apart; those they cannot tell, for
-        being texts, are counted one by one."""
+        fails on a small table, the groups of X tell the right sides apart. Those they cannot
+        tell, for being texts, and all of a large table are counted one by one: counts share
+        the exchanges that groups would make for each left side."""
         self._count(m for lhs, rhs in left for m in (lhs, lhs | rhs))
         mixed = []
         for lhs, rhs in left:
@@ -144,7 +147,7 @@ class Prover:
             elif rhs.bit_count() > 1:
                 mixed.append(checks.Test(lhs, rhs))
         asked = {t.lhs: t.rhs for t in mixed}
-        if self.check == "group":
+        if self.check == "group" and self.slices == 1:
             for part in counts.batches(mixed):
                 plan = [checks.one_left_side(self.rows, t, self.not_null) for t in part]
                 for r in counts.union_all(plan).collect():
@@ -171,7 +174,7 @@ class Prover:
         small = self.slices == 1
         count = counts.set_counts_in_one_scan if small else counts.set_counts
         self.counted.update(dict.fromkeys(closed_of.values(), 0))
-        for part in counts.batches(sorted(closed_of), self.batch if small else counts.BATCH):
+        for part in counts.batches(sorted(closed_of), self.batch if small else max(1, len(closed_of))):
             for r in count(self.rows, part).collect():
                 self.counted[closed_of[r.mask]] = r.n
 

@@ -9,6 +9,7 @@ import pytest
 
 from determina.functions import masks
 from determina.operators import checks, counts
+from determina.plans import discover, prover
 
 KINDS = "k int, a bigint, x double, f float, s string, b binary, t timestamp, m decimal(9,2), l array<int>"
 
@@ -78,3 +79,50 @@ def test_groups_are_tested_on_spread_rows(spark, monkeypatch):
     spread = checks.group_verdicts(df, 1, cands)
     assert "REPARTITION_BY_NUM" in spread._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in spread.collect()) == plain and len(plain) == 9
+
+
+def test_rows_of_a_value_tell_all_they_agree_on(spark):
+    df = spark.createDataFrame(list(rows(200)), KINDS).select("k", "a", "x", "f", "s")
+    plain = df.selectExpr("k", "a", "x", "f", "s", "monotonically_increasing_id() AS id").cache()
+    same = " + ".join(f"if(p.{c} <=> q.{c}, {1 << i}L, 0L)" for i, c in enumerate(("k", "a", "x", "f", "s")))
+    for ordinal, name in ((1, "k"), (2, "a"), (3, "x")):
+        pairs = plain.alias("p").join(plain.alias("q")).where(f"p.id < q.id AND p.{name} <=> q.{name}")
+        want = {r.agree for r in pairs.selectExpr(f"{same} AS agree").distinct().collect()}
+        got = [r.agree for r in counts.agreements(df, ordinal, 200).collect()]
+        assert set(got) == want and len(got) == len(want) > 1
+    assert counts.agreements(df.limit(0), 1, 0).isEmpty()
+
+
+def test_left_sides_around_rare_values_need_no_tests(spark, monkeypatch):
+    """Rows of rare values are compared once; no left side around them is tested, and all FDs are found."""
+    df = spark.range(4000).selectExpr(
+        "id div 4 AS a", "id * 7 % 900 AS b", "id * id % 13 AS c", "id % 4 AS d", "hash(id) % 3 AS e", "id * id % 13 % 2 AS f"
+    ).cache()
+    tested, real = [], prover.Prover.decide
+
+    def decide(self, tests):
+        tested.extend(t.lhs for t in tests)
+        return real(self, tests)
+
+    def found(**options):
+        return {(tuple(r.lhs), r.rhs) for r in discover.discover_fds(df, **options).collect()}
+
+    want = found(check="count")
+    monkeypatch.setattr(prover.Prover, "decide", decide)
+    monkeypatch.setattr(discover, "COMPARED_ROWS", 10)
+    assert found(sample_rows=20, slice_rows=50) == want and len(want) > 5
+    assert not any(lhs & 0b11 for lhs in tested)
+
+
+def test_a_large_table_counts_the_open_tests_together(spark, monkeypatch):
+    """However many portions of tests there are, rows are exchanged for two sets of counts at most."""
+    df = spark.range(3000).selectExpr(*[f"hash(id, {k}) % {40 + k} AS c{k}" for k in range(5)], "id % 2 AS f").cache()
+    plain = prover.Prover(df, 3000, [], check="count")
+    large = prover.Prover(df, 3000, [], slice_rows=1000)
+    assert plain.slices == large.slices // 3 == 1
+    large.batch = 4
+    calls, real = [], counts.set_counts
+    monkeypatch.setattr(counts, "set_counts", lambda *given: calls.append(1) or real(*given))
+    monkeypatch.setattr(checks, "one_left_side", None)
+    tests = [checks.Test(m, 63 & ~m) for m in range(1, 63)]
+    assert large.decide(tests) == plain.decide(tests) and len(calls) <= 2
