@@ -1,40 +1,36 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The distinct words of the corpus are exploded into substrings no longer than the longest piece and
-joined to the piece table; the edges of a word are folded by Viterbi with ``aggregate``, keeping the
-best way to every place, and walked back. A word of any length is one lattice: it is exploded from
-windows that overlap by the longest piece, and folded in runs of edges that hand on the ways to the
-last places a piece can start from. Texts are blocks of word numbers, so a word is encoded once and
-its pieces return to each block that has it. Blocks send their words in packed runs, one for each
-slice of the hashes, and get the pieces of a run back in the same order.
+Words are exploded into substrings no longer than the longest piece and joined to the piece table,
+which every task has. The edges of a word stay together and in the order of their places; a task folds
+those of many words at once by Viterbi, place by place, keeping the best way to every place, and walks
+them back. A word of any length is one lattice: it is exploded from windows that overlap by the longest
+piece. A task sends each word through its lattice once, for as long as it remembers it, then the texts
+as numbers of these words, so nothing is exchanged or written in between.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from determina.llm.blocks import RANGES, blocks_of, pack, unpack
-from determina.llm.shared import staged, text_arrays
+from determina.llm.blocks import _told_apart
+from determina.llm.shared import Hasher, chunks, text_arrays
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Places of a word exploded from one window, and edges folded before their ways are set aside.
-WINDOW, FOLDED = 256, 256
-#: Bytes of a word that stands for itself where words are compared.
-NAMED = 64
-#: Words of a task of the lattice, about; so few are grouped in memory, and no edge is spilled.
-WORDS_IN_TASK = 16_384
-#: Words that the blocks send to a slice, about, and slices of a task.
+#: Places of a word exploded from one window.
+WINDOW = 256
+#: Edges folded at a time, about; all of a word are.
+EDGES = 1 << 18
+#: Words that a task remembers, in slices, and their bytes; then it begins anew.
 WORDS_IN_SLICE, SLICES_IN_TASK = 65_536, 4
+REMEMBERED = 32 << 20
 #: Cost of a byte of a character that no piece has.
 UNKNOWN = 20.0
 
@@ -104,6 +100,100 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
+def edges_of(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """(tag, at, size, id, raw) of (tag, spelled) rows: the edges of each word, in the order of the rows and,
+    within a word, of place and size. ``at`` counts from 1; ``raw`` are the bytes of a character without a
+    piece. The first edge of a word has its tag; the empty word has one empty edge. All of it is narrow."""
+    text = words.select("tag", F.replace(F.col("spelled").cast("string"), F.lit(" "), F.lit(SPACE)).alias("w"))
+    far = F.expr(f"transform(sequence(0, (char_length(w) - 1) div {WINDOW}), k -> substring(w, k * {WINDOW} + 1, {WINDOW + longest - 1}))")
+    windows = text.select("tag", F.posexplode(far).alias("k", "w"))
+    last = F.greatest(F.lit(1), F.least(F.lit(WINDOW), F.char_length("w")))
+    starts = windows.select("tag", "k", "w", F.explode(F.sequence(F.lit(1), last)).alias("at"))
+    most = F.greatest(F.lit(1), F.least(F.lit(longest), F.char_length("w") - F.col("at") + 1))
+    sized = starts.select("tag", "k", "w", "at", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    at = F.col("k") * WINDOW + F.col("at")
+    parts = sized.select(F.when((at == 1) & (F.col("size") == 1), F.col("tag")).alias("tag"), at.alias("at"), "size", F.col("w").substr(F.col("at"), F.col("size")).alias("piece"))
+    edges = parts.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
+    return edges.select("tag", "at", "size", F.coalesce("id", F.lit(-1)).alias("id"), F.when(F.col("id").isNull(), F.col("piece").cast("binary")).alias("raw"))
+
+
+def _fold(edges: pa.Table, costs: np.ndarray, first_byte: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of whole words to the first edge of each word, how many ids it has, and the ids of all words."""
+    at, size, ids = (edges.column(name).to_numpy().astype(np.int64) for name in ("at", "size", "id"))
+    raw = edges.column("raw").combine_chunks()
+    data, offsets = text_arrays(raw)
+    begin = (at == 1) & (size == 1)
+    first, word = np.flatnonzero(begin), np.cumsum(begin) - 1
+    long = np.diff(offsets)
+    score = np.where(ids >= 0, costs[ids], -UNKNOWN * long)
+    # The last edge of a word leads to its end. Places of all words are numbered one after the other.
+    length = (at + size - 1)[np.append(first[1:], len(at)) - 1]
+    base = np.cumsum(length + 1) - length - 1
+    source = base[word] + at - 1
+    # Short numbers are sorted much faster.
+    level = (at + size).astype(np.int16 if length.max() < 1 << 14 else np.int64)
+    order = np.argsort(level, kind="stable")
+    target, level = (source + size)[order], level[order]
+    groups = np.flatnonzero(np.diff(target, prepend=-1))
+    best, back = np.zeros(base[-1] + length[-1] + 1), np.zeros(base[-1] + length[-1] + 1, np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(level, prepend=-1)), len(level))
+    ends = np.searchsorted(groups, cuts)
+    for lo, hi, a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        own, starts = order[lo:hi], groups[a:b] - lo
+        ways = best[source[own]] + score[own]
+        top = np.maximum.reduceat(ways, starts)
+        # Of equal ways the longest last piece comes first.
+        many = np.diff(np.append(starts, hi - lo))
+        hits = np.flatnonzero(ways == np.repeat(top, many))
+        hits = hits[np.searchsorted(hits, starts)]
+        best[target[groups[a:b]]], back[target[groups[a:b]]] = top, own[hits]
+    taken = np.zeros(len(at), bool)
+    place, floor = base + length, base
+    while len(place):
+        edge = back[place]
+        taken[edge] = True
+        place = source[edge]
+        left = place > floor
+        place, floor = place[left], floor[left]
+    path = np.flatnonzero(taken)
+    wide = np.where(ids[path] >= 0, 1, long[path])
+    out = np.repeat(ids[path], wide)
+    spelled = raw.take(pa.array(path[ids[path] < 0]))
+    found, edge_of = text_arrays(spelled)
+    out[np.repeat(ids[path] < 0, wide)] = found[edge_of[0] : edge_of[-1]].astype(np.int64) + first_byte
+    return first, np.bincount(word[path], wide, len(first)).astype(np.int64), out
+
+
+def _folded(costs: np.ndarray, first_byte: int):
+    """Task code: edges to (tags, how many ids, ids) of some words after the other, tags as Arrow."""
+
+    def run(batches):
+        held, rows, later = [], 0, False
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                starts = (batch.column("at").to_numpy() == 1) & (batch.column("size").to_numpy() == 1)
+                later = later or bool(starts[0 if held else 1 :].any())
+                held.append(batch)
+                rows += len(starts)
+            if not rows or batch is not None and (rows < EDGES or not later):
+                continue
+            table, end = pa.Table.from_batches(held), rows
+            if batch is not None:
+                begin = (table.column("at").to_numpy() == 1) & (table.column("size").to_numpy() == 1)
+                end = int(np.flatnonzero(begin)[-1])
+            done = table.slice(0, end).combine_chunks()
+            first, many, ids = _fold(done, costs, first_byte)
+            yield done.column("tag").take(pa.array(first)).combine_chunks(), many, ids
+            held, rows, later = table.slice(end).to_batches(), rows - end, False
+
+    return run
+
+
+def _costs(pieces: Pieces) -> np.ndarray:
+    """The score of every id, and at the end a place for none."""
+    return np.array([0.0 if s is None else s for s in pieces.score] + [0.0])
+
+
 def encode_words(words: DataFrame, pieces: Pieces, table: DataFrame | None = None) -> DataFrame:
     """(word, ids) of distinct (word, spelled) rows; ``spelled`` are the bytes of the word.
 
@@ -112,41 +202,15 @@ def encode_words(words: DataFrame, pieces: Pieces, table: DataFrame | None = Non
     an empty word has no ids.
     """
     table = piece_table(words.sparkSession, pieces) if table is None else table
-    text = words.select("word", F.replace(F.col("spelled").cast("string"), F.lit(" "), F.lit(SPACE)).alias("w")).where("w != ''")
-    far = F.expr(f"transform(sequence(0, (char_length(w) - 1) div {WINDOW}), k -> substring(w, k * {WINDOW} + 1, {WINDOW + pieces.longest - 1}))")
-    windows = text.select("word", F.posexplode(far).alias("k", "w"))
-    starts = windows.select("word", "k", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.char_length("w")))).alias("at"))
-    sized = starts.select("word", "k", "w", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("w") - F.col("at") + 1))).alias("size"))
-    parts = sized.select("word", (F.col("k") * WINDOW + F.col("at")).alias("at"), "size", F.col("w").substr(F.col("at"), F.col("size")).alias("piece"))
-    edges = parts.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    edge = F.struct(
-        (F.col("at") + F.col("size") - 1).alias("to"), (F.col("at") - 1).alias("from"), F.coalesce("id", F.lit(-1)).alias("id"),
-        F.coalesce("score", -UNKNOWN * F.octet_length("piece")).alias("score"), F.when(F.col("id").isNull(), F.col("piece")).alias("raw"))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    step = "named_struct('score', best[e.from - a.base].score + e.score, 'from', e.from, 'id', e.id, 'raw', e.raw)"
-    # ``best`` are the ways to the places from ``base`` on; those no later edge can start from are done.
-    keep = pieces.longest + 1
-    best = f"""
-        aggregate(sequence(0, (size(edges) - 1) div {FOLDED}),
-            named_struct('base', 0, 'best', array(named_struct('score', 0D, 'from', -1, 'id', -1, 'raw', cast(null as string))),
-                         'done', array(array(named_struct('score', 0D, 'from', -1, 'id', -1, 'raw', cast(null as string))))),
-            (a, k) -> transform(array(aggregate(slice(edges, k * {FOLDED} + 1, {FOLDED}), a.best, (best, e) ->
-                if(a.base + size(best) = e.to, concat(best, array({step})),
-                   if(best[e.from - a.base].score + e.score > best[e.to - a.base].score, concat(slice(best, 1, e.to - a.base), array({step})), best)))),
-                n -> named_struct('base', a.base + greatest(size(n) - {keep}, 0), 'best', slice(n, greatest(size(n) - {keep}, 0) + 1, {keep}),
-                                  'done', if(size(n) > {keep}, concat(a.done, array(slice(n, 1, size(n) - {keep}))), a.done)))[0],
-            a -> concat(flatten(slice(a.done, 2, size(a.done))), a.best))"""
-    walk = f"""
-        aggregate(sequence(0, (size(best) - 1) div {FOLDED}), named_struct('at', size(best) - 1, 'path', array(slice(best, 1, 0))), (a, _) ->
-            if(a.at <= 0, a, transform(array(
-                aggregate(sequence(1, {FOLDED}), named_struct('at', a.at, 'path', slice(best, 1, 0)), (b, _) ->
-                    if(b.at <= 0, b, named_struct('at', best[b.at].from, 'path', concat(array(best[b.at]), b.path))))),
-                n -> named_struct('at', n.at, 'path', concat(array(n.path), a.path)))[0]), a -> flatten(a.path))"""
-    spelled = f"""
-        flatten(transform(path, p -> if(p.id >= 0, array(p.id), transform(sequence(0, octet_length(p.raw) - 1),
-            i -> {pieces.first_byte} + cast(conv(substring(hex(p.raw), 2 * i + 1, 2), 16, 10) as int)))))"""
-    folded = lattice.select("word", F.expr(best).alias("best")).select("word", F.expr(walk).alias("path"))
-    return folded.select("word", F.expr(spelled).alias("ids"))
+    folded = _folded(_costs(pieces), pieces.first_byte)
+
+    def run(batches):
+        for tags, many, ids in folded(batches):
+            ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([tags, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], ["word", "ids"])
+
+    edges = edges_of(words.where("spelled != X''").select(F.col("word").alias("tag"), "spelled"), table, pieces.longest)
+    return edges.mapInArrow(run, StructType([StructField("word", words.schema["word"].dataType), *StructType.fromDDL("ids array<int>").fields]))
 
 
 def piece_bytes(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -162,112 +226,72 @@ def gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return values[np.repeat(ends[at] - out[:-1], size) + np.arange(out[-1])], out
 
 
-def _send(slices: int):
-    """Task code: blocks to (slice, home, words), the run of a block's words for every slice that has some."""
+def _words_and_texts(most: int):
+    """Task code: (id, text) to (spelled, tag): the new words of some texts, then the texts as the tag of an
+    empty word: their ids, the numbers of their words and whether all words are forgotten then."""
 
     def run(batches):
+        hasher, words, number, size = Hasher(), {}, {}, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                many = unpack(batch.column("ranges")[i].as_py()).reshape(slices, -1).sum(1)
-                last = np.cumsum(many)
-                data, ends = text_arrays(batch.column("spelled")[i].values)
-                used = np.flatnonzero(many)
-                out = []
-                for lo, hi in zip((last - many)[used].tolist(), last[used].tolist(), strict=True):
-                    sizes = np.diff(ends[lo : hi + 1])
-                    head = np.concatenate([[len(sizes)], sizes]).astype("<i4").tobytes()
-                    out.append(zstandard.compress(head + data[ends[lo] : ends[hi]].tobytes(), 3))
-                home = np.full(len(used), batch.column("block")[i].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(home), pa.array(out, pa.binary())], ["slice", "home", "words"])
+            for lo, hi, raw, offsets in chunks(batch.column("text")):
+                data, starts, ends, first = split_pieces(raw, offsets)
+                before = len(words)
+                own = _told_apart(hasher.load(data).spans(starts, ends), data, starts, ends, words)
+                new = dict(itertools.islice(words.items(), before, None))
+                number.update(zip(new, itertools.count(before)))
+                size += sum(map(len, new.values()))
+                distinct, codes = np.unique(own, return_inverse=True)
+                codes = np.array([number[k] for k in distinct.tolist()], np.int32)[codes]
+                full = len(words) >= most or size >= REMEMBERED
+                texts = pa.table({"id": batch.column("id").slice(lo, hi - lo)})
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, texts.schema) as out:
+                    out.write_table(texts)
+                head = np.array([len(words), full, len(first), len(codes)], np.int64)
+                tag = b"".join([head.tobytes(), first.astype(np.int64).tobytes(), codes.tobytes(), sink.getvalue().to_pybytes()])
+                yield pa.RecordBatch.from_arrays([pa.array([*new.values(), b""], pa.binary()), pa.array([None] * len(new) + [tag], pa.binary())], ["spelled", "tag"])
+                if full:
+                    words, number, size = {}, {}, 0
 
     return run
 
 
-def _spelled(packed: bytes) -> list[bytes]:
-    """The words of a run."""
-    raw = zstandard.decompress(packed)
-    many = int(np.frombuffer(raw, "<i4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<i4", many + 1)) - many + 4 * (many + 1)
-    return [raw[a:b] for a, b in itertools.pairwise(ends.tolist())]
-
-
-def _distinct(batches):
-    """Task code: (slice, home, words) to (slice, spelled), every word of a slice once."""
-    seen: dict[int, set[bytes]] = {}
-    for batch in batches:
-        for s, packed in zip(batch.column("slice").to_pylist(), batch.column("words"), strict=True):
-            known = seen.setdefault(s, set())
-            new = [w for w in _spelled(packed.as_py()) if w not in known]
-            known.update(new)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), s, np.int32)), pa.array(new, pa.binary())], ["slice", "spelled"])
-
-
-def _name(word: bytes) -> bytes:
-    """What ``word_name`` gives."""
-    return word if len(word) <= NAMED else bytes(NAMED + 1 - 32) + hashlib.sha256(word).digest()
-
-
-def _answer(batches):
-    """Task code: rows by slice, first the slice's words (name, ids), then the runs of blocks
-    (home, words), to (home, slice, ids) of every run. A task holds the words of one slice."""
-    now, number, sizes, flat = None, {}, [], []
-    for batch in batches:
-        slices = batch.column("slice").to_numpy()
-        told = batch.column("home").is_null().to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero((np.diff(slices) != 0) | (np.diff(told.astype(np.int8)) != 0)) + 1
-        homes, places, out = [], [], []
-        for lo, hi in itertools.pairwise([0, *cut.tolist(), len(slices)]):
-            if lo == hi:
-                continue
-            if slices[lo] != now:
-                now, number, sizes, flat = slices[lo], {}, [], []
-            if told[lo]:
-                number.update(zip(batch.column("name").slice(lo, hi - lo).to_pylist(), range(len(number), len(number) + hi - lo), strict=True))
-                lists = batch.column("ids").slice(lo, hi - lo)
-                sizes.append(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                flat.append(lists.flatten().to_numpy(zero_copy_only=False))
-                continue
-            sizes, flat = [np.concatenate(sizes)], [np.concatenate(flat)]
-            ends = np.concatenate([[0], np.cumsum(sizes[0])])
-            for i in range(lo, hi):
-                at = np.array([number[_name(w)] for w in _spelled(batch.column("words")[i].as_py())], np.int64)
-                out.append(pack(np.concatenate([[len(at)], sizes[0][at], gather(flat[0], ends, at)[0]])))
-            homes.append(batch.column("home").slice(lo, hi - lo).to_numpy())
-            places.append(slices[lo:hi])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(homes).astype(np.int64)), pa.array(np.concatenate(places)), pa.array(out, pa.binary())], ["home", "slice", "ids"])
-
-
-def _assemble(body: np.ndarray, ends: np.ndarray):
-    """Task code: the answers to a block's runs and the block to (id, ids, text) of its texts."""
-
-    def run(answers: pa.Table, block: pa.Table) -> pa.Table:
-        out = []
-        for i in range(block.num_rows):
-            parts = [unpack(answers.column("ids")[k].as_py()) for k in np.argsort(answers.column("slice").to_numpy()).tolist()]
-            many = np.concatenate([np.zeros(0, np.int32), *(x[1 : x[0] + 1] for x in parts)]).astype(np.int64)
-            flat = np.concatenate([np.zeros(0, np.int32), *(x[x[0] + 1 :] for x in parts)])
-            codes = unpack(block.column("codes")[i].as_py())
-            ids, at = gather(flat, np.concatenate([[0], np.cumsum(many)]).astype(np.int64), codes)
-            first = np.concatenate([[0], np.cumsum(block.column("sizes")[i].values.to_numpy())]).astype(np.int64)
-            where = at[first]
-            raw, byte_at = gather(body, ends, ids)
-            edge = byte_at[where]
-            # The space in front of every text goes.
-            texts = [raw[a + 1 : b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            out.append(pa.table({
-                "id": block.column("ids")[i].values, "ids": pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(ids.astype(np.int32))),
-                "decoded": pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())}))
-        return pa.concat_tables(out)
-
-    return run
+def _coded(pieces: Pieces):
+    """Task code: edges of words and texts to (id, ids, decoded) of the texts."""
+    folded, (body, ends) = _folded(_costs(pieces), pieces.first_byte), piece_bytes(pieces)
+
+    def texts(tag: pa.Scalar, many: np.ndarray, flat: np.ndarray) -> tuple[bool, pa.RecordBatch]:
+        told = memoryview(tag.as_buffer())
+        words, full, rows, codes = np.frombuffer(told, np.int64, 4).tolist()
+        if words != len(many):
+            raise ValueError(f"{words} words were sent, {len(many)} came")
+        first = np.frombuffer(told, np.int64, rows, 32)
+        at = 32 + 8 * rows
+        ids, last = gather(flat, np.concatenate([[0], np.cumsum(many)]), np.frombuffer(told, np.int32, codes, at))
+        where = last[first]
+        raw, byte_at = gather(body, ends, ids)
+        edge = byte_at[where]
+        # The space in front of every text goes.
+        decoded = [raw[a + 1 : b].tobytes().decode("utf-8", "replace") for a, b in itertools.pairwise(edge.tolist())]
+        table = pa.ipc.open_stream(tag.as_buffer().slice(at + 4 * codes)).read_all()
+        lists = pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return bool(full), pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
+    def run(batches):
+        many, flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        for tags, sizes, ids in folded(batches):
+            done, ends_at = 0, np.concatenate([[0], np.cumsum(sizes)])
+            for at in [*np.flatnonzero(tags.is_valid().to_numpy(zero_copy_only=False)).tolist(), len(sizes)]:
+                many = np.concatenate([many, sizes[done:at]])
+                flat = np.concatenate([flat, ids[ends_at[done] : ends_at[at]].astype(np.int32)])
+                done = at + 1
+                if at < len(sizes):
+                    full, batch = texts(tags[at], many, flat)
+                    yield batch
+                    if full:
+                        many, flat = many[:0], flat[:0]
 
-def word_name(spelled: Column) -> Column:
-    """Bytes that are a word's own: the word, or for one over ``NAMED`` bytes a longer string of zeros
-    and its SHA-256 digest."""
-    digest = F.concat(F.lit(bytes(NAMED + 1 - 32)), F.unhex(F.sha2(spelled, 256)))
-    return F.when(F.octet_length(spelled) <= NAMED, spelled).otherwise(digest)
+    return run
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,28 +300,11 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str =
     A null or empty text has no ids and decodes to the empty text. Every other text is what comes
     back. Rows that share an id, or have none, are encoded each; an empty table gives an empty result.
     """
-    blocks = blocks_of(docs, id_col, text, F.lit(False), split_pieces, strings=True)
-    many = blocks.agg(F.sum(F.size("counts"))).first()[0] or 0
-    slices = min(RANGES, 1 << max(0, -(-many // WORDS_IN_SLICE) - 1).bit_length())
-    tasks = max(1, slices // SLICES_IN_TASK)
-    sent = blocks.select("block", "spelled", "ranges").mapInArrow(_send(slices), "slice int, home long, words binary")
-    found = staged(sent.repartition(tasks, "slice").mapInArrow(_distinct, "slice int, spelled binary"), "words")
-    dealt = found.select(F.struct("slice", word_name(F.col("spelled")).alias("name")).alias("word"), "spelled")
-    dealt = dealt.repartition(found.count() // WORDS_IN_TASK + 1, "word")
-    spark, grouping = docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(grouping)
-    spark.conf.set(grouping, 4 * WORDS_IN_TASK)
-    try:
-        coded = staged(encode_words(dealt, pieces), "coded")
-    finally:
-        spark.conf.set(grouping, before)
-    rows = coded.select("word.slice", "word.name", "ids").unionByName(sent, allowMissingColumns=True)
-    rows = rows.repartition(tasks, "slice").sortWithinPartitions(F.asc("slice"), F.asc_nulls_first("home"))
-    known = rows.mapInArrow(_answer, "home long, slice int, ids binary")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    out = known.groupBy("home").cogroup(blocks.select("block", "ids", "sizes", "codes").groupBy("block")).applyInArrow(
-        _assemble(*piece_bytes(pieces)), f"id {id_type}, ids array<int>, decoded string")
-    return out.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    words = rows.mapInArrow(_words_and_texts(WORDS_IN_SLICE * SLICES_IN_TASK), "spelled binary, tag binary")
+    edges = edges_of(words, piece_table(docs.sparkSession, pieces), pieces.longest)
+    coded = StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("ids array<int>, decoded string").fields])
+    return edges.mapInArrow(_coded(pieces), coded).withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:

@@ -116,3 +116,35 @@ def test_words_with_one_hash_stay_apart():
         for hashes in (np.full(len(starts), 7, np.uint64), (ends - starts).astype(np.uint64), np.full(len(starts), (1 << 64) - 1, np.uint64)):
             keys = _told_apart(hashes, data, starts, ends, words)
             assert [words[k] for k in keys.tolist()] == text.encode().split()
+
+
+def test_nothing_is_exchanged_or_written_between(spark, table):
+    """Texts and words stay in the task that read them; the result alone takes disk."""
+    import glob
+
+    from determina.llm.shared import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:") + "/llm-*"
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    before = set(glob.glob(folder))
+    coded = P.encode(docs, table)
+    coded.collect()
+    assert set(glob.glob(folder)) == before
+    assert "hashpartitioning" not in coded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_forgotten_and_edges_in_small_parts(spark, table, monkeypatch):
+    """A task that soon forgets its words, and folds a word or two at a time, gives the same ids."""
+    rows = [(1, "aa bb aa"), (2, None), (3, "cc aa"), (4, ""), (5, "x" * 300 + " ☃ bb"), (6, "bb aa\n☃")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    one = sorted((r.doc_id, r.ids, r.decoded) for r in P.encode(docs, table).collect())
+    for name, value in (("WORDS_IN_SLICE", 1), ("SLICES_IN_TASK", 2), ("EDGES", 5)):
+        monkeypatch.setattr(P, name, value)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        many = sorted((r.doc_id, r.ids, r.decoded) for r in P.encode(docs, table).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert many == one
+    assert all(decoded == (text or "") for (_, text), (_, _, decoded) in zip(sorted(rows, key=lambda r: r[0]), many))
