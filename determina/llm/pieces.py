@@ -26,10 +26,14 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Places of a word exploded from one window.
 WINDOW = 256
+#: First characters of a piece that tell how long it may be.
+HEAD = 4
+#: An edge as a number: mark of the empty character, bits of size and of the beginning of a word.
+EMPTY, SIZE, BEGIN = 7, 36, 62
 #: Edges folded at a time, about; all of a word are.
 EDGES = 1 << 18
 #: Words that a task remembers, in slices, and their bytes; then it begins anew.
-WORDS_IN_SLICE, SLICES_IN_TASK = 65_536, 4
+WORDS_IN_SLICE, SLICES_IN_TASK = 65_536, 8
 REMEMBERED = 32 << 20
 #: Cost of a byte of a character that no piece has.
 UNKNOWN = 20.0
@@ -100,38 +104,59 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def edges_of(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(tag, at, size, id, raw) of (tag, spelled) rows: the edges of each word, in the order of the rows and,
-    within a word, of place and size. ``at`` counts from 1; ``raw`` are the bytes of a character without a
-    piece. The first edge of a word has its tag; the empty word has one empty edge. All of it is narrow."""
+def head_sizes(spark: SparkSession, pieces: Pieces) -> DataFrame:
+    """(head, sizes) of the first ``HEAD`` characters of pieces: how long a piece that begins so may be,
+    ascending, all shorter sizes among them; no larger than the vocabulary."""
+    sizes: dict[str, set[int]] = {}
+    for t, s in zip(pieces.text, pieces.score, strict=True):
+        if s is not None and len(t) >= HEAD:
+            sizes.setdefault(t[:HEAD], set(range(1, HEAD))).add(len(t))
+    return spark.createDataFrame([(head, sorted(own)) for head, own in sizes.items()], "head string, sizes array<int>")
+
+
+def edges_of(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
+    """(tag, edge) of (tag, spelled) rows: the edges of each word, in the order of the rows and, within a
+    word, of place and size. The first edge of a word has its tag; the empty word has one empty edge.
+    All of it is narrow.
+
+    ``edge`` is one number: from bit 0 the id, or the bytes of a character without a piece; from bit 32
+    how many these are (0: a piece, ``EMPTY``: none); from ``SIZE`` the size, at ``BEGIN`` whether a word
+    begins. The first edge of every place has size 1, so the edges tell their places.
+    """
     text = words.select("tag", F.replace(F.col("spelled").cast("string"), F.lit(" "), F.lit(SPACE)).alias("w"))
-    far = F.expr(f"transform(sequence(0, (char_length(w) - 1) div {WINDOW}), k -> substring(w, k * {WINDOW} + 1, {WINDOW + longest - 1}))")
+    far = F.expr(f"transform(sequence(0, (char_length(w) - 1) div {WINDOW}), k -> substring(w, k * {WINDOW} + 1, {WINDOW + pieces.longest - 1}))")
     windows = text.select("tag", F.posexplode(far).alias("k", "w"))
     last = F.greatest(F.lit(1), F.least(F.lit(WINDOW), F.char_length("w")))
     starts = windows.select("tag", "k", "w", F.explode(F.sequence(F.lit(1), last)).alias("at"))
-    most = F.greatest(F.lit(1), F.least(F.lit(longest), F.char_length("w") - F.col("at") + 1))
-    sized = starts.select("tag", "k", "w", "at", F.explode(F.sequence(F.lit(1), most)).alias("size"))
     at = F.col("k") * WINDOW + F.col("at")
-    parts = sized.select(F.when((at == 1) & (F.col("size") == 1), F.col("tag")).alias("tag"), at.alias("at"), "size", F.col("w").substr(F.col("at"), F.col("size")).alias("piece"))
-    edges = parts.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    return edges.select("tag", "at", "size", F.coalesce("id", F.lit(-1)).alias("id"), F.when(F.col("id").isNull(), F.col("piece").cast("binary")).alias("raw"))
-
-
-def _fold(edges: pa.Table, costs: np.ndarray, first_byte: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts = starts.select(F.when(at == 1, F.col("tag")).alias("tag"), at.alias("at"), F.col("w").substr(F.col("at"), F.lit(pieces.longest)).alias("rest"))
+    headed = starts.withColumn("head", F.substring("rest", 1, HEAD)).join(F.broadcast(head_sizes(words.sparkSession, pieces)), "head", "left")
+    sizes = F.coalesce("sizes", F.array(*map(F.lit, range(1, HEAD))))
+    sized = headed.select("tag", "at", "rest", F.char_length("rest").alias("left"), F.explode(sizes).alias("size")).where("size <= greatest(left, 1)")
+    parts = sized.select(F.when(F.col("size") == 1, F.col("tag")).alias("tag"), "at", "size", F.col("rest").substr(F.lit(1), F.col("size")).alias("part"))
+    # Pieces are found by a number and compared by their text.
+    named = table.select(F.xxhash64("piece").alias("name"), "piece", "id")
+    edges = parts.withColumn("name", F.xxhash64("part")).join(F.broadcast(named), "name", "left")
+    edges = edges.select("tag", "at", "size", F.when(F.col("piece") == F.col("part"), F.col("id")).alias("id"), "part").where("id is not null or size = 1")
+    spelled = f"if(part = '', {EMPTY}L, cast(octet_length(part) as long)) * {1 << 32}L + if(part = '', 0L, cast(conv(hex(part), 16, 10) as long))"
+    begins = f"if(at = 1 and size = 1, {1 << BEGIN}L, 0L)"
+    return edges.select("tag", F.expr(f"size * {1 << SIZE}L + {begins} + coalesce(cast(id as long), {spelled})").alias("edge"))
+
+
+def _fold(edges: np.ndarray, costs: np.ndarray, first_byte: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges of whole words to the first edge of each word, how many ids it has, and the ids of all words."""
-    at, size, ids = (edges.column(name).to_numpy().astype(np.int64) for name in ("at", "size", "id"))
-    raw = edges.column("raw").combine_chunks()
-    data, offsets = text_arrays(raw)
-    begin = (at == 1) & (size == 1)
+    size = (edges & ((1 << BEGIN) - 1)) >> SIZE
+    begin, long, ids = edges >> BEGIN != 0, (edges >> 32) & 15, edges & ((1 << 32) - 1)
+    known = long == 0
+    long[long == EMPTY] = 0
     first, word = np.flatnonzero(begin), np.cumsum(begin) - 1
-    long = np.diff(offsets)
-    score = np.where(ids >= 0, costs[ids], -UNKNOWN * long)
-    # The last edge of a word leads to its end. Places of all words are numbered one after the other.
-    length = (at + size - 1)[np.append(first[1:], len(at)) - 1]
-    base = np.cumsum(length + 1) - length - 1
-    source = base[word] + at - 1
+    score = np.where(known, costs[np.where(known, ids, 0)], -UNKNOWN * long)
+    # Places of all words are numbered one after the other; a word has one more, its end.
+    source = np.cumsum(size == 1) - 1 + word
+    base = source[first]
+    length = source[np.append(first[1:], len(edges)) - 1] + 1 - base
     # Short numbers are sorted much faster.
-    level = (at + size).astype(np.int16 if length.max() < 1 << 14 else np.int64)
+    level = (source + size - base[word]).astype(np.int16 if length.max() < 1 << 14 else np.int64)
     order = np.argsort(level, kind="stable")
     target, level = (source + size)[order], level[order]
     groups = np.flatnonzero(np.diff(target, prepend=-1))
@@ -147,7 +172,7 @@ def _fold(edges: pa.Table, costs: np.ndarray, first_byte: int) -> tuple[np.ndarr
         hits = np.flatnonzero(ways == np.repeat(top, many))
         hits = hits[np.searchsorted(hits, starts)]
         best[target[groups[a:b]]], back[target[groups[a:b]]] = top, own[hits]
-    taken = np.zeros(len(at), bool)
+    taken = np.zeros(len(edges), bool)
     place, floor = base + length, base
     while len(place):
         edge = back[place]
@@ -156,11 +181,12 @@ def _fold(edges: pa.Table, costs: np.ndarray, first_byte: int) -> tuple[np.ndarr
         left = place > floor
         place, floor = place[left], floor[left]
     path = np.flatnonzero(taken)
-    wide = np.where(ids[path] >= 0, 1, long[path])
+    wide = np.where(known[path], 1, long[path])
     out = np.repeat(ids[path], wide)
-    spelled = raw.take(pa.array(path[ids[path] < 0]))
-    found, edge_of = text_arrays(spelled)
-    out[np.repeat(ids[path] < 0, wide)] = found[edge_of[0] : edge_of[-1]].astype(np.int64) + first_byte
+    unknown = np.flatnonzero(np.repeat(~known[path], wide))
+    if len(unknown):
+        later = (np.repeat(np.cumsum(wide), wide) - 1 - np.arange(len(out)))[unknown]
+        out[unknown] = first_byte + ((out[unknown] >> (8 * later)) & 255)
     return first, np.bincount(word[path], wide, len(first)).astype(np.int64), out
 
 
@@ -171,27 +197,26 @@ def _folded(costs: np.ndarray, first_byte: int):
         held, rows, later = [], 0, False
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                starts = (batch.column("at").to_numpy() == 1) & (batch.column("size").to_numpy() == 1)
+                starts = batch.column("edge").to_numpy() >> BEGIN != 0
                 later = later or bool(starts[0 if held else 1 :].any())
                 held.append(batch)
                 rows += len(starts)
             if not rows or batch is not None and (rows < EDGES or not later):
                 continue
-            table, end = pa.Table.from_batches(held), rows
+            table = pa.Table.from_batches(held)
+            edges, end = table.column("edge").to_numpy(), rows
             if batch is not None:
-                begin = (table.column("at").to_numpy() == 1) & (table.column("size").to_numpy() == 1)
-                end = int(np.flatnonzero(begin)[-1])
-            done = table.slice(0, end).combine_chunks()
-            first, many, ids = _fold(done, costs, first_byte)
-            yield done.column("tag").take(pa.array(first)).combine_chunks(), many, ids
+                end = int(np.flatnonzero(edges >> BEGIN)[-1])
+            first, many, ids = _fold(edges[:end], costs, first_byte)
+            yield table.column("tag").take(pa.array(first)).combine_chunks(), many, ids
             held, rows, later = table.slice(end).to_batches(), rows - end, False
 
     return run
 
 
 def _costs(pieces: Pieces) -> np.ndarray:
-    """The score of every id, and at the end a place for none."""
-    return np.array([0.0 if s is None else s for s in pieces.score] + [0.0])
+    """The score of every id."""
+    return np.array([0.0 if s is None else s for s in pieces.score])
 
 
 def encode_words(words: DataFrame, pieces: Pieces, table: DataFrame | None = None) -> DataFrame:
@@ -209,7 +234,7 @@ def encode_words(words: DataFrame, pieces: Pieces, table: DataFrame | None = Non
             ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([tags, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], ["word", "ids"])
 
-    edges = edges_of(words.where("spelled != X''").select(F.col("word").alias("tag"), "spelled"), table, pieces.longest)
+    edges = edges_of(words.where("spelled != X''").select(F.col("word").alias("tag"), "spelled"), table, pieces)
     return edges.mapInArrow(run, StructType([StructField("word", words.schema["word"].dataType), *StructType.fromDDL("ids array<int>").fields]))
 
 
@@ -231,17 +256,21 @@ def _words_and_texts(most: int):
     empty word: their ids, the numbers of their words and whether all words are forgotten then."""
 
     def run(batches):
-        hasher, words, number, size = Hasher(), {}, {}, 0
+        hasher, words, size = Hasher(), {}, 0
+        keys, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         for batch in batches:
             for lo, hi, raw, offsets in chunks(batch.column("text")):
                 data, starts, ends, first = split_pieces(raw, offsets)
                 before = len(words)
                 own = _told_apart(hasher.load(data).spans(starts, ends), data, starts, ends, words)
-                new = dict(itertools.islice(words.items(), before, None))
-                number.update(zip(new, itertools.count(before)))
-                size += sum(map(len, new.values()))
+                added = np.array(list(itertools.islice(words, before, None)), np.uint64)
+                new = list(itertools.islice(words.values(), before, None))
+                size += sum(map(len, new))
+                order = np.argsort(added)
+                spot = np.searchsorted(keys, added[order])
+                keys, numbers = np.insert(keys, spot, added[order]), np.insert(numbers, spot, before + order)
                 distinct, codes = np.unique(own, return_inverse=True)
-                codes = np.array([number[k] for k in distinct.tolist()], np.int32)[codes]
+                codes = numbers[np.searchsorted(keys, distinct)][codes].astype(np.int32)
                 full = len(words) >= most or size >= REMEMBERED
                 texts = pa.table({"id": batch.column("id").slice(lo, hi - lo)})
                 sink = pa.BufferOutputStream()
@@ -249,9 +278,9 @@ def _words_and_texts(most: int):
                     out.write_table(texts)
                 head = np.array([len(words), full, len(first), len(codes)], np.int64)
                 tag = b"".join([head.tobytes(), first.astype(np.int64).tobytes(), codes.tobytes(), sink.getvalue().to_pybytes()])
-                yield pa.RecordBatch.from_arrays([pa.array([*new.values(), b""], pa.binary()), pa.array([None] * len(new) + [tag], pa.binary())], ["spelled", "tag"])
+                yield pa.RecordBatch.from_arrays([pa.array([*new, b""], pa.binary()), pa.array([None] * len(new) + [tag], pa.binary())], ["spelled", "tag"])
                 if full:
-                    words, number, size = {}, {}, 0
+                    words, size, keys, numbers = {}, 0, keys[:0], numbers[:0]
 
     return run
 
@@ -302,7 +331,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str =
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     words = rows.mapInArrow(_words_and_texts(WORDS_IN_SLICE * SLICES_IN_TASK), "spelled binary, tag binary")
-    edges = edges_of(words, piece_table(docs.sparkSession, pieces), pieces.longest)
+    edges = edges_of(words, piece_table(docs.sparkSession, pieces), pieces)
     coded = StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("ids array<int>, decoded string").fields])
     return edges.mapInArrow(_coded(pieces), coded).withColumnRenamed("id", id_col)
 
